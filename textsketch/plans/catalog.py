@@ -2,5 +2,513 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import fold, offsets
+from ..functions.bigram_table import priority
+from ..functions.hashing import unsigned
+from ..operators import bpe, geo, ngrams, placement, termmap
+from ..sources import tiktoken
+from ..streaming import sketches
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return docs.select("doc_id", "lang", F.explode(F.split(fold.simple_fold(F.col("text")), "[ \n]+")).alias("word")).where("word <> ''")
+
+
+_WORDS = f"(SELECT doc_id, lang, unnest(regexp_split_to_array({fold.fold_sql('text')}, '[ \\n]+')) AS word FROM documents)"
+_H = "CAST(('0x' || substr(md5({0}), 1, 16))::UBIGINT::HUGEINT - CASE WHEN ('0x' || substr(md5({0}), 1, 16))::UBIGINT >= 9223372036854775808 THEN 18446744073709551616 ELSE 0 END AS BIGINT)"
+
+
+def _vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def _tokenizer():
+    import public_tokenizers
+
+    return bpe.tokenizer(_vocabulary(), public_tokenizers.PATTERN)
+
+
+# --- case folding ------------------------------------------------------------------------------
+
+
+@_query(f"SELECT doc_id, {fold.fold_sql('text')} AS folded FROM documents")
+def simple_fold(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", fold.simple_fold(F.col("text")).alias("folded"))
+
+
+@_query(
+    f"""SELECT doc_id, array_to_string(list_transform(list_zip(string_split(text, ''), string_split({fold.fold_sql("text")}, '')),
+lambda x: printf('%02X', CASE WHEN unicode(x[1]) < 128 THEN unicode(x[2]) ELSE 128 | (unicode(x[2]) & 127) END)), '') AS bytes FROM documents"""
+)
+def index_fold(spark, sf_dir):
+    hexed = F.array_join(F.transform(fold.index_fold(F.col("text")), lambda x: F.lpad(F.hex(x), 2, "0")), "")
+    return _read(spark, sf_dir, "documents").select("doc_id", hexed.alias("bytes"))
+
+
+@_query("SELECT CAST(strlen(c) AS INT) AS utf8_bytes, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS c FROM documents) WHERE c <> '' GROUP BY ALL")
+def utf8_lengths(spark, sf_dir):
+    chars = _read(spark, sf_dir, "documents").select(F.explode(F.split("text", "")).alias("c")).where("c <> ''")
+    lead = F.conv(F.substring(F.hex(F.encode("c", "UTF-8")), 1, 2), 16, 10).cast("int")
+    return chars.groupBy(fold.utf8_len(lead).alias("utf8_bytes")).agg(F.count("*").alias("n"))
+
+
+# --- offsets -----------------------------------------------------------------------------------
+
+
+@_query(
+    r"""SELECT doc_id, CAST(line AS INT) AS line, CAST(coalesce(sum(strlen(own) + 1) OVER w, 0) AS BIGINT) AS utf8_begin, CAST(coalesce(sum(length(own) + 1) OVER w, 0) AS BIGINT) AS char_begin,
+CAST(coalesce(sum(length(own) + 1 + length(regexp_replace(own, '[^\x{10000}-\x{10FFFF}]', '', 'g'))) OVER w, 0) AS BIGINT) AS utf16_begin, regexp_full_match(own, '[\t\r ]*') AS blank
+FROM (SELECT doc_id, unnest(range(len(l))) AS line, unnest(l) AS own, len(l) - CASE WHEN text = '' OR ends_with(text, chr(10)) THEN 1 ELSE 0 END AS n FROM (SELECT doc_id, text, str_split(text, chr(10)) AS l FROM documents))
+WHERE line < n WINDOW w AS (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
+)
+def offsets_lines(spark, sf_dir):
+    return offsets.line_table(_read(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def _probes(df: DataFrame) -> DataFrame:
+    n = F.octet_length("text")
+    return df.select("doc_id", "text", F.explode(F.array(F.lit(0), F.floor(n / 3).cast("int"), F.floor(n / 2).cast("int"), n - 1, n, n + 5)).alias("byte")).where("byte >= 0")
+
+
+_PROBES = "(SELECT doc_id, text, unnest([0, strlen(text) // 3, strlen(text) // 2, strlen(text) - 1, strlen(text), strlen(text) + 5]) AS byte FROM documents)"
+
+
+@_query(
+    f"""WITH p AS (SELECT *, substr(h, 1, CAST(2 * byte AS INT)) AS a, substr(h, 1, CAST(2 * byte + 2 AS INT)) AS b FROM (SELECT *, hex(text) AS h FROM {_PROBES} WHERE byte >= 0)),
+q AS (SELECT *, CASE WHEN byte >= strlen(text) THEN length(text) ELSE length(regexp_replace(b, '([0-7C-F].)|..', '\\1', 'g')) // 2 - 1 END AS c,
+ CASE WHEN byte >= strlen(text) THEN len(l) - CASE WHEN text = '' OR ends_with(text, chr(10)) THEN 1 ELSE 0 END ELSE length(regexp_replace(a, '(0A)|..', '\\1', 'g')) // 2 END AS line FROM (SELECT *, str_split(text, chr(10)) AS l FROM p)),
+r AS (SELECT *, CASE WHEN line = 0 THEN 0 WHEN line > len(l) - 1 THEN strlen(text) ELSE strlen(array_to_string(l[1:line], chr(10))) + 1 END AS begin,
+ CASE WHEN line + 1 > len(l) - 1 THEN strlen(text) ELSE strlen(array_to_string(l[1:line + 1], chr(10))) + 1 END AS stop FROM q)
+SELECT doc_id, CAST(byte AS INT) AS byte, CAST(line AS INT) AS line, CAST(c AS INT) AS char, CAST(begin AS INT) AS line_begin, CAST(stop AS INT) AS line_end, CAST(strlen(substr(text, 1, CAST(c AS INT))) AS INT) AS char_begin,
+ CAST(c - (CASE WHEN begin >= strlen(text) THEN length(text) ELSE length(regexp_replace(substr(h, 1, CAST(2 * begin + 2 AS INT)), '([0-7C-F].)|..', '\\1', 'g')) // 2 - 1 END) AS INT) AS col,
+ CAST(c + length(regexp_replace(a, '(F.)|..', '\\1', 'g')) // 2 AS INT) AS utf16, coalesce(regexp_full_match(l[line + 1], '[\\t\\r ]*'), true) AS blank FROM r"""
+)
+def offsets_probe(spark, sf_dir):
+    t, b = F.col("text"), F.col("byte")
+    at = _probes(_read(spark, sf_dir, "documents")).select("*", offsets.utf8_to_line(t, b).alias("line"), offsets.utf8_to_char(t, b).alias("char"))
+    line = F.col("line")
+    return at.select("doc_id", "byte", "line", "char", offsets.line_to_utf8_begin(t, line).alias("line_begin"), offsets.line_to_utf8_end(t, line).alias("line_end"), offsets.char_to_utf8(t, F.col("char")).alias("char_begin"),
+        offsets.utf8_to_char_pos(t, b)["col"].alias("col"), offsets.utf8_to_utf16(t, b).alias("utf16"), offsets.only_whitespaces(t, line).alias("blank"))
+
+
+@_query("SELECT doc_id, CAST(strlen(text) AS INT) AS len, CAST(len(str_split(text, chr(10))) - CASE WHEN text = '' OR ends_with(text, chr(10)) THEN 1 ELSE 0 END AS INT) AS lines, strlen(text) = 0 AS is_empty FROM documents")
+def offsets_sizes(spark, sf_dir):
+    t = F.col("text")
+    return _read(spark, sf_dir, "documents").select("doc_id", offsets.length(t).alias("len"), offsets.lines(t).alias("lines"), offsets.is_empty(t).alias("is_empty"))
+
+
+# --- term maps -----------------------------------------------------------------------------------
+
+
+@_query(f"SELECT lang, {_H.format('word')} AS hash, word AS key, count(*) AS value FROM {_WORDS} WHERE word <> '' GROUP BY ALL")
+def term_counts(spark, sf_dir):
+    return termmap.term_counts(_words(spark, sf_dir), ["lang"], F.col("word"))
+
+
+@_query(f"SELECT {_H.format('word')} AS hash, word AS key, count(*) AS value FROM {_WORDS} WHERE word <> '' GROUP BY ALL")
+def merge_maps(spark, sf_dir):
+    by = term_counts(spark, sf_dir)
+    return termmap.merge(*(by.where(F.col("lang") == x).drop("lang") for x in ("en", "fr", "de", "es")))
+
+
+@_query(f"SELECT {_H.format('word')} AS hash, word AS key, max(doc_id) AS value, count(*) - 1 AS replaced FROM {_WORDS} WHERE word <> '' GROUP BY ALL")
+def map_insert(spark, sf_dir):
+    return termmap.insert(_words(spark, sf_dir), F.col("word"), F.col("doc_id"), F.col("doc_id"))
+
+
+@_query(f"SELECT {_H.format('word')} AS hash, word AS key, min(doc_id) AS value FROM {_WORDS} WHERE word <> '' GROUP BY ALL")
+def map_entry(spark, sf_dir):
+    return termmap.upsert(_words(spark, sf_dir), F.col("word"), F.col("doc_id"), F.min)
+
+
+@_query(f"SELECT k.key, count(w.word) FILTER (w.word IS NOT NULL) AS value FROM (SELECT DISTINCT lower(p_name) AS key FROM part UNION SELECT 'the') k LEFT JOIN {_WORDS} w ON w.word = k.key GROUP BY ALL")
+def map_get(spark, sf_dir):
+    keys = _read(spark, sf_dir, "part").select(F.lower("p_name").alias("key")).union(spark.sql("SELECT 'the'")).distinct()
+    return termmap.get(merge_maps(spark, sf_dir), keys).na.fill(0, ["value"])
+
+
+@_query(f"SELECT count(DISTINCT word) AS len, count(DISTINCT word) = 0 AS is_empty FROM {_WORDS} WHERE word <> ''")
+def map_size(spark, sf_dir):
+    return termmap.size(merge_maps(spark, sf_dir))
+
+
+@_query(f"SELECT key, row_number() OVER (ORDER BY ('0x' || substr(md5(key), 1, 16))::UBIGINT, key) - 1 AS place FROM (SELECT DISTINCT word AS key FROM {_WORDS} WHERE word <> '')")
+def sort_by_hash(spark, sf_dir):
+    terms = merge_maps(spark, sf_dir).withColumn("order", unsigned(F.col("hash")))
+    return placement._with_places(terms, ["order", "key"]).select("key", F.col("__place").alias("place"))
+
+
+# --- sparse n-grams ------------------------------------------------------------------------------
+
+_P = str([priority(k >> 7, k & 127) for k in range(1 << 14)])
+_FOLDED = f"""(SELECT item_id, list_transform(list_zip(string_split(text, ''), string_split({fold.fold_sql("text")}, '')), lambda x: CASE WHEN unicode(x[1]) < 128 THEN unicode(x[2]) ELSE 128 | (unicode(x[2]) & 127) END) AS b FROM benchmark)"""
+_SPANS = f"""t AS (SELECT {_P}::BIGINT[] AS p), pairs AS (SELECT item_id, b, list_transform(range(1, len(b)), lambda k: CASE WHEN b[k] < 128 AND b[k + 1] < 128 THEN p[b[k] * 128 + b[k + 1] + 1] ELSE 0 END) AS q FROM {_FOLDED}, t),
+spans AS (SELECT item_id, b, s, n FROM (SELECT *, unnest(range(len(b) - 1)) AS s FROM pairs), (SELECT unnest(range(2, 9)) AS n) WHERE s + n <= len(b) AND (n = 2 OR greatest(q[s + 1], q[s + n - 1]) < coalesce(list_min(q[s + 2:s + n - 2]), 1 << 40)))"""
+
+
+@_query(f"WITH {_SPANS} SELECT item_id AS key, CAST(s AS INT) AS start, CAST(n AS INT) AS length FROM spans")
+def sparse_gram_spans(spark, sf_dir):
+    """By the kernel: starts follow from the ends and the lengths that the keys hold."""
+    items = _read(spark, sf_dir, "benchmark")
+    grams = ngrams.extract(items, "item_id", "text")
+    length = F.pandas_udf(lambda s: s.map(lambda x: ngrams.gram_length(int(x))).astype("int32"), "int")
+    return grams.select("key", "end", length("gram").alias("length")).select("key", (F.col("end") - F.col("length")).alias("start"), "length")
+
+
+@_query(f"WITH {_SPANS.replace(_FOLDED, '(SELECT item_id, list_transform(range(1, strlen(text) + 1), lambda k: CAST(' + chr(39) + '0x' + chr(39) + ' || substr(hex(text), CAST(2 * k - 1 AS INT), 2) AS BIGINT)) AS b FROM benchmark)')} SELECT item_id AS key, CAST(s AS INT) AS start, CAST(n AS INT) AS length FROM spans")
+def sparse_gram_spans_native(spark, sf_dir):
+    """By array expressions, over unfolded bytes."""
+    return ngrams.native_spans(_read(spark, sf_dir, "benchmark"), "item_id", "text")
+
+
+def _mixed(x: str, n: int, factor: int) -> str:
+    return f"((xor({x}, {x} >> {n}) * {factor}) & 134217727)"
+
+
+_X = """((n - 2) << 24) | CASE WHEN n = 2 THEN b[s + 1] * 256 + b[s + 2] WHEN n = 3 THEN b[s + 1] * 65536 + b[s + 2] * 256 + b[s + 3]
+ ELSE CAST(list_sum(list_transform(range(CAST(n AS INT)), lambda k: b[s + k + 1]::HUGEINT * pow(256, k)::HUGEINT))::UHUGEINT * 11400714819323198485::UHUGEINT % 18446744073709551616::UHUGEINT // 1099511627776::UHUGEINT AS BIGINT) END"""
+
+
+@_query(
+    f"""WITH {_SPANS}, raw AS (SELECT item_id, s + n AS e, CAST({_X} AS BIGINT) AS x FROM spans), one AS (SELECT item_id, e, {_mixed("x", 15, 0x2C1B3C6D)} AS x FROM raw),
+two AS (SELECT item_id, e, {_mixed("x", 12, 0x297A2D39)} AS x FROM one) SELECT item_id AS key, CAST(xor(x, x >> 15) AS INT) AS gram, CAST(e AS INT) AS "end" FROM two"""
+)
+def sparse_grams(spark, sf_dir):
+    return ngrams.extract(_read(spark, sf_dir, "benchmark"), "item_id", "text")
+
+
+@_query()
+def sparse_grams_documents(spark, sf_dir):
+    """Distinct grams of every document: the postings of an index."""
+    return ngrams.extract(_read(spark, sf_dir, "documents"), "doc_id", "text", distinct=True)
+
+
+@_query()
+def gram_covers(spark, sf_dir):
+    return ngrams.covers(_read(spark, sf_dir, "benchmark"), "item_id", "text")
+
+
+@_query("SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(p) AS BIGINT) AS total FROM (SELECT unnest(" + _P + "::BIGINT[]) AS p)")
+def bigram_priorities(spark, sf_dir):
+    both = spark.range(1 << 14).select(ngrams.bigram_priority(F.shiftright("id", 7).cast("int"), F.col("id").bitwiseAND(F.lit(127)).cast("int")).alias("p"))
+    return both.agg(F.count("*").alias("n"), F.sum("p").alias("total"))
+
+
+@_query(f"SELECT DISTINCT item_id, doc_id FROM (SELECT item_id, {fold.fold_sql('text')} AS q FROM benchmark) b JOIN (SELECT doc_id, {fold.fold_sql('text')} AS t FROM documents) d ON contains(t, q)")
+def substring_search(spark, sf_dir):
+    return ngrams.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), "doc_id", "item_id")
+
+
+# --- byte-pair encoding ----------------------------------------------------------------------------
+
+
+@_query(f"SELECT CAST(rank AS INT) AS token_id, CAST(octet_length(from_base64(token)) AS INT) AS n_bytes FROM read_csv('{_vocabulary()}', delim = ' ', header = false, columns = {{'token': 'VARCHAR', 'rank': 'BIGINT'}}, quote = '', escape = '')")
+def bpe_vocabulary(spark, sf_dir):
+    return tiktoken.read(spark, f"file://{_vocabulary()}").select("token_id", F.octet_length("bytes").alias("n_bytes"))
+
+
+@_query("SELECT doc_id AS key, text FROM documents")
+def bpe_round_trip(spark, sf_dir):
+    """Encoded by a kernel, decoded by a join with the vocabulary."""
+    tokens = bpe.encode(_read(spark, sf_dir, "documents"), "doc_id", "text", _tokenizer())
+    return bpe.decode(tokens, tiktoken.read(spark, f"file://{_vocabulary()}"))
+
+
+@_query()
+def bpe_count(spark, sf_dir):
+    return bpe.count(_read(spark, sf_dir, "documents"), "doc_id", "text", _tokenizer())
+
+
+@_query()
+def bpe_count_till_limit(spark, sf_dir):
+    return bpe.count(_read(spark, sf_dir, "documents"), "doc_id", "text", _tokenizer(), limit=500)
+
+
+@_query("SELECT doc_id AS key, text, true AS within FROM documents WHERE text <> ''")
+def bpe_chunks(spark, sf_dir):
+    """Chunks of at most 64 tokens, put together again."""
+    docs = _read(spark, sf_dir, "documents")
+    cut = bpe.chunk(docs, "doc_id", "text", _tokenizer(), 64).join(docs.select(F.col("doc_id").alias("key"), "text"), "key")
+    part = F.struct("chunk", F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("part"))
+    whole = cut.groupBy("key").agg(F.array_sort(F.collect_list(part)).alias("parts"), (F.max("n_tokens") <= 64).alias("within"))
+    return whole.select("key", F.array_join("parts.part", "").alias("text"), "within")
+
+
+@_query("SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
+def bpe_conversation_chunks(spark, sf_dir):
+    """Conversations in order of turns, chunked at 128 tokens and put together again."""
+    talk = _read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    talk = talk.select("conv_id", F.array_join("t.text", "\n").alias("text"))
+    cut = bpe.chunk(talk, "conv_id", "text", _tokenizer(), 128).join(talk.withColumnRenamed("conv_id", "key"), "key")
+    part = F.struct("chunk", F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("part"))
+    return cut.groupBy(F.col("key").alias("conv_id")).agg(F.array_sort(F.collect_list(part)).alias("p")).select("conv_id", F.array_join("p.part", "").alias("text"))
+
+
+@_query()
+def bpe_variants(spark, sf_dir):
+    return bpe.variants(_read(spark, sf_dir, "benchmark"), "item_id", "text", _tokenizer())
+
+
+@_query()
+def bpe_prefix_counts(spark, sf_dir):
+    return bpe.prefix_counts(_read(spark, sf_dir, "benchmark"), "item_id", "text", _tokenizer())
+
+
+@_query()
+def bpe_interval_counts(spark, sf_dir):
+    return bpe.interval_counts(_read(spark, sf_dir, "benchmark"), "item_id", "text", _tokenizer(), 16, 48)
+
+
+# --- sketches ------------------------------------------------------------------------------------
+
+
+def _estimated(sketch: DataFrame, keys: list[str], config: geo.Config) -> DataFrame:
+    return geo.estimate(sketch, keys, config).withColumn("estimate", F.round("estimate", 3))
+
+
+def _sketch_sql(source: str, keys: str, item: str, b: int) -> str:
+    """(keys, bucket, hits)"""
+    return f"SELECT {keys}, bucket, count(*) AS hits FROM (SELECT {keys}, {geo.bucket_sql(item, b)} AS bucket FROM {source} WHERE {item} IS NOT NULL) GROUP BY ALL"
+
+
+def _estimated_sql(table: str, keys: list[str], config: geo.Config) -> str:
+    return f"SELECT * REPLACE (round(estimate, 3) AS estimate) FROM ({geo.estimate_sql(table, keys, config)})"
+
+
+@_query(f"WITH s AS ({_sketch_sql(f'(SELECT DISTINCT lang, word FROM {_WORDS} WHERE word <> ' + chr(39) * 2 + ')', 'lang', 'word', 7)}) {_estimated_sql('(SELECT lang, bucket FROM s)', ['lang'], geo.DISTINCT7)}")
+def distinct_words_by_lang(spark, sf_dir):
+    return _estimated(geo.distinct_sketch(_words(spark, sf_dir), ["lang"], F.col("word")), ["lang"], geo.DISTINCT7)
+
+
+@_query(f"WITH s AS ({_sketch_sql('(SELECT DISTINCT l_suppkey, l_orderkey FROM lineitem)', 'l_suppkey', 'l_orderkey', 7)}) {_estimated_sql('(SELECT l_suppkey, bucket FROM s)', ['l_suppkey'], geo.DISTINCT7)}")
+def distinct_orders_by_supplier(spark, sf_dir):
+    return _estimated(geo.distinct_sketch(_read(spark, sf_dir, "lineitem"), ["l_suppkey"], F.col("l_orderkey")), ["l_suppkey"], geo.DISTINCT7)
+
+
+@_query(f"WITH s AS ({_sketch_sql('(SELECT DISTINCT o_custkey FROM orders)', '1 AS g', 'o_custkey', 7)}) {_estimated_sql('(SELECT g, bucket FROM s)', ['g'], geo.DISTINCT7)}")
+def distinct_union(spark, sf_dir):
+    """Sketches of each priority, merged."""
+    orders = _read(spark, sf_dir, "orders")
+    by = geo.distinct_sketch(orders, ["o_orderpriority"], F.col("o_custkey"))
+    parts = [by.where(F.col("o_orderpriority") == p).select(F.lit(1).alias("g"), "bucket") for p in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")]
+    rest = by.where(~F.col("o_orderpriority").isin("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")).select(F.lit(1).alias("g"), "bucket")
+    return _estimated(geo.union(*parts, rest), ["g"], geo.DISTINCT7)
+
+
+@_query(f"WITH s AS ({_sketch_sql('orders', 'o_orderpriority', 'o_orderkey', 10)}) {_estimated_sql('(SELECT o_orderpriority, bucket FROM s WHERE hits % 2 = 1)', ['o_orderpriority'], geo.DIFF10)}")
+def diff_orders_by_priority(spark, sf_dir):
+    return _estimated(geo.diff_sketch(_read(spark, sf_dir, "orders"), ["o_orderpriority"], F.col("o_orderkey"), geo.DIFF10), ["o_orderpriority"], geo.DIFF10)
+
+
+_BOTH = "(SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 3 <> 0 UNION ALL SELECT o_orderkey FROM orders WHERE o_orderkey % 5 <> 0)"
+
+
+@_query(f"WITH s AS ({_sketch_sql(_BOTH, '1 AS g', 'k', 7)}) {_estimated_sql('(SELECT g, bucket FROM s WHERE hits % 2 = 1)', ['g'], geo.DIFF7)}")
+def diff_symmetric_difference(spark, sf_dir):
+    """Orders in one of two sets, from the sets' sketches."""
+    orders = _read(spark, sf_dir, "orders").withColumn("g", F.lit(1))
+    one, other = (geo.diff_sketch(orders.where(F.col("o_orderkey") % k != 0), ["g"], F.col("o_orderkey")) for k in (3, 5))
+    return _estimated(geo.symmetric_difference(one, other, ["g"]), ["g"], geo.DIFF7)
+
+
+@_query(f"SELECT item, {geo.bucket_sql('item', 7)} AS b7, {geo.bucket_sql('item', 10)} AS b10 FROM (SELECT CAST(o_orderkey AS VARCHAR) AS item FROM orders)")
+def hash_buckets(spark, sf_dir):
+    item = F.col("o_orderkey").cast("string")
+    return _read(spark, sf_dir, "orders").select(item.alias("item"), geo.bucket(item, 7).alias("b7"), geo.bucket(item, 10).alias("b10"))
+
+
+def _basket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Difference sketches of the parts of each supplier."""
+    lines = _read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("key"), "l_partkey").distinct()
+    return geo.diff_sketch(lines, ["key"], F.col("l_partkey"))
+
+
+_BASKET = f"s AS (SELECT key, bucket FROM ({_sketch_sql('(SELECT DISTINCT l_suppkey AS key, l_partkey FROM lineitem)', 'key', 'l_partkey', 7)}) WHERE hits % 2 = 1), n AS (SELECT key, count(*) AS n FROM s GROUP BY key)"
+_PAIRS = "d AS (SELECT a.key AS a, b.key AS b, any_value(na.n) AS na, any_value(nb.n) AS nb, any_value(na.n) + any_value(nb.n) - 2 * count(*) AS distance FROM s a JOIN s b USING (bucket) JOIN n na ON na.key = a.key JOIN n nb ON nb.key = b.key GROUP BY ALL)"
+
+
+@_query(f"WITH {_BASKET} SELECT key, CAST(n AS INT) AS ones FROM n")
+def sketch_ones(spark, sf_dir):
+    return geo.ones(_basket(spark, sf_dir), ["key"])
+
+
+@_query(f"WITH {_BASKET}, {_PAIRS} SELECT a, b, CAST(CASE WHEN distance < 60 THEN distance END AS INT) AS distance FROM d WHERE abs(na - nb) < 60")
+def bounded_distances(spark, sf_dir):
+    basket = _basket(spark, sf_dir)
+    return geo.distances(basket, basket, bound=60)
+
+
+@_query(
+    f"""WITH {_BASKET}, {_PAIRS}, near AS (SELECT a, b FROM d WHERE a <> b QUALIFY row_number() OVER (PARTITION BY a ORDER BY distance, b) <= 10),
+x AS (SELECT a, b, bucket FROM (SELECT a, b, bucket FROM near JOIN s ON s.key = a UNION ALL SELECT a, b, bucket FROM near JOIN s ON s.key = b) GROUP BY ALL HAVING count(*) % 2 = 1),
+e AS ({geo.estimate_sql("x", ["a", "b"], geo.DIFF7)}), f AS (SELECT near.a, near.b, round(coalesce(estimate, 0), 3) AS estimate FROM near LEFT JOIN e ON e.a = near.a AND e.b = near.b)
+SELECT a, b, estimate, CAST(row_number() OVER (PARTITION BY a ORDER BY estimate, b) AS INT) AS rank FROM f QUALIFY rank <= 3"""
+)
+def nearest_suppliers(spark, sf_dir):
+    basket = _basket(spark, sf_dir)
+    return geo.nearest(basket, basket, 3, 10, geo.DIFF7)
+
+
+_KEPT = "list_reverse_sort(list(bucket) FILTER ((52 >> (bucket % 6)) & 1 = 1))"
+
+
+@_query(f"WITH {_BASKET} SELECT key, CAST((coalesce(m[1], 0)::HUGEINT * 281474976710656 + coalesce(m[2], 0) * 4294967296 + coalesce(m[3], 0) * 65536 + coalesce(m[4], 0)) AS BIGINT) AS sort_key, array_to_string(m, ',') AS masked FROM (SELECT key, {_KEPT} AS m FROM s GROUP BY key)")
+def masked_order(spark, sf_dir):
+    lists = _basket(spark, sf_dir).groupBy("key").agg(F.collect_list("bucket").alias("b"))
+    return lists.select("key", geo.masked_key(F.col("b"), 0b110100, 6, 2).alias("sort_key"), F.array_join(geo.masked(F.col("b"), 0b110100, 6), ",").alias("masked"))
+
+
+@_query(f"WITH {_BASKET} SELECT key, bucket FROM s")
+def sketch_bytes(spark, sf_dir):
+    """Packed and unpacked again."""
+    return geo.unpacked(geo.packed(_basket(spark, sf_dir), ["key"], geo.DIFF7), ["key"], geo.DIFF7)
+
+
+@_query()
+def sim_hash_postings(spark, sf_dir):
+    return geo.sim_index(_basket(spark, sf_dir), geo.DIFF7)
+
+
+@_query()
+def sim_hash_search(spark, sf_dir):
+    words = _words(spark, sf_dir).select(F.col("doc_id").alias("key"), "word").distinct()
+    sketch = geo.diff_sketch(words, ["key"], F.col("word"))
+    return geo.sim_lookup(sketch, sketch, geo.DIFF7, 5)
+
+
+@_query("SELECT CAST(n AS INT) AS ones, round(n * 1.0, 3) AS back FROM (SELECT unnest([1, 5, 20, 100, 300]) AS n)")
+def ones_metric(spark, sf_dir):
+    """From ones to items and back."""
+    rows = [(n, float(geo.items_to_ones(geo.DIFF7, geo.ones_to_items(geo.DIFF7, n)))) for n in (1, 5, 20, 100, 300)]
+    return spark.createDataFrame(rows, "ones int, back double")
+
+
+@_query()
+def sketch_errors(spark, sf_dir):
+    return geo.relative_errors(spark, geo.DISTINCT7, [10, 100, 1000], 40)
+
+
+# --- placement -----------------------------------------------------------------------------------
+
+
+@_query()
+def place_orders(spark, sf_dir):
+    return placement.place(_read(spark, sf_dir, "orders"), "o_orderkey", 13, placement.MixSource.of)
+
+
+@_query()
+def next_hashes(spark, sf_dir):
+    return placement.next_hashes(_read(spark, sf_dir, "customer"), "c_custkey", 13, placement.MixSource.of)
+
+
+@_query()
+def choose_nodes(spark, sf_dir):
+    return placement.choose(_read(spark, sf_dir, "customer"), "c_custkey", 100, 3)
+
+
+@_query()
+def rank_nodes(spark, sf_dir):
+    return placement.ranking(_read(spark, sf_dir, "customer"), "c_custkey", 20, 5, placement.MixSource.of)
+
+
+@_query()
+def node_map(spark, sf_dir):
+    nodes = placement.NodeMap(100, range(9, 99, 10))
+    return placement.assign(_read(spark, sf_dir, "customer"), "c_custkey", nodes, placement.MixSource.of)
+
+
+@_query("SELECT count(*) AS n, count(DISTINCT value) AS different, CAST(min(value) AS INT) AS low, CAST(max(value) AS INT) AS high, true AS ranks FROM (SELECT unnest(range(1000)) AS value)")
+def permutation(spark, sf_dir):
+    p = placement.permuted(spark.range(1), 1000, 7)
+    return p.agg(F.count("*").alias("n"), F.countDistinct("value").alias("different"), F.min("value").alias("low"), F.max("value").alias("high"), (F.countDistinct("rank") == 1000).alias("ranks"))
+
+
+@_query()
+def reservoir_sample(spark, sf_dir):
+    return placement.sample(_read(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"], 50, 12345)
+
+
+@_query()
+def reservoir_changes(spark, sf_dir):
+    of = placement.Reservoir(20, 100, 99)
+    return spark.createDataFrame([(k, a, e) for k, (a, e) in zip(range(50), of)], "step int, added int, evicted int")  # noqa: B905
+
+
+@_query("SELECT CAST(3 * count(*) AS BIGINT) AS n, true AS within FROM customer")
+def bounded_load(spark, sf_dir):
+    """Three nodes of twenty for each customer, none with more than 1.25 times its share."""
+    customers = _read(spark, sf_dir, "customer")
+    cap = -(-customers.count() * 3 * 5 // 80)
+    placed = placement.bounded_load(placement.ranking(customers, "c_custkey", 20, 20, placement.MixSource.of), 3, cap)
+    return placed.groupBy("node").agg(F.count("*").alias("load")).agg(F.sum("load").alias("n"), (F.max("load") <= cap).alias("within"))
+
+
+@_query("SELECT true AS few")
+def placement_churn(spark, sf_dir):
+    """A tenth node takes about a tenth of the keys, and none moves elsewhere."""
+    keys = _read(spark, sf_dir, "orders")
+    a, b = (placement.place(keys, "o_orderkey", n, placement.MixSource.of) for n in (9, 10))
+    return placement.churn(a, b).join(b.where("node = 9").agg(F.count("*").alias("new"))).select((F.col("moved") == F.col("new")).alias("few"))
+
+
+@_query()
+def placement_balance(spark, sf_dir):
+    placed = place_orders(spark, sf_dir)
+    counts = placed.groupBy("node").agg(F.count("*").alias("n"))
+    return placement.load_stddev(placed, 13).join(placement.chi_squared(counts, 13))
+
+
+@_query(
+    f"""WITH p AS (SELECT n_nationkey AS node, ('0x' || substr(md5(n_nationkey || '/' || k), 1, 16))::UBIGINT AS place FROM nation, (SELECT unnest(range(8)) AS k)), o AS (SELECT *, row_number() OVER (ORDER BY place) AS r FROM p),
+k AS (SELECT c_custkey AS key, ('0x' || substr(md5(CAST(c_custkey AS VARCHAR)), 1, 16))::UBIGINT AS place FROM customer)
+SELECT key, coalesce(o.node, (SELECT node FROM o WHERE r = 1)) AS node FROM k ASOF LEFT JOIN o ON k.place <= o.place"""
+)
+def hash_ring(spark, sf_dir):
+    nodes = _read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("node"))
+    return placement.on_ring(_read(spark, sf_dir, "customer"), "c_custkey", placement.ring(nodes, 8))
+
+
+# --- streams ---------------------------------------------------------------------------------------
+
+
+@_query(f"WITH s AS ({_sketch_sql('(SELECT DISTINCT time_bucket(INTERVAL 1 day, ts) AS window_start, event_type, user_id FROM events)', 'window_start, event_type', 'user_id', 7)}) {_estimated_sql('(SELECT window_start, event_type, bucket FROM s)', ['window_start', 'event_type'], geo.DISTINCT7)}")
+def users_by_day(spark, sf_dir):
+    """The batch form of users_by_day_stream."""
+    events = _read(spark, sf_dir, "events").withColumn("window_start", F.date_trunc("day", F.col("ts")))
+    keys = ["window_start", "event_type"]
+    return _estimated(geo.distinct_sketch(events, keys, F.col("user_id")), keys, geo.DISTINCT7)
+
+
+@_query()
+def users_by_day_stream(spark, sf_dir):
+    """Completed days only: the last ones wait for the watermark."""
+    schema = _read(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    buckets = sketches.windowed_buckets(stream, "ts", ["event_type"], F.col("user_id"), geo.DISTINCT7, "1 day", "1 hour")
+    return sketches.estimates(sketches.run_once(spark, buckets), ["event_type"], geo.DISTINCT7).withColumn("estimate", F.round("estimate", 3))
+
