@@ -237,21 +237,21 @@ def estimate_sql(table: str, keys: list[str], config: Config) -> str:
     """estimate() as a query over a relation (keys, bucket)."""
     step, of = knots(config)
     by, rows = ", ".join(keys), ", ".join(f"({k}, {k * step}, {float(of[k][0])!r}::DOUBLE, {float(of[k][1])!r}::DOUBLE, {float(of[k + 1][0])!r}::DOUBLE, {float(of[k + 1][1])!r}::DOUBLE)" for k in range(len(of) - 1))
-    return f"""SELECT {by}, CAST(total AS INT) AS total, CAST(lowest AS BIGINT) AS lowest, CASE WHEN lowest > 0 THEN (est + 1.0) / pow({config.phi32!r}::DOUBLE, lowest::DOUBLE) - 1.0 ELSE est END AS estimate FROM (
-SELECT *, u + x * (c + x * ((3.0 * v - e - 3.0 * u - 2.0 * c) + x * (e - 2.0 * v + 2.0 * u + c))) AS est FROM (
-SELECT s.*, (total - x0) / {step}::DOUBLE AS x, du * {step}::DOUBLE AS c, dv * {step}::DOUBLE AS e, u, v FROM (
-SELECT {by}, total, CASE WHEN total <= {config.msb} THEN 0 ELSE b * 64 END AS lowest FROM (
-SELECT {by}, count(*) FILTER (r <= {config.msb} OR bucket >= b * 64) AS total, max(b) AS b FROM (
-SELECT *, greatest(CAST(floor((coalesce(max(bucket) FILTER (r = {config.msb}) OVER (PARTITION BY {by}), 0) + 63) / 64) AS BIGINT) - {config.blocks}, 0) AS b FROM (
-SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY bucket DESC) AS r FROM {table})) GROUP BY {by})) s
-JOIN (VALUES {rows}) AS knot(k, x0, u, du, v, dv) ON knot.k = s.total // {step}))"""
+    return f"""SELECT {by}, CAST(total AS INT) AS total, CAST(lowest AS BIGINT) AS lowest, CASE WHEN lowest > 0 THEN (_est + 1.0) / pow({config.phi32!r}::DOUBLE, lowest::DOUBLE) - 1.0 ELSE _est END AS estimate FROM (
+SELECT *, _u + _x * (_c + _x * ((3.0 * _v - _e - 3.0 * _u - 2.0 * _c) + _x * (_e - 2.0 * _v + 2.0 * _u + _c))) AS _est FROM (
+SELECT _s.*, (total - _x0) / {step}::DOUBLE AS _x, _du * {step}::DOUBLE AS _c, _dv * {step}::DOUBLE AS _e, _u, _v FROM (
+SELECT {by}, total, CASE WHEN total <= {config.msb} THEN 0 ELSE _b * 64 END AS lowest FROM (
+SELECT {by}, count(*) FILTER (_r <= {config.msb} OR bucket >= _b * 64) AS total, max(_b) AS _b FROM (
+SELECT *, greatest(CAST(floor((coalesce(max(bucket) FILTER (_r = {config.msb}) OVER (PARTITION BY {by}), 0) + 63) / 64) AS BIGINT) - {config.blocks}, 0) AS _b FROM (
+SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY bucket DESC) AS _r FROM {table})) GROUP BY {by})) _s
+JOIN (VALUES {rows}) AS _knot(_k, _x0, _u, _du, _v, _dv) ON _knot._k = _s.total // {step}))"""
 
 
 def bucket_sql(item: str, b: int) -> str:
     """bucket() in DuckDB's SQL, for a column or constant."""
     base, limit = bucket_table(b)
     bits = f"bin(('0x' || substr(md5(CAST({item} AS VARCHAR)), 1, 16))::UBIGINT)"
-    return f"""(SELECT CAST(({list(base)})[w >> {31 - b} + 1] + CASE WHEN w < ({list(limit)})[w >> {31 - b} + 1] THEN 1 ELSE 0 END + (CASE WHEN s = '0' THEN 64 ELSE 64 - length(s) END << {b}) AS INT)
+    return f"""(SELECT CAST(({list(base)})[(w >> {31 - b}) + 1] + CASE WHEN w < ({list(limit)})[(w >> {31 - b}) + 1] THEN 1 ELSE 0 END + (CASE WHEN s = '0' THEN 64 ELSE 64 - length(s) END << {b}) AS INT)
 FROM (SELECT s, CAST('0b' || rpad(substr(s, 2, 32), 32, '0') AS BIGINT) AS w FROM (SELECT {bits} AS s)))"""
 
 
@@ -309,7 +309,7 @@ def nearest(queries: DataFrame, sketches: DataFrame, k: int, shortlist: int, con
 
 def masked(buckets: Column, mask: int, size: int) -> Column:
     """The buckets of an array under a mask that repeats every `size` bits, falling; orders like the masked sketches."""
-    kept = F.filter(buckets, lambda p: F.shiftright(F.lit(mask), p % size).bitwiseAND(F.lit(1)) == 1)
+    kept = F.filter(buckets, lambda p: F.call_function("shiftright", F.lit(mask), p % size).bitwiseAND(F.lit(1)) == 1)
     return F.sort_array(kept, asc=False)
 
 

@@ -403,7 +403,7 @@ def bounded_load(ranks: DataFrame, k: int, cap: int) -> DataFrame:
         kinds = [pa.int64(), pa.int32(), pa.int32()]
         return pa.table([pa.array([r[c] for r in out], t) for c, t in enumerate(kinds)], names=["key", "rank", "node"])
 
-    return ranks.groupBy(F.lit(0)).applyInArrow(run, "key bigint, rank int, node int")
+    return ranks.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(run, "key bigint, rank int, node int")
 
 
 def churn(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -168,7 +168,7 @@ def sort_by_hash(spark, sf_dir):
 _P = str([priority(k >> 7, k & 127) for k in range(1 << 14)])
 _FOLDED = f"""(SELECT item_id, list_transform(list_zip(string_split(text, ''), string_split({fold.fold_sql("text")}, '')), lambda x: CASE WHEN unicode(x[1]) < 128 THEN unicode(x[2]) ELSE 128 | (unicode(x[2]) & 127) END) AS b FROM benchmark)"""
 _SPANS = f"""t AS (SELECT {_P}::BIGINT[] AS p), pairs AS (SELECT item_id, b, list_transform(range(1, len(b)), lambda k: CASE WHEN b[k] < 128 AND b[k + 1] < 128 THEN p[b[k] * 128 + b[k + 1] + 1] ELSE 0 END) AS q FROM {_FOLDED}, t),
-spans AS (SELECT item_id, b, s, n FROM (SELECT *, unnest(range(len(b) - 1)) AS s FROM pairs), (SELECT unnest(range(2, 9)) AS n) WHERE s + n <= len(b) AND (n = 2 OR greatest(q[s + 1], q[s + n - 1]) < coalesce(list_min(q[s + 2:s + n - 2]), 1 << 40)))"""
+spans AS (SELECT item_id, b, s, n FROM (SELECT *, unnest(range(len(b) - 1)) AS s FROM pairs), (SELECT unnest(range(2, 9)) AS n) WHERE s + n <= len(b) AND (n = 2 OR greatest(q[s + 1], q[s + n - 1]) < coalesce(list_min(q[s + 2:s + n - 2]), 1099511627776)))"""
 
 
 @_query(f"WITH {_SPANS} SELECT item_id AS key, CAST(s AS INT) AS start, CAST(n AS INT) AS length FROM spans")
