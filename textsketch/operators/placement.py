@@ -143,7 +143,7 @@ class ChooseK:
 
     def shrink_n(self) -> int:
         """Lower n to the largest node chosen; the index of the node that is new."""
-        if self.n <= self.k:
+        if not self.samples or self.samples[-1] < self.k:
             raise ValueError("no node to spare")
         self.n = self.samples[-1]
         return self._shrink(self.n)
