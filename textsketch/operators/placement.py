@@ -90,7 +90,7 @@ def hashes_below(source: Source, n: int) -> Iterator[int]:
 
 
 def hashes_from(source: Source, n: int) -> Iterator[int]:
-    """All consistent hashes of a key from n on, rising."""
+    """All consistent hashes of a key from n on, rising; for n one below a power of two, from n + 1 on."""
     if n == 0:
         yield 0
     least = 1 << (n + 1).bit_length() >> 1
