@@ -106,28 +106,46 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
+def _replace(loose: list[int], lengths: list[int], bins: list[list[int]], capacity: int) -> list[int]:
+    """Swap displaced items into bins that they fill better than what is there; what is then displaced, largest first."""
+    free = sorted((lengths[i], i) for i in loose)
+    for own in bins:
+        room = capacity - sum(lengths[i] for i in own)
+        for k, i in enumerate(own):
+            if not room:
+                break
+            at = bisect_left(free, (lengths[i] + room + 1, -1)) - 1  # the largest that fits in its place
+            if at >= 0 and free[at][0] > lengths[i]:
+                size, better = free.pop(at)
+                room -= size - lengths[i]
+                own[k] = better
+                insort(free, (lengths[i], i))
+    return [i for _, i in reversed(free)]
+
+
 def _fitness(bins: list[list[int]], lengths: list[int], capacity: int) -> tuple[int, float]:
     return -len(bins), sum((sum(lengths[i] for i in b) / capacity) ** 2 for b in bins) / max(1, len(bins))
 
 
 def crossover(a: list[list[int]], b: list[list[int]], lengths: list[int], capacity: int, rng: np.random.Generator) -> list[list[int]]:
-    """Inject a random half of b's best-filled third into a; best-fit what a's dropped bins held besides."""
+    """Inject a random half of b's best-filled third into a; place what a's dropped bins held besides."""
     loads = sorted(((sum(lengths[i] for i in x), k) for k, x in enumerate(b)), reverse=True)
     chosen = [b[k] for _, k in loads[: max(1, len(b) // 3)] if rng.random() < 0.5] or [b[loads[0][1]]]
     taken = {i for x in chosen for i in x}
     kept = [list(x) for x in a if taken.isdisjoint(x)]
     loose = [i for x in a if not taken.isdisjoint(x) for i in x if i not in taken]
+    loose = _replace(loose, lengths, kept, capacity)
     child = [list(x) for x in chosen] + kept
-    _place(sorted(loose, key=lambda i: -lengths[i]), lengths, child, capacity)
+    _place(loose, lengths, child, capacity)
     return child
 
 
 def mutate(bins: list[list[int]], lengths: list[int], capacity: int, rng: np.random.Generator) -> list[list[int]]:
-    """Dissolve the emptiest bins and a few at random, and best-fit their items anew, largest first."""
+    """Dissolve the emptiest bins and a few at random, swap their items in where they fill better, and best-fit the rest."""
     order = sorted(range(len(bins)), key=lambda k: sum(lengths[i] for i in bins[k]))
     gone = set(order[: 1 + len(bins) // 50]) | set(rng.integers(0, len(bins), 2 + len(bins) // 50).tolist())
     child = [list(x) for k, x in enumerate(bins) if k not in gone]
-    _place(sorted((i for k in gone for i in bins[k]), key=lambda i: -lengths[i]), lengths, child, capacity)
+    _place(_replace([i for k in gone for i in bins[k]], lengths, child, capacity), lengths, child, capacity)
     return child
 
 
