@@ -75,20 +75,16 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     node's minimum, so that no task ever holds a component; a round's edges are written to the
     shared folder. Self-links and repeated links change nothing; no edges give no rows.
     """
-    stars = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    before = None
+    stars = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     for _ in range(rounds):
+        if stars.join(stars.select(F.col("v").alias("u")), "u", "left_semi").isEmpty():  # all stars: done
+            break
         both = stars.union(stars.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.greatest("v", "m").alias("u"), F.col("m").alias("v"), F.col("u").alias("top"))
-        stars = small.select("u", "v").where("u <> v").union(small.select("top", "v")).distinct()
-        stars = materialise(stars)
-        now = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if now == before:
-            break
-        before = now
+        small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x"))
+        stars = materialise(small.select(F.greatest("x.v", "x.m").alias("u"), F.least("x.v", "x.m").alias("v")).where("u <> v").distinct())
     else:
         raise RuntimeError("components did not settle")
     return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).union(stars.select("v", "v").distinct())
