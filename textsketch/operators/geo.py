@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import M64, fnv1a, md5_bits
+from ..functions.literals import int_array
 
 SIM_BITS, SIM_RING = 6, 20
 
@@ -87,8 +88,8 @@ def bucket_of_bits(bits: Column, b: int) -> Column:
     levels = F.when(bits == "0", 64).otherwise(64 - F.length(bits))
     after = F.conv(F.rpad(F.substring(bits, 2, 32), 32, "0"), 2, 10).cast("bigint")
     cell = F.shiftright(after, 31 - b).cast("int") + 1
-    first = F.element_at(F.lit(list(base)), cell)
-    beyond = (after < F.element_at(F.lit([int(x) for x in limit]).cast("array<bigint>"), cell)).cast("int")
+    first = F.element_at(int_array(base, "int"), cell)
+    beyond = (after < F.element_at(int_array(limit), cell)).cast("int")
     return (first + beyond + F.shiftleft(levels, b)).cast("int")
 
 

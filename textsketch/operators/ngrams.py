@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bigram_table import priority
 from ..functions.fold import index_fold_bytes, simple_fold
+from ..functions.literals import int_array
 
 LONGEST, MASK, PAYLOAD = 8, (1 << 27) - 1, 24
 _MULTIPLIER = 0x9E3779B97F4A7C15
@@ -153,7 +154,7 @@ def native_spans(df: DataFrame, key: str, text: str) -> DataFrame:
     hexed = F.hex(F.encode(F.col(text), "UTF-8"))
     n = F.octet_length(text)
     byte = lambda k: F.conv(F.substring(F.col("__h"), 2 * k + 1, F.lit(2)), 16, 10).cast("int")
-    table = F.lit([int(x) for x in priorities()[:128, :128].ravel()]).cast("array<bigint>")
+    table = int_array(priorities()[:128, :128].ravel().tolist())
     pair = lambda k: F.when((byte(k) < 128) & (byte(k + 1) < 128), F.element_at(table, byte(k) * 128 + byte(k + 1) + 1)).otherwise(0)
     base = df.select(F.col(key).alias("key"), n.alias("n"), hexed.alias("__h")).where("n > 1")
     base = base.withColumn("p", F.transform(F.sequence(F.lit(0), F.col("n") - 2), pair)).select("key", "n", "p")
@@ -300,5 +301,5 @@ def search(docs: DataFrame, queries: DataFrame, doc: str, query: str, text: str
 
 def bigram_priority(a: Column, b: Column) -> Column:
     """The priority of two bytes."""
-    table = F.lit([int(x) for x in priorities()[:128, :128].ravel()]).cast("array<bigint>")
+    table = int_array(priorities()[:128, :128].ravel().tolist())
     return F.when((a < 128) & (b < 128), F.element_at(table, (a * 128 + b + 1).cast("int"))).otherwise(F.lit(0).cast("bigint"))
