@@ -29,7 +29,16 @@ TEMPLATES = {
     "GPL": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
     "LGPL": ["This work is licensed under the GNU Lesser General Public License, version 3."],
-    "MIT": ["Released under the MIT License.", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'],
+    "MIT": ["Released under the MIT License.", 'Permission is hereby granted, free of charge, '
+            'to any person obtaining a copy of '
+            'this software and associated documentation files (the '
+            '"Software"), to deal in the Software without '
+            'restriction, including without limitation the rights to '
+            'use, copy, modify, merge, publish, distribute, sublicense, '
+            'and/or sell copies of the Software, and '
+            'to permit persons to whom the Software '
+            'is furnished to do so, subject to '
+            'the following conditions:'],
     "MPL": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
 }
 _word = re.compile(r"\w+").findall

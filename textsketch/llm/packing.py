@@ -82,7 +82,7 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return ([(0, first)] if first else []) + [(s, capacity) for s in range(first, n, capacity)]
 
 
-# --- one shard -----------------------------------------------------------------------------
+# one shard
 
 
 def _place(order: list[int], lengths: list[int], bins: list[list[int]], capacity: int) -> None:
@@ -184,7 +184,7 @@ def _numbers(bins: list[list[int]], n: int) -> list[int]:
     return of
 
 
-# --- distributed ---------------------------------------------------------------------------
+# distributed
 
 _ITEMS = [("doc_id", "bigint", pa.int64()), ("piece", "int", pa.int32()), ("start", "bigint", pa.int64()), ("length", "bigint", pa.int64()), ("ids_crc32", "bigint", pa.int64())]
 _SHARD = "shard string, " + ", ".join(f"{n} array<{t}>" for n, t, _ in _ITEMS)
