@@ -76,7 +76,7 @@ def test_sim_hashes_of_alike_sketches_agree():
 
 def test_choose_k_goldens():
     at = Counter((i, x) for k in range(32783, 32815) for x in ChooseK.with_k(Source.of(k), 8, 2).samples for i in [0])
-    assert [at[0, i] for i in range(8)] == [10, 12, 6, 6, 6, 5, 9, 10]
+    assert " ".join(str(at[0, i]) for i in range(8)) == "10 12 6 6 6 5 9 10"
     prev = Counter(placement.prev_hash(Source.of(k), 13) for k in range(100_000))
     assert [prev[i] for i in range(4)] == [7577, 7541, 7538, 7822]
 
@@ -122,7 +122,7 @@ def test_node_map():
     assert nodes.add() == 2 and nodes.remove(4) and nodes.slot_count() == 4
 
 
-@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 7, 8, 9, 16, 17, 31, 32, 33, 100, 1000])
+@pytest.mark.parametrize("n", [*range(1, 6), *range(7, 10), 16, 17, *range(31, 34), 100, 1000])
 def test_permutation_is_a_bijection(n):
     for seed in range(4):
         assert sorted(placement.permutation(n, splitmix64(seed))) == list(range(n))
@@ -158,7 +158,7 @@ def test_query_grams():
     for c in "hello world":
         state.append_char(c, lambda *_: None)
         seen.append(state.state()[0])
-    assert seen == [1, 2, 3, 2, 3, 2, 3, 2, 3, 4, 5]
+    assert "".join(map(str, seen)) == "12323232345"
     rng = random.Random(5)
     for _ in range(500):
         q = "".join(rng.choice("abcdefgh lardeesk") for _ in range(rng.randint(1, 16)))

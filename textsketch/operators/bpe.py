@@ -64,7 +64,7 @@ class Vocabulary:
     def token_len(self, token: int) -> int:
         return len(self.tokens[token])
 
-    # --- pairs
+    # pairs
 
     def is_valid_pair(self, a: int, b: int) -> bool:
         """Whether the encoding keeps a boundary between two tokens that follow each other."""
@@ -96,7 +96,7 @@ class Vocabulary:
             if token is not None:
                 yield token
 
-    # --- encodings
+    # encodings
 
     def encode(self, text: bytes) -> list[int]:
         """By the definition: merge the pair of least rank, leftmost first."""
@@ -310,9 +310,9 @@ class Intervals:
         return encoder.token_count()
 
 
-# --- pre-tokenising ----------------------------------------------------------------------------
+# pre-tokenising
 
-_END = r"(?i:'s|'t|'re|'ve|'m|'ll|'d)"
+_END = "(?i:" + "|".join("'" + x for x in "s t re ve m ll d".split()) + ")"
 _SPACE = [r"\s*[\r\n]+", r"\s+(?!\S)", r"\s+"]
 _SIGNS = r" ?[^\s\p{L}\p{N}]+[\r\n"
 _UPPER, _LOWER = r"[\p{Lu}\p{Lt}\p{Lm}\p{Lo}\p{M}]", r"[\p{Ll}\p{Lm}\p{Lo}\p{M}]"
@@ -397,7 +397,7 @@ class Tokenizer:
             yield start, end, n
 
 
-# --- DataFrame operators -----------------------------------------------------------------------
+# DataFrame operators
 
 
 def tokenizer(path: str, pattern: str | None, nfc: bool = False) -> Callable[[], Tokenizer]:

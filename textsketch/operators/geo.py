@@ -53,7 +53,7 @@ DIFF7, DIFF10, DIFF13 = Config(7, 2, 112, 12), Config(10, 4, 896, 64), Config(13
 DISTINCT7, DISTINCT13 = Config(7, 2, 136, 8, "distinct"), Config(13, 4, 9216, 320, "distinct")
 
 
-# --- buckets --------------------------------------------------------------------------------
+# buckets
 
 
 @functools.lru_cache(maxsize=16)
@@ -93,7 +93,7 @@ def bucket_of_bits(bits: Column, b: int) -> Column:
     return (first + beyond + F.shiftleft(levels, b)).cast("int")
 
 
-# --- sketches as relations -------------------------------------------------------------------
+# sketches as relations
 
 
 def distinct_sketch(df: DataFrame, keys: list[str], item: Column, config: Config = DISTINCT7) -> DataFrame:
@@ -121,7 +121,7 @@ def symmetric_difference(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFra
     return parity(a.unionByName(b), keys)
 
 
-# --- estimates -------------------------------------------------------------------------------
+# estimates
 
 
 def expected_diff(phi: float, items: float) -> tuple[float, float]:
@@ -256,7 +256,7 @@ def bucket_sql(item: str, b: int) -> str:
 FROM (SELECT s, CAST('0b' || rpad(substr(s, 2, 32), 32, '0') AS BIGINT) AS w FROM (SELECT {bits} AS s)))"""
 
 
-# --- comparison ------------------------------------------------------------------------------
+# comparison
 
 
 def ones(sketch: DataFrame, keys: list[str]) -> DataFrame:
@@ -322,7 +322,7 @@ def masked_key(buckets: Column, mask: int, size: int, width: int) -> Column:
     return key
 
 
-# --- packed sketches and similarity keys: kernels over the buckets of one sketch -----------------
+# packed sketches and similarity keys: kernels over the buckets of one sketch
 
 
 def pack(buckets: list[int], config: Config) -> bytes:

@@ -22,7 +22,7 @@ LONGEST, MASK, PAYLOAD = 8, (1 << 27) - 1, 24
 _MULTIPLIER = 0x9E3779B97F4A7C15
 
 
-# --- keys ------------------------------------------------------------------------------------
+# keys
 
 
 def _mix(x: int) -> int:
@@ -59,7 +59,7 @@ def max_sparse_grams(n: int) -> int:
     return 3 * (n - 1) if n > 1 else 0
 
 
-# --- index side ------------------------------------------------------------------------------
+# index side
 
 
 @functools.cache
@@ -165,7 +165,7 @@ def native_spans(df: DataFrame, key: str, text: str) -> DataFrame:
     return spans.where((F.col("length") == 2) | (F.greatest(left, right) < F.coalesce(inner, F.lit(1 << 40)))).select("key", "start", "length")
 
 
-# --- query side ------------------------------------------------------------------------------
+# query side
 
 Emit = Callable[[bytes, int, int | None], None]
 
@@ -280,7 +280,7 @@ def covers(queries: DataFrame, key: str, text: str) -> DataFrame:
     return queries.select(key, text).mapInArrow(run, f"key {dict(queries.dtypes)[key]}, gram int, end int")
 
 
-# --- search ----------------------------------------------------------------------------------
+# search
 
 
 def search(docs: DataFrame, queries: DataFrame, doc: str, query: str, text: str = "text", wanted: str = "text") -> DataFrame:

@@ -215,7 +215,7 @@ class NodeMap:
         return None if self.is_empty() else next(x for x in ChooseK(source, self.total) if x not in self.deleted)
 
 
-# --- permutations -----------------------------------------------------------------------------
+# permutations
 
 
 def _layer(bits: int, key: int, x: int) -> int:
@@ -315,7 +315,7 @@ class Reservoir:
             yield added, evicted
 
 
-# --- DataFrame operators ---------------------------------------------------------------------
+# DataFrame operators
 
 
 def _mapped(df: DataFrame, key: str, each: Callable[[int], object], kind: pa.DataType, name: str, sql: str) -> DataFrame:

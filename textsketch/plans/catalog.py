@@ -53,7 +53,7 @@ def _tokenizer():
     return bpe.tokenizer(_vocabulary(), public_tokenizers.PATTERN)
 
 
-# --- case folding ------------------------------------------------------------------------------
+# case folding
 
 
 @_query(f"SELECT doc_id, {fold.fold_sql('text')} AS folded FROM documents")
@@ -77,7 +77,7 @@ def utf8_lengths(spark, sf_dir):
     return chars.groupBy(fold.utf8_len(lead).alias("utf8_bytes")).agg(F.count("*").alias("n"))
 
 
-# --- offsets -----------------------------------------------------------------------------------
+# offsets
 
 
 @_query(
@@ -122,7 +122,7 @@ def offsets_sizes(spark, sf_dir):
     return _read(spark, sf_dir, "documents").select("doc_id", offsets.length(t).alias("len"), offsets.lines(t).alias("lines"), offsets.is_empty(t).alias("is_empty"))
 
 
-# --- term maps -----------------------------------------------------------------------------------
+# term maps
 
 
 @_query(f"SELECT lang, {_H.format('word')} AS hash, word AS key, count(*) AS value FROM {_WORDS} WHERE word <> '' GROUP BY ALL")
@@ -163,7 +163,7 @@ def sort_by_hash(spark, sf_dir):
     return placement._with_places(terms, ["order", "key"]).select("key", F.col("__place").alias("place"))
 
 
-# --- sparse n-grams ------------------------------------------------------------------------------
+# sparse n-grams
 
 _P = str([priority(k >> 7, k & 127) for k in range(1 << 14)])
 _FOLDED = f"""(SELECT item_id, list_transform(list_zip(string_split(text, ''), string_split({fold.fold_sql("text")}, '')), lambda x: CASE WHEN unicode(x[1]) < 128 THEN unicode(x[2]) ELSE 128 | (unicode(x[2]) & 127) END) AS b FROM benchmark)"""
@@ -224,7 +224,7 @@ def substring_search(spark, sf_dir):
     return ngrams.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), "doc_id", "item_id")
 
 
-# --- byte-pair encoding ----------------------------------------------------------------------------
+# byte-pair encoding
 
 
 @_query(f"SELECT CAST(rank AS INT) AS token_id, CAST(octet_length(from_base64(token)) AS INT) AS n_bytes FROM read_csv('{_vocabulary()}', delim = ' ', header = false, columns = {{'token': 'VARCHAR', 'rank': 'BIGINT'}}, quote = '', escape = '')")
@@ -284,7 +284,7 @@ def bpe_interval_counts(spark, sf_dir):
     return bpe.interval_counts(_read(spark, sf_dir, "benchmark"), "item_id", "text", _tokenizer(), 16, 48)
 
 
-# --- sketches ------------------------------------------------------------------------------------
+# sketches
 
 
 def _estimated(sketch: DataFrame, keys: list[str], config: geo.Config) -> DataFrame:
@@ -413,7 +413,7 @@ def sketch_errors(spark, sf_dir):
     return geo.relative_errors(spark, geo.DISTINCT7, [10, 100, 1000], 40)
 
 
-# --- placement -----------------------------------------------------------------------------------
+# placement
 
 
 @_query()
@@ -493,7 +493,7 @@ def hash_ring(spark, sf_dir):
     return placement.on_ring(_read(spark, sf_dir, "customer"), "c_custkey", placement.ring(nodes, 8))
 
 
-# --- streams ---------------------------------------------------------------------------------------
+# streams
 
 
 @_query(f"WITH s AS ({_sketch_sql('(SELECT DISTINCT time_bucket(INTERVAL 1 day, ts) AS window_start, event_type, user_id FROM events)', 'window_start, event_type', 'user_id', 7)}) {_estimated_sql('(SELECT window_start, event_type, bucket FROM s)', ['window_start', 'event_type'], geo.DISTINCT7)}")
