@@ -366,7 +366,8 @@ def sample(df: DataFrame, order: list[str], k: int, key: int) -> DataFrame:
 
 def _with_places(df: DataFrame, order: list[str]) -> DataFrame:
     """Places from 0 in a total order, without sorting all rows in one task: counts of range partitions, then ranks within."""
-    ranged = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a stated number isn't coalesced differently in two branches
+    ranged = df.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id())
     within = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
     counts = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
     before = counts.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
