@@ -147,6 +147,8 @@ def _vectors(n=300, d=24):
     hot = rng.normal(size=d)
     for _ in range(150):
         rows.append((len(rows), (hot + rng.normal(size=d) * 0.02).tolist(), 1))
+    for _ in range(40):  # copies of one, which is linked to others
+        rows.append((len(rows), rows[0][1], rows[0][2]))
     return rows
 
 

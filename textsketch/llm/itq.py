@@ -6,6 +6,7 @@ vectors with equal substrings are compared by the cosine of the originals in dou
 Several rotations, learned from different beginnings, give as many tables as the wanted recall at
 the threshold takes. A pair is counted in the first table in which it meets, so that no list of
 pairs is ever made: tasks return counts and, for components, each vector's group in its block.
+Equal vectors are one entry with a weight.
 """
 
 from __future__ import annotations
@@ -87,15 +88,15 @@ def _unit(values: list | None) -> np.ndarray | None:
 def _indexed(tables):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, vectors, labels = (c.to_pylist() for c in batch.columns)
+            ids, vectors, labels, copies, k1, k2 = (c.to_pylist() for c in batch.columns)
             units = [_unit(v) for v in vectors]
             for d in sorted({len(u) for u in units if u is not None}):
                 of = [k for k, u in enumerate(units) if u is not None and len(u) == d]
                 x = np.stack([units[k] for k in of])
                 keys = tables.value.keys(x).tolist()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[k] for k in of], pa.int64()), pa.array([labels[k] for k in of], pa.string()), pa.array([d] * len(of), pa.int32()), pa.array([row.tobytes() for row in x], pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                    names=["vec_id", "label", "dim", "unit", "keys"],
+                    [pa.array([ids[k] for k in of], pa.int64()), pa.array([labels[k] for k in of], pa.string()), pa.array([d] * len(of), pa.int32()), pa.array([row.tobytes() for row in x], pa.binary()), pa.array(keys, pa.list_(pa.int64())), *(pa.array([c[k] for k in of], pa.int64()) for c in (copies, k1, k2))],
+                    names=["vec_id", "label", "dim", "unit", "keys", "copies", "k1", "k2"],
                 )
 
     return run
@@ -115,14 +116,14 @@ def _groups(links: np.ndarray) -> np.ndarray:
 def _counted(threshold: float):
     """For rows sorted by block: links that are first met in the block's table, and the links' groups."""
 
-    def dense(x, keys, ids, chunk, table, cross) -> tuple[np.ndarray, np.ndarray]:
+    def dense(x, keys, ids, copies, chunk, table, cross) -> tuple[np.ndarray, np.ndarray]:
         links = (x @ x.T >= threshold) & (ids[:, None] != ids[None, :])
         if cross:  # within a chunk, pairs were counted in the chunk's own block
             links &= chunk[:, None] != chunk[None, :]
         fresh = links.copy()
         for t in range(table):
             fresh &= keys[:, t][:, None] != keys[:, t][None, :]
-        return fresh.sum(axis=1), _groups(links)
+        return fresh @ copies, _groups(links)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -131,7 +132,7 @@ def _counted(threshold: float):
             rows = rows.combine_chunks()
             block = rows["block"].to_numpy()
             ids, dim, table = rows["vec_id"].to_numpy(), rows["dim"].to_numpy(), rows["t"].to_numpy()
-            chunk, cross = rows["chunk"].to_numpy(), rows["cross"].to_numpy(zero_copy_only=False)
+            copies, chunk, cross = rows["copies"].to_numpy(), rows["chunk"].to_numpy(), rows["cross"].to_numpy(zero_copy_only=False)
             units = [np.frombuffer(b, dtype=np.float64) for b in rows["unit"].to_pylist()]
             keys = np.array(rows["keys"].to_pylist(), dtype=np.int64).reshape(len(ids), -1)
             n, root = np.zeros(len(ids), dtype=np.int64), ids.copy()
@@ -141,14 +142,14 @@ def _counted(threshold: float):
                     same = ids[a] != ids[a + 1] and float(units[a] @ units[a + 1]) >= threshold and not (cross[a] and chunk[a] == chunk[a + 1])
                     if same:
                         fresh = not (keys[a, : table[a]] == keys[a + 1, : table[a]]).any()
-                        n[a : b] += fresh
+                        n[a], n[a + 1] = n[a] + fresh * copies[a + 1], n[a + 1] + fresh * copies[a]
                         root[a : b] = ids[a : b].min()
                 elif b - a > 2:
                     own = np.arange(a, b)[np.argsort(ids[a:b], kind="stable")]
-                    count, group = dense(np.stack([units[k] for k in own]), keys[own], ids[own], chunk[own], int(table[a]), bool(cross[a]))
+                    count, group = dense(np.stack([units[k] for k in own]), keys[own], ids[own], copies[own], chunk[own], int(table[a]), bool(cross[a]))
                     n[own], root[own] = count, ids[own][group]
             some = (n > 0) | (root != ids)
-            return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(n[some]), pa.array(root[some])], names=["vec_id", "n", "root"])
+            return pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (rows["row"].to_numpy(), ids, n, root)], names=["row", "vec_id", "n", "root"])
 
         for batch in batches:
             last = batch.column(0)[batch.num_rows - 1].as_py() if batch.num_rows else None
@@ -186,8 +187,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
     picked = valid.where(F.pmod(F.xxhash64(F.lit("learn"), "vec_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("vec_id", "embedding").collect()  # bounded: LEARNED
     sample = [u for r in sorted(picked, key=lambda r: r["vec_id"]) if (u := _unit(r["embedding"])) is not None]
     tables = spark.sparkContext.broadcast(Tables(sample, width, recall, threshold))
-    once = valid.dropDuplicates(["vec_id", "label", "embedding"]).select("vec_id", "embedding", "label")
-    indexed = materialise(once.mapInArrow(_indexed(tables), "vec_id bigint, label string, dim int, unit binary, keys array<bigint>").withColumn("row", F.monotonically_increasing_id()))
+    marked = valid.select("vec_id", "embedding", "label", F.xxhash64("label", "embedding").alias("k1"), F.xxhash64(F.lit("copies"), "embedding", "label").alias("k2"))
+    copies = marked.dropDuplicates(["vec_id", "k1", "k2"]).groupBy("k1", "k2").agg(F.min("vec_id").alias("vec_id"), F.first("embedding").alias("embedding"), F.first("label").alias("label"), F.count("*").alias("copies"))
+    schema = "vec_id bigint, label string, dim int, unit binary, keys array<bigint>, copies bigint, k1 bigint, k2 bigint"
+    indexed = materialise(copies.select("vec_id", "embedding", "label", "copies", "k1", "k2").mapInArrow(_indexed(tables), schema).withColumn("row", F.monotonically_increasing_id()))
     narrow = indexed.select("row", "label", "dim", F.posexplode("keys").alias("t", "key"))
     entries = narrow.groupBy("t", "label", "dim", "key").agg(F.count("*").alias("n")).where("n > 1")
     met = narrow.join(entries, ["t", "label", "dim", "key"])
@@ -196,11 +199,15 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
     met = met.withColumn("other", F.explode(F.when(F.col("chunks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))))
     low, high = F.least("chunk", "other"), F.greatest("chunk", "other")
     blocks = met.select("row", "t", "chunk", F.xxhash64("t", "label", "dim", "key", low, high).alias("block"), (low != high).alias("cross"))
-    rows = blocks.join(indexed.select("row", "vec_id", "dim", "unit", "keys"), "row").select("block", "vec_id", "dim", "t", "chunk", "cross", "unit", "keys")
-    found = rows.repartition("block").sortWithinPartitions("block").mapInArrow(_counted(threshold), "vec_id bigint, n bigint, root bigint")
+    rows = blocks.join(indexed.select("row", "vec_id", "dim", "unit", "keys", "copies"), "row").select("block", "row", "vec_id", "dim", "t", "chunk", "cross", "unit", "keys", "copies")
+    found = rows.repartition("block").sortWithinPartitions("block").mapInArrow(_counted(threshold), "row bigint, vec_id bigint, n bigint, root bigint")
     found = materialise(found)
-    counts = found.groupBy("vec_id").agg(F.sum("n").alias("n_links"))
+    counts = found.groupBy("row").agg(F.sum("n").alias("n"))
     parts = connected_components(found.select(F.col("vec_id").alias("a"), F.col("root").alias("b")))
-    out = own.select("vec_id").join(counts, "vec_id", "left").join(parts.withColumnRenamed("node", "vec_id"), "vec_id", "left")
+    first = indexed.select("row", "k1", "k2", F.col("vec_id").alias("node"), "copies").join(counts, "row", "left").join(parts, "node", "left")
+    first = first.select("k1", "k2", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n"), F.coalesce("component", "node").alias("component"))
+    members = marked.select("vec_id", "k1", "k2").distinct().join(first, ["k1", "k2"])  # of many copies, each is counted once
+    found = members.groupBy("vec_id").agg(F.sum("n").alias("n_links"), F.min("component").alias("component"))
+    out = own.select("vec_id").join(found, "vec_id", "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
