@@ -165,6 +165,19 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
+def _head(counts: DataFrame) -> list[tuple[bytes, int]]:
+    """At most HEAD tokens by falling count: all from some count on, which a histogram of its logarithms tells."""
+    step = F.floor(F.log2("n") * 16).cast("int")
+    found, cut = 0, None
+    for level, n in sorted(counts.groupBy(step.alias("level")).count().collect(), reverse=True):  # at most 1024 levels
+        found += n
+        if found > HEAD:
+            break
+        cut = level
+    rows = [] if cut is None else counts.where(step >= cut).select("token", "n").collect()  # bounded: HEAD
+    return sorted(((bytes(r["token"]), r["n"]) for r in rows), key=lambda r: (-r[1], r[0]))
+
+
 def _expected(head, states):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, total, held, n = states.value, None, [], 0
@@ -234,7 +247,7 @@ def score(docs: DataFrame, held_out: F.Column) -> DataFrame:
     counts = training.mapInArrow(_counts, "token binary, kind int, n bigint").groupBy("token").agg(F.first("kind").alias("kind"), F.sum("n").alias("n"))
     counts = materialise(counts)
     classes = {r["kind"]: (r["n"], r["v"]) for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}  # bounded: SHARED
-    rows = [(bytes(r["token"]), r["n"]) for r in counts.orderBy(F.desc("n"), "token").limit(HEAD).select("token", "n").collect()]  # bounded: HEAD
+    rows = _head(counts)
     n, v = sum(a for a, _ in classes.values()), sum(b for _, b in classes.values())
     model = Head(rows, n, v, classes)
     head = spark.sparkContext.broadcast(model)
