@@ -121,8 +121,9 @@ def test_scores_are_a_distribution():
         kinds[hmm.shared_class(t)] = a + c, b + 1
     head = hmm.Head(rows, sum(counts.values()), len(counts), kinds)
     share = Counter()
-    for t, (c, s, _) in head.known.items():
-        share[c] += 10.0**s if c < hmm.SHARED else 1.0
+    for k in head.known.values():
+        c = int(head.kind[k])
+        share[c] += 10.0 ** head.share[k] if c < hmm.SHARED else 1.0
     for c in range(hmm.SHARED):
         assert share[c] + 10 ** (math.log10(0.5) - head.size[c]) == pytest.approx(1)
 

@@ -13,6 +13,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -58,15 +59,26 @@ class Head:
         self.classes = SHARED + len(own)
         self.size = np.log10(size + HALF * (kinds + 1))  # of a share's denominator
         self.scale = np.log10(n + HALF * (v + 1))
-        #: token -> class, log10 of its share of the class, log10 of the base's numerator
-        self.known = {t: (shared_class(t), np.log10(k + HALF) - self.size[shared_class(t)], np.log10(k + HALF)) for t, k in rows}
-        for i, t in enumerate(own):
-            self.known[t] = (SHARED + i, 0.0, np.log10(counts.get(t, 0) + HALF))
-        self.counted = frozenset(t for t, k in rows if k)
+        mine = {t: SHARED + i for i, t in enumerate(own)}
+        held = [*(t for t, _ in rows), *(t for t in own if t not in counts)]
+        #: token -> place in what follows: class, log10 of its share of the class and of the base's numerator, whether it was counted
+        self.known = {t: i for i, t in enumerate(held)}
+        self.kind = np.array([mine.get(t, -1) if t in mine else shared_class(t) for t in held] + [0], dtype=np.int32)
+        self.base = np.array([np.log10(counts.get(t, 0) + HALF) for t in held] + [0.0])
+        self.share = np.where(self.kind < SHARED, self.base - self.size[np.minimum(self.kind, SHARED - 1)], 0.0)
+        self.counted = np.array([bool(counts.get(t)) for t in held] + [False])
+
+    def places(self, of: list[bytes]) -> tuple[np.ndarray, list[int]]:
+        """The place of each token (-1: not here), and where those that aren't here stand."""
+        at = np.array(list(map(self.known.get, of, repeat(-1))), dtype=np.int64)
+        return at, np.nonzero(at < 0)[0].tolist()
 
     def encode(self, of: list[bytes]) -> np.ndarray:
-        known = self.known
-        return np.array([x[0] if (x := known.get(t)) else shared_class(t) for t in of], dtype=np.int32)
+        at, rare = self.places(of)
+        classes = self.kind[at]
+        if rare:
+            classes[rare] = [shared_class(of[k]) for k in rare]
+        return classes
 
 
 class States:
@@ -215,12 +227,14 @@ def _scored(head, states):
 
         for doc_id, held_out, text in one_row(batches):
             of = tokens(text)
-            held.append(own.encode(of))
-            got = [own.known.get(t) for t in of]
-            rare = Counter(t for t, x in zip(of, got, strict=True) if x is None)
-            known = [x for x in got if x is not None]
-            n_known = len(known) - (END not in own.counted)
-            rows.append((base + at, doc_id, held_out, len(of), n_known, float(sum(x[2] for x in known)) - len(of) * own.scale, float(sum(x[1] for x in known)) - float(sum(own.size[shared_class(t)] * k for t, k in rare.items())), list(rare), list(rare.values())))
+            places, missing = own.places(of)
+            classes = own.kind[places]
+            if missing:
+                classes[missing] = [shared_class(of[k]) for k in missing]
+            held.append(classes)
+            known, rare = places[places >= 0], Counter(of[k] for k in missing)
+            share = own.share[known].sum() - own.size[classes[missing]].sum()
+            rows.append((base + at, doc_id, held_out, len(of), int(own.counted[known].sum()), float(own.base[known].sum() - len(of) * own.scale), float(share), list(rare), list(rare.values())))
             n, at = n + len(of), at + 1
             if n >= SCORED:
                 yield out()
