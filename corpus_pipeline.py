@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textsketch.llm import decontaminate, langid, packing, quality, simhash
+from textsketch.llm import decontaminate, langid, nearcopies, packing, quality
 from textsketch.llm.common import materialise
 
 #: A text goes if less of its n-grams than this are known to its likeliest language.
@@ -29,8 +29,8 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, the document of the smallest id."""
-    return simhash.keep_one(docs)
+    """Of each group of near copies (5-word shingles with Jaccard similarity 0.8, or near fingerprints), the document of the smallest id."""
+    return nearcopies.keep_one(docs)
 
 
 def keep_unleaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

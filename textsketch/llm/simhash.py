@@ -28,11 +28,11 @@ SHINGLE, SEED, DISTANCE, SEGMENTS, PAIRED = 3, 42, 2, 8, 32
 _PART = 1 << 16
 
 
-def fingerprint(text: str | None, size: int = SHINGLE, seed: int = SEED) -> int:
-    """The 64 bits as an unsigned number; words are maximal runs without ASCII white space, A-Z in lower case."""
+def shingles(text: str | None, size: int, seed: int = SEED) -> np.ndarray:
+    """The hash of each run of `size` words (of all words, if there are no more); words are maximal runs without ASCII white space, A-Z in lower case."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return np.zeros(0, dtype="<u8")
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= size:
         hashes = [digest(joined, seed)]
@@ -40,7 +40,14 @@ def fingerprint(text: str | None, size: int = SHINGLE, seed: int = SEED) -> int:
         ends = np.cumsum([len(w) + 1 for w in words]).tolist()
         starts = [0, *ends]
         hashes = [digest(joined[s : e - 1], seed) for s, e in zip(starts, ends[size - 1 :])]  # noqa: B905
-    of = np.array(hashes, dtype="<u8")
+    return np.array(hashes, dtype="<u8")
+
+
+def fingerprint(text: str | None, size: int = SHINGLE, seed: int = SEED) -> int:
+    """The 64 bits as an unsigned number."""
+    of = shingles(text, size, seed)
+    if not len(of):
+        return 0
     ones = np.zeros(64, dtype=np.int64)
     for k in range(0, len(of), _PART):
         ones += np.unpackbits(of[k : k + _PART].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -132,7 +139,12 @@ def keep_one(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     Rows with a null doc_id come last, and of rows that share id and text one stays.
     """
     _, classes = _classes(docs, size)
-    keepers = materialise(classes.select("keeper.doc_id", "keeper.same").distinct())
+    return keep(docs, classes.select("keeper.doc_id", "keeper.same"))
+
+
+def keep(docs: DataFrame, keepers: DataFrame) -> DataFrame:
+    """One row of docs, with all its columns, for each (doc_id, same) of keepers."""
+    keepers = materialise(keepers.distinct())
     none = F.lit(-(1 << 63))
     keys = keepers.select(F.coalesce("doc_id", none).alias("__id"), F.col("same").alias("__same"))
     own = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("bigint"), none), "__same": F.xxhash64(F.col("text").cast("string"))})
