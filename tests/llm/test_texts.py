@@ -127,6 +127,22 @@ def test_edited_passages_are_found(spark, documents):
     assert decontaminate.clean(whole, bench.where("false")).count() == len(rows)
 
 
+@pytest.mark.parametrize("least, most", [(5, 15), (15, 50), (60, 120)])
+def test_all_passages_at_the_edit_limit_are_found(least, most):
+    """Exactly as many edits as are allowed, in items of one range of lengths."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 7)))
+    rows = [(k, " ".join(word() for _ in range(rng.randint(least, most)))) for k in range(100)]
+    items = decontaminate.Items().build(rows)
+    for k, text in rows:
+        own = text.split()
+        for _ in range(int(decontaminate.EDITS * len(own))):
+            at, kind = rng.randrange(len(own)), rng.random()
+            own[at : at + (kind < 0.75)] = [] if kind < 0.25 else [word()]
+        before, after = [word() for _ in range(rng.randint(0, 60))], [word() for _ in range(rng.randint(0, 60))]
+        assert k in {x[0] for x in items.find(" ".join(before + own + after))}
+
+
 def test_blocks_of_items_find_the_same(spark, documents, monkeypatch):
     items = [(k, f"alpha{k} beta{k} gamma{k} delta{k} epsilon{k} zeta{k}") for k in range(7)]
     bench, docs = spark.createDataFrame(items, "item_id bigint, text string"), documents([(k, f"so {t} end") for k, t in items])

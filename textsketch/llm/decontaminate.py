@@ -1,11 +1,11 @@
-"""Benchmark passages in documents, by CGK embedding, bit-sampling LSH and exact edit verification.
+"""Benchmark passages in documents, by a lossless filter of word pairs and exact edit verification.
 
 Texts are sequences of words. Windows of an item's length are looked at where enough of the item's
 word pairs lie near one diagonal to be within reach of it: an edit costs at most two pairs, so nothing
-within the limit is lost. Such a window walks through the CGK embedding, which turns edits into
-differing positions; if for one of several samples of positions it equals the item, the item is
-aligned with the surroundings of the window, ends free, and counts if its edit distance is
-within the limit.
+within the limit is lost. The item is aligned with the surroundings of all such windows, ends
+free, and counts if its edit distance is within the limit. No sampled filter (as the CGK embedding
+with bit-sampling LSH) stands before the alignment: so many pairs are asked for that few windows
+pass which don't hold the item, and a sample that misses would lose it.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import append, bounded_batches
 
-#: Words at least in an item; edits allowed, as a share of its words; walks, samples of each and positions in a sample.
-SHORTEST, EDITS, WALKS, SAMPLES, POSITIONS = 5, 0.2, 4, 12, 5
+#: Words at least in an item; edits allowed, as a share of its words.
+SHORTEST, EDITS = 5, 0.2
 #: Items that are looked for at once; with more, documents are read once for each block of items.
 BLOCK = 20_000
 #: A pair with more places in the items than this isn't looked up, if an item has enough others.
@@ -51,13 +51,6 @@ class Items:
                 self.ids.append(item)
                 self.tokens.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in of], dtype=np.int64))
         self._postings()
-        rng = np.random.default_rng(7)
-        lengths = sorted({len(t) for t in self.tokens})
-        # whether step j of walk w moves on at word x
-        self.moves = rng.integers(0, 2, (WALKS, 3 * max(lengths, default=1), len(self.vocabulary) + 1), dtype=np.int8)
-        self.mix = rng.integers(1, 1 << 62, POSITIONS, dtype=np.int64) | 1
-        self.at = {n: rng.integers(0, 2 * n, (WALKS, SAMPLES, POSITIONS)) for n in lengths}
-        self.tables = [set(self.keys(t[None], len(t))[0].tolist()) for t in self.tokens]
         return self
 
     def _postings(self) -> None:
@@ -80,20 +73,8 @@ class Items:
     def code(self, t: np.ndarray) -> np.ndarray:
         return t[:-1] * (len(self.vocabulary) + 1 << 8) + t[1:]
 
-    def keys(self, windows: np.ndarray, n: int) -> np.ndarray:
-        """For each window the keys of all walks' samples. An output is a word, or -1 past the end."""
-        m = len(windows)
-        padded = np.tile(np.c_[windows, np.full(m, -1)], (WALKS, 1))
-        rows, walk = np.arange(WALKS * m), np.repeat(np.arange(WALKS), m)
-        i, out = np.zeros(WALKS * m, dtype=np.int64), np.empty((WALKS * m, 3 * n), dtype=np.int64)
-        for j in range(3 * n):
-            out[:, j] = x = padded[rows, i]
-            i = np.minimum(n, i + self.moves[walk, j, np.maximum(x, 0)])
-        keys = [(out[w * m : (w + 1) * m][:, self.at[n][w]] + 2) @ self.mix + (w * SAMPLES + np.arange(SAMPLES)) for w in range(WALKS)]
-        return np.concatenate(keys, axis=1)
-
     def starts(self, t: np.ndarray) -> dict[int, np.ndarray]:
-        """For each item within reach, the starts of windows to embed: pairs in common lie near one diagonal."""
+        """For each item within reach, the starts of windows to look at: pairs in common lie near one diagonal."""
         known = (t[:-1] > 0) & (t[1:] > 0)
         at = np.nonzero(known)[0]
         if not len(at) or not len(self.codes):
@@ -125,12 +106,11 @@ class Items:
             where = at[:, None] + np.arange(n)
             windows = np.where((where >= 0) & (where < len(t)), t[np.clip(where, 0, len(t) - 1)], 0)
             equal = np.nonzero((windows == tokens).all(axis=1))[0]
-            if len(equal):  # its embedding is the item's, and no place is better
+            if len(equal):  # no place is better
                 found.append((self.ids[item], n, int(at[equal[0]]), int(at[equal[0]]) + n, 0))
                 continue
-            met = [int(s) for s, keys in zip(at, self.keys(windows, n).tolist(), strict=True) if not self.tables[item].isdisjoint(keys)]
             spans: list[list[int]] = []
-            for start in met:
+            for start in at.tolist():
                 if spans and start - spans[-1][1] <= n:
                     spans[-1][1] = start
                 else:
