@@ -79,6 +79,15 @@ def test_urls_as_of(spark):
     assert not any(r.blocked for r in urlfilter.judge(captures, lists.where("false")).collect())
 
 
+def test_entries_without_a_last_slash(spark):
+    """As in the SQL, an entry with a path holds for what begins with it."""
+    d = datetime.date(2024, 1, 1)
+    lists = spark.createDataFrame([("l", p, "add", d) for p in ("h.org/page.html", "h.org/spam", "i.or/x", "i.or", "j.org/a/")], "list string, pattern string, action string, at date")
+    urls = {"http://h.org/page.html?q": True, "http://h.org/spam": True, "http://h.org/spam/x": True, "http://h.org/page.htm": False, "http://www.h.org/spam": False, "http://i.org/x": False, "http://j.org/a": False, "http://j.org/a/b": True}
+    captures = spark.createDataFrame([(u, d) for u in urls], "url string, fetched_at date")
+    assert {r.url: r.blocked for r in urlfilter.judge(captures, lists).collect()} == urls
+
+
 def _levenshtein(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

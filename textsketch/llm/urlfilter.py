@@ -24,12 +24,14 @@ def path(url: Column) -> Column:
     return F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*([^?#]*)", 1)
 
 
-def patterns(url: Column) -> Column:
-    """All patterns that hold for a URL: its domains, and its host with each beginning of its path that ends in /."""
+def patterns(url: Column, lengths: Column) -> Column:
+    """All patterns that hold for a URL: its domains, and its host with each beginning of its path that ends in / or makes one of these lengths."""
     labels, parts = F.split(host(url), r"\."), F.split(path(url), "/")
     domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
     starts = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda k: F.concat(host(url), F.array_join(F.slice(parts, 1, k), "/"), F.lit("/")))
-    return F.when(host(url) == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(domains, starts)))
+    whole = F.concat(host(url), path(url))
+    others = F.transform(F.filter(lengths, lambda n: (n > F.length(host(url))) & (n <= F.length(whole))), lambda n: F.substring(whole, F.lit(1), n))
+    return F.when(host(url) == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(domains, starts, others)))
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -53,7 +55,8 @@ def judge(captures: DataFrame, entries: DataFrame, url: str = "url", at: str = "
     """
     kept = [c for c in captures.columns if c not in ("blocked", "reasons")]
     asked = captures.select(F.col(f"`{url}`").alias("__url"), F.col(f"`{at}`").alias("__at")).where("__url is not null and __at is not null").distinct()
-    keys = asked.select("__url", "__at", F.explode(patterns(F.col("__url"))).alias("__key"))
+    lengths = entries.where("contains(pattern, '/') and not endswith(pattern, '/')").agg(F.collect_set(F.length("pattern")).alias("__lengths"))
+    keys = asked.crossJoin(F.broadcast(lengths)).select("__url", "__at", F.explode(patterns(F.col("__url"), F.col("__lengths"))).alias("__key"))
     held = intervals(entries).select(F.col("list").alias("__list"), F.col("pattern").alias("__key"), F.col("valid_from").alias("__from"), F.col("valid_to").alias("__to"))
     met = keys.join(held, "__key").where("__from <= __at and (__to is null or __at < __to)")
     reason = F.concat("__list", F.lit(":"), "__key")
