@@ -128,3 +128,12 @@ def test_sample_equals_permutation(spark):
     got = {r["rank"]: r.id for r in placement.sample(spark.range(777), ["id"], 20, 5).collect()}
     assert [got[k] for k in range(20)] == list(islice(placement.permutation(777, 5), 20))
     assert placement.sample(spark.range(0), ["id"], 20, 5).count() == 0
+
+
+def test_merged_maps_hold_words_of_all_languages(spark, tmp_path):
+    from textsketch.plans import catalog
+
+    docs = spark.createDataFrame([(1, "a b", "en"), (2, "a c", "it"), (3, "a d", None)], "doc_id bigint, text string, lang string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.key: r.value for r in catalog.merge_maps(spark, str(tmp_path)).collect()}
+    assert got == {"a": 3, "b": 1, "c": 1, "d": 1}
