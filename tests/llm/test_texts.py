@@ -200,6 +200,27 @@ def test_embeddings_by_brute_force(spark, monkeypatch, chunk):
     assert itq.near_duplicates(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("common", [0.0, 0.7, 0.8, 0.99])
+def test_embeddings_with_a_common_direction(common):
+    """Pairs just above the threshold meet in some table, however long the mean of all vectors is."""
+    rng = np.random.default_rng(12)
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    n, d, c = 4000, 64, 0.935
+    x = (1 - common**2) ** 0.5 * unit(np.c_[np.zeros(n), rng.normal(size=(n, d - 1))])
+    x[:, 0] = common
+    own, other = x[:1000], x[1000:2000].copy()
+    a = unit(own[:, 1:])
+    b = rng.normal(size=a.shape)
+    b = unit(b - (a * b).sum(axis=1)[:, None] * a)
+    inner = max(-1.0, (c - common**2) / (1 - common**2))  # of the parts that aren't common
+    other[:, 1:] = (1 - common**2) ** 0.5 * (inner * a + (1 - inner**2) ** 0.5 * b)
+    assert ((own * other).sum(axis=1) >= 0.93).all()
+    x[1000:2000] = other
+    tables = itq.Tables(list(x), 15)
+    recall = (tables.keys(own) == tables.keys(other)).any(axis=1).mean()
+    assert recall >= 0.9, (recall, tables.width, tables.tables)
+
+
 def test_pipeline(spark, small):
     import corpus_pipeline
 

@@ -4,7 +4,9 @@ A rotation is learned that brings centred vectors close to the corners of a cube
 the rotated components are a balanced binary code. Each table indexes one substring of a code, and
 vectors with equal substrings are compared by the cosine of the originals in double precision.
 Several rotations, learned from different beginnings, give as many tables as the wanted recall at
-the threshold takes. A pair is counted in the first table in which it meets, so that no list of
+the threshold takes. Codes are of centred vectors: where vectors share a direction, pairs at the
+threshold are further apart in angle after centring, so that agreement of bits is taken from there,
+and substrings get shorter if there would be too many tables. A pair is counted in the first table in which it meets, so that no list of
 pairs is ever made: tasks return counts and, for components, each vector's group in its block.
 Equal vectors are one entry with a weight.
 """
@@ -24,6 +26,8 @@ from .common import connected_components, materialise
 #: Cosine of a link; recall aimed at for pairs just above it; numbers (vectors times dimensions) that rotations are learned from, at most about.
 THRESHOLD, RECALL, LEARNED = 0.93, 0.97, 1 << 21
 BITS, STEPS, CHUNK, SMALL = 64, 25, 1024, 48
+#: Tables at most, before substrings get shorter; vectors of the sample whose pairs are looked at; pairs just above the threshold that tell anything.
+TABLES, COMPARED, TELLING = 128, 2048, 30
 
 
 def learn(x: np.ndarray, bits: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -41,19 +45,44 @@ def learn(x: np.ndarray, bits: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     return mean, axes @ rotation
 
 
+def agreements(x: np.ndarray, threshold: float) -> list[np.ndarray]:
+    """Shares of bits in which pairs at the threshold agree: by the lengths of centred vectors, and of pairs in the sample."""
+    x = x[:: max(1, len(x) // COMPARED)][:COMPARED]
+    centred = x - x.mean(axis=0)
+    lengths = np.maximum((centred * centred).sum(axis=1), 1e-12)
+    cosines = [1 - (1 - threshold) / lengths]  # two of that length, as far apart as the threshold allows
+    _, axes = np.linalg.eigh(centred.T @ centred)
+    v = centred @ axes[:, ::-1][:, :BITS]
+    a, b = np.nonzero(np.triu((c := x @ x.T) >= threshold, 1) & (c < threshold + 0.02))
+    if len(a) >= TELLING:
+        norms = np.maximum(np.linalg.norm(v, axis=1), 1e-12)
+        cosines.append(np.array([v[i] @ v[j] / (norms[i] * norms[j]) for i, j in zip(a[:10_000].tolist(), b[:10_000].tolist(), strict=True)]))
+    return [1 - np.arccos(np.clip(c, -1, 1)) / math.pi for c in cosines]
+
+
+def tables_for(shares: list[np.ndarray], width: int, recall: float) -> int:
+    """The least number of tables that gives the recall for each set of pairs; more than TABLES: too many."""
+    n = 1
+    while n <= TABLES and any((1 - (1 - s**width) ** n).mean() < recall for s in shares):
+        n += 1
+    return n
+
+
 class Tables:
     """Rotations for each dimension met in the sample; others get rotations of no data."""
 
     def __init__(self, sample: list[np.ndarray], width: int, recall: float = RECALL, threshold: float = THRESHOLD):
-        self.width = width
-        same = (1 - math.acos(threshold) / math.pi) ** width
-        self.tables = max(1, math.ceil(math.log(1 - recall) / math.log(1 - same)))
         self.models: dict[int, list] = {}
         by: dict[int, list[np.ndarray]] = {}
         for x in sample:
             by.setdefault(len(x), []).append(x)
-        for d, rows in by.items():
-            self.models[d] = self._rotations(np.stack(rows))
+        own = {d: np.stack(rows) for d, rows in by.items()}
+        shares = [np.array([1 - math.acos(threshold) / math.pi])] + [s for x in own.values() if len(x) > 1 for s in agreements(x, threshold)]
+        while (tables := tables_for(shares, width, recall)) > TABLES and width:
+            width -= 1
+        self.width, self.tables = width, tables  # width 0: all are compared
+        for d, x in own.items() if width else ():
+            self.models[d] = self._rotations(x)
 
     def _rotations(self, x: np.ndarray) -> list:
         each = max(1, min(BITS, x.shape[1]) // self.width)
@@ -62,6 +91,8 @@ class Tables:
     def keys(self, x: np.ndarray) -> np.ndarray:
         """A row of `tables` substrings for each unit vector of one dimension."""
         d = x.shape[1]
+        if not self.width:
+            return np.zeros((len(x), 1), dtype=np.int64)
         if d not in self.models:
             self.models[d] = self._rotations(np.zeros((0, d)))
         width, out = min(self.width, d), []
