@@ -1,21 +1,28 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to lines, one for each block; menus, forms, adverts and the like leave empty lines.
-The text lengths of each window of lines are summed. The text surges where a window reaches the
-threshold and dives where windows are empty again; the lines between are kept. If a page names its
-article, lines outside are empty and any text makes a surge.
+Markup is stripped to lines, one for each block, and empty lines where containers begin and end. A line has a
+weight: its characters outside links, more of them in a heading and inside an article, next to none in what is
+marked as boilerplate. The weights of each window of lines are summed. The text surges where a window reaches the
+threshold, which the page's highest window and the markup bound, and dives where a window is empty; the lines from
+the last dive before a surge to the next one are kept, so that a title before a long paragraph stays.
+Each boilerplate element is a distribution of its own, beside the lines around it. Markup only weighs:
+the windows decide what is kept.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
 from .common import append, bounded_batches
 
-WINDOW, SURGE, RATIO = 3, 80, 0.25
+#: Lines of a window; the threshold of a surge, in characters, with and without a named article, and as a share of the highest window.
+WINDOW, SURGE, NAMED_SURGE, RATIO = 3, 80, 1000, 0.25
+#: Weight of a character in a named article and in a heading; of one in boilerplate, and of a line of that at most.
+ARTICLE, HEADING, MARKED, MOST = 100, 4, 0.002, 0.3
 _RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|svg|math|object|canvas|audio|video|select|head)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*?>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[|\]\]>|<[!?][^>]*>?", re.S | re.I)
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\"<>])*)(?:>|(?=<)|\Z)|</?[a-zA-Z][^>]*>")
 _NAMED = re.compile(r"\b(class|id|role|style|aria-hidden|hidden|aria-label)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
@@ -27,6 +34,10 @@ _ROLES = frozenset("navigation banner contentinfo complementary search form menu
 _WORDS = frozenset(
     "ad ads adbox advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar comment comments commentlist disqus respond replies cookie cookies gdpr consent notice notices alert disclaimer copyright menu nav navbar navigation breadcrumb breadcrumbs footer popup modal overlay newsletter subscribe signup login share sharing social related recommended widget toolbar pagination pager masthead topbar skip".split()
 )
+_NAMES = re.compile(r"<(?:article|main)\b|role\s*=\s*[\"']?(?:main|article)\b", re.I)
+_ROLE = re.compile(r"\brole\s*=\s*[\"']?(?:main|article)\b", re.I)
+_HEADINGS = frozenset("h1 h2 h3".split())
+_CONTAINERS = frozenset("aside blockquote body center details div dl fieldset footer form header hr legend menu nav ol section table ul".split())
 _TOPS = frozenset("header topnav siteheader".split())
 
 
@@ -44,75 +55,145 @@ def _boilerplate(tag: str, attributes: str, inside: bool, named: bool) -> bool:
     return False
 
 
-def lines(page: str, named: bool = True) -> tuple[list[str], bool]:
-    """The text of each block, empty where it is no content, and whether the page names its article."""
-    out: list[str] = []
+@dataclass
+class Line:
+    """A block's text, its weight, and the distribution that it is in (0, or that of a boilerplate element)."""
+
+    text: str
+    weight: float = 0.0
+    flow: int = 0
+
+
+def lines(page: str, named: bool = True) -> tuple[list[Line], bool]:
+    """The lines of a page in order, and whether it names its article; without `named`, class names count for nothing."""
     page = _RAW.sub(" ", page)
-    article = re.search(r"<(article|main)\b|role\s*=\s*[\"']?(?:main|article)\b", page, re.I) is not None
+    article = _NAMES.search(page) is not None
+    out: list[Line] = []
     text: list[str] = []
-    inside, skipped, depth, at = 0, "", 0, 0
-    wanted = "main" if article and not re.search(r"<article\b", page, re.I) else "article"
+    links = [0, 0]  # open ones, and the characters of this line that are in one
+    roles: list[list] = []  # of elements that are the article by their role: tag, and how many of its kind are open
+    inside, heading, skipped, depth, flow, flows, blank, at = 0, False, "", 0, 0, 0, 0, 0
 
     def close() -> None:
+        nonlocal blank
         own = " ".join(html.unescape("".join(text)).split())
+        if own:
+            size = len(own) if inside else max(0, len(own) - links[1])
+            plain = size * (HEADING if heading else 1) * (ARTICLE if inside else 1)
+            out.append(Line(own, min(MOST, MARKED * size) if flow else plain, flow))
+            blank = blank if flow else 0
         text.clear()
-        if own or out and out[-1]:
-            out.append(own)
+        links[1] = 0
+
+    def gap(n: int = 1) -> None:
+        nonlocal blank
+        out.extend(Line("") for _ in range(n))
+        blank += n
+
+    def enter(n: int) -> None:
+        nonlocal inside
+        close()
+        gap(WINDOW)
+        inside = max(0, inside + n)
 
     for m in _TAG.finditer(page):
-        if not skipped and (inside or not article):
-            text.append(page[at : m.start()])
+        own = page[at : m.start()]
+        if own:
+            text.append(own)
+            if links[0]:
+                links[1] += len(html.unescape(own))
         at = m.end()
         if m[2] is None:
             continue
         end, tag, attributes = m[1], m[2].lower(), m[3]
+        if tag == "br":
+            text.append(" ")
+        elif tag == "a":
+            links[0] = 0 if end else 1
         if skipped:
             if tag == skipped:
                 depth += -1 if end else 0 if skipped in _OPEN else 1
-            if depth <= 0 or skipped in _OPEN and tag in _BLOCK:
-                skipped = ""
-                if end or tag != m[2]:
-                    continue
-            if skipped:
-                continue
-        if tag == wanted or wanted == "main" and "main" in attributes and "role" in attributes:
-            if not end:
+            if depth <= 0 or skipped in _OPEN and tag in _BLOCK:  # the boilerplate ends here
                 close()
-                inside += 1
+                own_end = end and tag == skipped
+                skipped, flow = "", 0
+                if own_end:
+                    continue
             else:
-                close()
-                inside = max(0, inside - 1)
-            continue
-        if not end and tag not in _VOID and _boilerplate(tag, attributes, inside > 0, named):
+                if tag in _BLOCK:
+                    close()
+                continue
+        if roles and tag == roles[-1][0]:
+            roles[-1][1] += -1 if end else 1
+            if not roles[-1][1]:
+                roles.pop()
+                enter(-1)
+                continue
+        if tag in ("article", "main"):
+            enter(-1 if end else 1)
+        elif not end and tag not in _VOID and _ROLE.search(attributes):
+            roles.append([tag, 1])
+            enter(1)
+        elif not end and tag not in _VOID and _boilerplate(tag, attributes, inside > 0, named):
             close()
-            out.append("")
-            skipped, depth = tag, 1
+            if not inside or blank < WINDOW - 1:
+                gap()
+            flows += 1
+            skipped, depth, flow = tag, 1, flows
         elif tag in _BLOCK:
             close()
-        elif tag == "br":
-            text.append(" ")
-    if not skipped and (inside or not article):
-        text.append(page[at:])
+            heading = not end and tag in _HEADINGS
+            if tag in _CONTAINERS and (not inside or blank < WINDOW - 1):
+                gap()
+    text.append(page[at:])
     close()
     return out, article
 
 
+def sums(weights: list[float]) -> list[float]:
+    """The weight of the window that begins at each line."""
+    return [sum(weights[k : k + WINDOW]) for k in range(len(weights))]
+
+
+def threshold(page: list[Line], article: bool, highest: float) -> float:
+    return max(ARTICLE if article else 1.0, min(NAMED_SURGE if article else SURGE, RATIO * highest))
+
+
+def chosen(page: list[Line], article: bool) -> list[int]:
+    """The places of the lines between a surge and a dive, and of those between it and the dive before."""
+    flows: dict[int, list[int]] = {}
+    for k, line in enumerate(page):
+        flows.setdefault(line.flow, []).append(k)
+    windows = {f: sums([page[k].weight for k in of]) for f, of in flows.items()}
+    surge = threshold(page, article, max((x for w in windows.values() for x in w), default=0.0))
+    kept: list[int] = []
+    for f, of in flows.items():
+        held: list[int] = []
+        surged = False
+        for k, total in zip(of, windows[f], strict=True):
+            if not total:  # a dive
+                if surged:
+                    kept += held
+                held, surged = [], False
+            elif held or page[k].weight:
+                surged |= total >= surge
+                held.append(k)
+        if surged:
+            kept += held
+    return sorted(kept)
+
+
 def main_text(page: str | None) -> str:
-    """The blocks between surge and dive, joined by one line break; empty if there are none."""
+    """The lines that the distribution keeps, joined by one line break; empty if there are none.
+
+    If class names leave nothing on a page that names no article, they count for nothing.
+    """
     own, article = lines(page or "")
-    if not any(own):
+    kept = chosen(own, article)
+    if not kept and not article:
         own, article = lines(page or "", named=False)
-    sums = [sum(map(len, own[k : k + WINDOW])) for k in range(len(own))]
-    surge = 1 if article else min(SURGE, RATIO * max(sums, default=0))
-    kept, inside = [], False
-    for k, line in enumerate(own):
-        if not inside and line and sums[k] >= max(1, surge):
-            inside = True
-        elif inside and not sums[k]:
-            inside = False
-        if inside and line:
-            kept.append(line)
-    return "\n".join(kept)
+        kept = chosen(own, article)
+    return "\n".join(own[k].text for k in kept if own[k].text)
 
 
 def extract(pages: DataFrame) -> DataFrame:
