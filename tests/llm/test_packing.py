@@ -12,11 +12,10 @@ from textsketch.llm import packing
 @pytest.fixture(scope="module")
 def reference():
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return lambda text: np.array(t.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
-EDGES = ["", " ", "\n", "a  b", "a   b", " a ", "a \n b", "a\n\n b  ", "x <|endoftext|> y", "a\t b  c    d", "don't we'll  'tis", "é ñ  ¿que? 123 4\r\n 5", "a\x00b c\x00", "你好 世界", "a" * 5000, " \n", "a \n"]
+EDGES = ["", " ", "\n", "a  b", "a   b", " a ", "a \n b", "a\n\n b  ", "x <|endoftext|> y", "a\t b  c    d", "<|endoftext|>", "a<|endoftext|><|endoftext|>  b", "<|endoftext|", " <|endoftext|>\n <|endoftext|>", "don't we'll  'tis", "é ñ  ¿que? 123 4\r\n 5", "a\x00b c\x00", "你好 世界", "a" * 5000, " \n", "a \n"]
 
 
 def test_ids_equal_the_tokenizers_library(reference):
@@ -107,3 +106,20 @@ def test_documents_near_the_lower_bound(spark, small, reference):
     rows = packing.pack(docs).collect()
     n = check(rows, [(r.doc_id, r.text) for r in docs.collect()], reference, 2048)
     assert n <= -(-sum(r.length for r in rows) // 2048) + 1
+
+
+def test_random_texts_have_the_ids_of_the_library(reference):
+    rng = np.random.default_rng(8)
+    parts = ["<|endoftext|>", "<|endof", "text|>", " ", "  ", "\n", "a", "Bc", "é", "1", "'s", "\t", ".", "的"]
+    for _ in range(3000):
+        text = "".join(parts[k] for k in rng.integers(0, len(parts), rng.integers(0, 12)))
+        assert packing.token_bytes(text) == reference(text), repr(text)
+
+
+def test_sequence_ids_are_injective():
+    """The largest numbers of each part fit beside one another; more is refused."""
+    top = packing._number(1, (1 << 21) - 1, (1 << 28) - 1)
+    assert (top << 12 | 4095) == (1 << 62) - 1 and packing.SHARD <= 1 << 12
+    assert packing._number(0, 1, 0) != packing._number(0, 0, 1) != packing._number(1, 0, 0)
+    with pytest.raises(ValueError):
+        packing._number(0, 1 << 21, 0)

@@ -13,6 +13,9 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
+import os
+import re
 import zlib
 from array import array
 from bisect import bisect_left, insort
@@ -26,6 +29,10 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, column, materialise, one_row
 
 CAPACITY, SHARD, ISLANDS, EPOCHS, GENERATIONS, POPULATION, ROOM = 2048, 4096, 3, 2, 12, 4, 24
+#: Tasks for each island and shard that evolves (more than one, as rows are dealt by chance), and at most.
+SPREAD, TASKS = 2, 20_000
+#: A shard's number holds whether it is of the second round, its task and its place in the task; a sequence's also the bin: all are different.
+_TASK, _PLACE, _BIN = 21, 28, 12
 _UNITS = 300_000
 
 
@@ -40,8 +47,15 @@ class _Units(dict):
         import public_tokenizers
         import tiktoken
 
-        with open(public_tokenizers.path(vocabulary) if "/" not in vocabulary else vocabulary, "rb") as lines:
+        path = public_tokenizers.path(vocabulary) if "/" not in vocabulary else vocabulary
+        with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        #: Names of tokens that are found before all else, in the file of the same name for the other library.
+        self.added: dict[str, bytes] = {}
+        if os.path.exists(own := os.path.splitext(path)[0] + ".json"):
+            with open(own, encoding="utf-8") as file:
+                self.added = {x["content"]: array("I", [x["id"]]).tobytes() for x in json.load(file).get("added_tokens", [])}
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split if self.added else None
         self.encode = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def __missing__(self, unit: str) -> bytes:
@@ -61,12 +75,18 @@ def _units(vocabulary: str) -> _Units:
 
 
 def token_bytes(text: str, vocabulary: str = "byte_bpe_50k.tiktoken") -> bytes:
-    """The ids of a text as little-endian unsigned 32-bit numbers; special tokens' names are plain text.
+    """The ids of a text as little-endian unsigned 32-bit numbers; the name of an added token is that token.
 
     No pre-token spans from a non-space to a space, so that words with the space before them are
     tokenised alone (and remembered), unless white space meets white space.
     """
     units = _units(vocabulary)
+    if any(name in text for name in units.added):
+        return b"".join(units.added[x] if x in units.added else _plain(x, units) for x in units.split(text) if x)
+    return _plain(text, units)
+
+
+def _plain(text: str, units: _Units) -> bytes:
     each = text.replace(" ", "\0 ").split("\0") if "\0" not in text else [x if not k else " " + x for k, x in enumerate(text.split(" "))]
     try:
         return b"".join(map(units.__getitem__, each))
@@ -187,10 +207,16 @@ def _numbers(bins: list[list[int]], n: int) -> list[int]:
 # distributed
 
 _ITEMS = [("doc_id", "bigint", pa.int64()), ("piece", "int", pa.int32()), ("start", "bigint", pa.int64()), ("length", "bigint", pa.int64()), ("ids_crc32", "bigint", pa.int64())]
-_SHARD = "shard string, " + ", ".join(f"{n} array<{t}>" for n, t, _ in _ITEMS)
+_SHARD = "shard bigint, " + ", ".join(f"{n} array<{t}>" for n, t, _ in _ITEMS)
+
+
+def _number(again: int, task: int, place: int) -> int:
+    if task >> _TASK or place >> _PLACE:
+        raise ValueError("too many tasks or shards for numbers of 62 bits")
+    return (again << _TASK | task) << _PLACE | place
 
 
-def _row(name: str, items: list[tuple], capacity: int, ids: bool) -> pa.RecordBatch:
+def _row(number: int, items: list[tuple], capacity: int, ids: bool) -> pa.RecordBatch:
     lengths = [x[3] for x in items]
     bins = best_fit(lengths, capacity)
     lists = [pa.array([[x[k] for x in items]], pa.list_(t)) for k, (_, _, t) in enumerate(_ITEMS)]
@@ -198,7 +224,7 @@ def _row(name: str, items: list[tuple], capacity: int, ids: bool) -> pa.RecordBa
     more = [pa.array([_numbers(bins, len(items))], pa.list_(pa.int32())), pa.array([len(bins) - -(-sum(lengths) // capacity)], pa.int32())]
     if ids:
         more, names = [*more, pa.array([[x[5] for x in items]], pa.list_(pa.binary()))], [*names, "ids"]
-    return pa.RecordBatch.from_arrays([pa.array([name]), *lists, *more], names=names)
+    return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *lists, *more], names=names)
 
 
 def _tokenised(capacity: int, vocabulary: str, ids: bool):
@@ -212,10 +238,10 @@ def _tokenised(capacity: int, vocabulary: str, ids: bool):
                 own = of[4 * start : 4 * (start + length)]
                 items.append((doc_id, k, start, length, zlib.crc32(own), *([bytes(own)] if ids else [])))
                 if len(items) == SHARD:
-                    yield _row(f"{task}-{n}", items, capacity, ids)
+                    yield _row(_number(0, task, n), items, capacity, ids)
                     n, items = n + 1, []
         if items:
-            yield _row(f"{task}-{n}", items, capacity, ids)
+            yield _row(_number(0, task, n), items, capacity, ids)
 
     return run
 
@@ -234,9 +260,10 @@ def _islands(capacity: int, epoch: int):
 def _evolved(shards: DataFrame, capacity: int, islands: int, epochs: int) -> DataFrame:
     """The shards that best fit left above the lower bound, with the best bins of all islands."""
     ring = F.sequence(F.lit(0), F.lit(islands - 1))
+    tasks = min(TASKS, max(1, SPREAD * islands * shards.count()))
     now = shards.select("shard", F.explode(ring).alias("island"), "length", F.array("bin").alias("seeds"))
     for epoch in range(epochs):
-        best = now.repartition("shard", "island").mapInArrow(_islands(capacity, epoch), "shard string, island int, fit double, elite array<int>")
+        best = now.repartition(tasks, "shard", "island").mapInArrow(_islands(capacity, epoch), f"shard {shards.schema['shard'].dataType.simpleString()}, island int, fit double, elite array<int>")
         elites = best.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("island", "fit", "elite"))).alias("ring"))
         if epoch < epochs - 1:  # an elite moves to the next island of its ring
             to = elites.select("shard", F.posexplode("ring").alias("island", "own"), "ring")
@@ -267,10 +294,10 @@ def _released(capacity: int, ids: bool):
         for item in one_row(batches):
             items.append(item)
             if len(items) == SHARD:
-                yield _row(f"again-{task}-{n}", items, capacity, ids)
+                yield _row(_number(1, task, n), items, capacity, ids)
                 n, items = n + 1, []
         if items:
-            yield _row(f"again-{task}-{n}", items, capacity, ids)
+            yield _row(_number(1, task, n), items, capacity, ids)
 
     return run
 
@@ -281,7 +308,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = "byte_bpe_
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset (and `ids`, little-endian
     unsigned 32-bit, if keep_ids). A null or empty text is one end-of-text id (0). Repeated rows
     are packed as often as they occur; a null doc_id stays null; an empty table gives no rows;
-    other columns are ignored. A very long text is cut into whole sequences after a shorter first
+    other columns are ignored. Sequence ids are made of the shard's and the bin's numbers, so that no two
+    sequences share one. A very long text is cut into whole sequences after a shorter first
     piece. A shard holds at most SHARD pieces, whatever the input.
     """
     bounded_batches(docs.sparkSession)
@@ -294,4 +322,4 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = "byte_bpe_
     n = max(1, -(-loose.count() // SHARD))  # one shard for each partition
     again = materialise(loose.repartition(n, F.xxhash64("doc_id", "piece", "ids_crc32")).mapInArrow(_released(capacity, keep_ids), schema))
     out = first.where(F.col("room") <= ROOM).unionByName(_settled(again, capacity, islands, epochs))
-    return out.select(*own[:5], F.xxhash64("shard", "bin").alias("sequence_id"), F.col("offset").cast("bigint").alias("offset"), *own[5:])
+    return out.select(*own[:5], F.shiftleft("shard", _BIN).bitwiseOR(F.col("bin").cast("bigint")).alias("sequence_id"), F.col("offset").cast("bigint").alias("offset"), *own[5:])
