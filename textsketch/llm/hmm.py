@@ -14,19 +14,24 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialise, one_row
+from .common import bounded_batches, materialise, one_row, pick, sampled, stretch
 
 #: States; tokens with a class of their own; classes of the others; tokens whose counts every task holds.
 STATES, OWN, SHARED, HEAD = 8, 3000, 1024, 1 << 17
-#: Texts that the first states are found on, at most about, and passes over them; passes over the whole corpus.
-SAMPLE, WARM, PASSES = 800, 12, 2
-END, HALF, SEGMENT, BATCH, SCORED = b"\n", 0.5, 512, 300_000, 1_500_000
+#: Texts that the first states are found on, at most, and characters of each at most (of a longer one, a stretch); rounds over them.
+SAMPLE, LONGEST, WARM = 800, 1 << 16, 3
+#: Passes over the whole corpus at most, and the gain of a pass (log10 a token) below which no other follows.
+PASSES, GAIN = 4, 0.002
+#: Tokens of a text that are counted at once, and those before and after that only give them their context.
+SEGMENT, CONTEXT = 512, 24
+END, HALF, BATCH, SCORED = b"\n", 0.5, 300_000, 1_500_000
 _FLUSH = 300_000
 
 
@@ -81,6 +86,14 @@ class Head:
         return classes
 
 
+class Part(NamedTuple):
+    """Classes of a stretch of a text; its own tokens are those from `own` to `stop`, the others are context."""
+
+    classes: np.ndarray
+    own: int
+    stop: int
+
+
 class States:
     """Probabilities of the first state, of transitions and of classes (a row for each class)."""
 
@@ -126,12 +139,15 @@ class States:
         back[order] = out
         return back
 
-    def expected(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Baum-Welch counts of first states, transitions and emissions over these sequences."""
-        texts = sorted(texts, key=len, reverse=True)
-        lengths = np.array([len(x) for x in texts])
-        flat, at = np.concatenate(texts), np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        steps, active = [], len(texts)
+    def expected(self, parts: list[Part]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Baum-Welch counts of first states, transitions and emissions, and (log10 likelihood, tokens), over these parts of texts.
+
+        Only what falls on a part's own tokens is counted; a first state only where a text begins.
+        """
+        parts = sorted(parts, key=lambda x: len(x.classes), reverse=True)
+        lengths, own, stop = (np.array([f(x) for x in parts]) for f in (lambda x: len(x.classes), lambda x: x.own, lambda x: x.stop))
+        flat, at = np.concatenate([x.classes for x in parts]), np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        steps, active, logs = [], len(parts), 0.0
         for t in range(lengths[0]):
             while lengths[active - 1] <= t:
                 active -= 1
@@ -139,26 +155,27 @@ class States:
             alpha = seen * self.first if t == 0 else (alpha[:active] @ self.moves) * seen
             scale = alpha.sum(axis=1, keepdims=True)
             alpha /= scale
-            steps.append((alpha, seen / scale))
+            mine = ((own[:active] <= t) & (t < stop[:active]))[:, None]
+            logs += np.log10(scale, where=mine, out=np.zeros_like(scale)).sum()
+            steps.append((alpha, seen / scale, mine))
         moves = np.zeros((STATES, STATES))
         gamma = np.empty((len(flat), STATES))
-        beta = np.ones((0, STATES))
         for t in range(len(steps) - 1, -1, -1):
-            alpha, seen = steps[t]
+            alpha, _, mine = steps[t]
             if t + 1 < len(steps):
                 nxt = steps[t + 1][1] * beta
-                moves += alpha[: len(nxt)].T @ nxt
+                moves += alpha[: len(nxt)].T @ (nxt * steps[t + 1][2])
                 beta = np.concatenate([nxt @ self.moves.T, np.ones((len(alpha) - len(nxt), STATES))])
             else:
                 beta = np.ones((len(alpha), STATES))
-            gamma[at[: len(alpha)] + t] = alpha * beta
+            gamma[at[: len(alpha)] + t] = alpha * beta * mine
         emits = np.stack([np.bincount(flat, weights=gamma[:, k], minlength=len(self.emits)) for k in range(STATES)], axis=1)
-        return gamma[at].sum(axis=0), moves * self.moves, emits
+        return gamma[at[own == 0]].sum(axis=0), moves * self.moves, emits, np.array([logs, (stop - own).sum()])
 
 
-def segments(classes: np.ndarray) -> list[np.ndarray]:
-    """A text for training: all of it, in pieces of a bounded length."""
-    return [classes[k : k + SEGMENT] for k in range(0, len(classes), SEGMENT)]
+def segments(classes: np.ndarray) -> list[Part]:
+    """All of a text for training, in parts of a bounded length, with their context."""
+    return [Part(classes[max(0, k - CONTEXT) : k + SEGMENT + CONTEXT], min(k, CONTEXT), min(k, CONTEXT) + min(SEGMENT, len(classes) - k)) for k in range(0, len(classes), SEGMENT)]
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,17 +213,17 @@ def _expected(head, states):
         for (text,) in one_row(batches):
             for part in segments(head.value.encode(tokens(text))):
                 held.append(part)
-                n += len(part)
+                n += len(part.classes)
                 if n >= BATCH:
                     got = model.expected(held)
                     total, held, n = got if total is None else [a + b for a, b in zip(total, got, strict=True)], [], 0
         if held:
             got = model.expected(held)
             total = got if total is None else [a + b for a, b in zip(total, got, strict=True)]
-        if total is not None:  # classes from 0, then the first states at -1 and transitions from state k at -2 - k
-            rows = np.concatenate([total[2], total[0][None], total[1]])
-            key = [*range(len(total[2])), -1, *(-2 - k for k in range(STATES))]
-            some = np.nonzero(rows.sum(axis=1))[0]
+        if total is not None:  # classes from 0, then the first states at -1, transitions from state k at -2 - k, and likelihood and tokens
+            rows = np.concatenate([total[2], total[0][None], total[1], np.pad(total[3], (0, STATES - 2))[None]])
+            key = [*range(len(total[2])), -1, *(-2 - k for k in range(STATES + 1))]
+            some = np.nonzero(rows.any(axis=1))[0]
             yield pa.RecordBatch.from_pydict({"key": pa.array([key[k] for k in some], pa.int32()), **{f"s{k}": pa.array(rows[some, k]) for k in range(STATES)}})
 
     return run
@@ -245,42 +262,52 @@ def _scored(head, states):
     return run
 
 
-def score(docs: DataFrame, held_out: F.Column) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of (doc_id, text).
+def train(training: DataFrame) -> tuple[Head, States, DataFrame, list[float]]:
+    """The head, the states, the counts (token, kind, n) of all tokens, and each pass's log10 likelihood a token, from a table of texts.
 
-    Learns from the rows that are not `held_out`. base_score is the unigram log10 probability of the
-    text, smoothed by a half; score is the model's. A null or empty text is its end alone. Repeated
-    rows count as often as they occur; without training rows all tokens are unknown; an
-    empty table gives no rows; other columns are ignored. Texts are read whole: for
-    training in segments, for scoring as one sequence.
+    The first states are found on a bounded sample; then each pass adds up the expected counts of all texts, until
+    the likelihood has grown by less than GAIN a token, or PASSES.
     """
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out.alias("held_out"), F.col("text").cast("string").alias("text"))
-    training = own.where("not held_out").select("text")
+    spark = training.sparkSession
     counts = training.mapInArrow(_counts, "token binary, kind int, n bigint").groupBy("token").agg(F.first("kind").alias("kind"), F.sum("n").alias("n"))
     counts = materialise(counts)
     classes = {r["kind"]: (r["n"], r["v"]) for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}  # bounded: SHARED
-    rows = _head(counts)
     n, v = sum(a for a, _ in classes.values()), sum(b for _, b in classes.values())
-    model = Head(rows, n, v, classes)
+    model = Head(_head(counts), n, v, classes)
     head = spark.sparkContext.broadcast(model)
     states = States.begin(model.classes, np.random.default_rng(1))
-    some = own.where("not held_out").where("octet_length(text) < 65536")
-    share = min(1.0, SAMPLE / max(1, docs.count()))
-    picked = some.where(F.pmod(F.xxhash64(F.lit("states"), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("doc_id", "text").collect()  # bounded: SAMPLE
-    first = [s for r in sorted(picked, key=lambda r: (str(r["doc_id"]), r["text"] or "")) for s in segments(model.encode(tokens(r["text"])))]
+    some = training.where("text is not null").select(stretch("text", LONGEST, "states").alias("text"))
+    picked = sampled(some, None, SAMPLE, "states", ["text"]).collect()  # bounded: SAMPLE and LONGEST
+    first = [s for text in sorted(r["text"] for r in picked) for s in segments(model.encode(tokens(text)))]
     for _ in range(WARM if first else 0):
-        states = States.of(*states.expected(first))
+        states = States.of(*states.expected(first)[:3])
     sums = [F.sum(f"s{k}").alias(f"s{k}") for k in range(STATES)]
-    for _ in range(PASSES):
+    history: list[float] = []
+    while len(history) < PASSES and (len(history) < 2 or history[-1] - history[-2] >= GAIN):
         sent = spark.sparkContext.broadcast(states)
         got = training.mapInArrow(_expected(head, sent), "key int, " + ", ".join(f"s{k} double" for k in range(STATES))).groupBy("key").agg(*sums).collect()  # bounded: classes
-        total = np.zeros((model.classes + 1 + STATES, STATES))
+        total = np.zeros((model.classes + 2 + STATES, STATES))
         for r in got:
             total[r["key"] if r["key"] >= 0 else model.classes - r["key"] - 1] = r[1:]
-        states = States.of(total[model.classes], total[model.classes + 1 :], total[: model.classes])
-    sent = spark.sparkContext.broadcast(states)
+        states = States.of(total[model.classes], total[model.classes + 1 : -1], total[: model.classes])
+        history.append(float(total[-1, 0] / max(1.0, total[-1, 1])))
+    return model, states, counts, history
+
+
+def score(docs: DataFrame, held_out: F.Column) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of (doc_id, text).
+
+    Learns from the rows that are not `held_out` (an expression over doc_id and text). base_score is the unigram log10
+    probability of the text, smoothed by a half; score is the model's. A null or empty text is its end alone. Repeated
+    rows count as often as they occur; without training rows all tokens are unknown; an
+    empty table gives no rows; other columns are ignored, whatever they are called. Texts are read whole: for
+    training in segments with their context, for scoring as one sequence.
+    """
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    own = pick(docs, doc_id="bigint", text="string").select("doc_id", held_out.alias("held_out"), "text")
+    model, states, counts, _ = train(own.where("not held_out").select("text"))
+    head, sent = spark.sparkContext.broadcast(model), spark.sparkContext.broadcast(states)
     schema = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, share double, rare array<binary>, times array<int>, forward double"
     scored = materialise(own.select("doc_id", "held_out", "text").mapInArrow(_scored(head, sent), schema))
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("token"), F.col("x.times").alias("times"))
@@ -293,7 +320,7 @@ def score(docs: DataFrame, held_out: F.Column) -> DataFrame:
         "held_out",
         "n_tokens",
         (F.col("n_known") + F.col("known")).cast("bigint").alias("n_known"),
-        F.lit(n).cast("bigint").alias("train_tokens"),
+        F.lit(model.n).cast("bigint").alias("train_tokens"),
         (F.col("base") + F.col("logs")).alias("base_score"),
         (F.col("forward") + F.col("share") + F.col("logs")).alias("score"),
     )
