@@ -1,9 +1,9 @@
 """Quality by compression: zstandard dictionaries of good and bad text, and a calibrated difference.
 
-A text is cut into blocks, and each block is compressed with either dictionary, as it is and as its
-shape (letters become a or A, digits 0). The normalised difference of the two sizes, and the
-smaller size against the length, enter a logistic calibration. Blocks make both independent
-of the length of a text.
+A text is compressed with either dictionary in three views: as it is, as its shape (letters become a or
+A, digits 0), and as its echo (of each word, how long ago it last occurred, and its length). The difference of
+the two sizes, normalised by their sum and by the length, enters a logistic calibration; nothing else does.
+Views are cut into blocks, which makes the difference independent of the length of a text.
 """
 
 from __future__ import annotations
@@ -15,11 +15,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append, bounded_batches, fold_number, sampled
+from .common import append, bounded_batches, filtered, fold_number, materialise, pick, sampled, stretch
 
-#: Labelled rows of each class that are fitted to, at most about; half make the dictionaries, half calibrate. Longer texts (bytes) are not fitted to.
+#: Labelled rows of each class that are fitted to, at most, and characters of each (of a longer one, a stretch); half make the dictionaries, half calibrate.
 SAMPLE, LONGEST = 2000, 1 << 16
 BLOCK, DICTIONARY, LEVEL = 2048, 112_640, 3
+VIEWS, _HELD = 3, 200_000
 _SHAPE = bytes(97 if 97 <= b < 123 or b >= 128 else 65 if 65 <= b < 91 else 48 if 48 <= b < 58 else b for b in range(256))
 
 
@@ -31,9 +32,22 @@ def blocks(data: bytes) -> list[bytes]:
     return [data[a:b] for a, b in zip(cuts, [*cuts[1:], len(data)], strict=True)]
 
 
-def _views(text: str | None) -> tuple[bytes, bytes]:
+def _views(text: str | None) -> tuple[bytes, ...]:
     data = (text or "").encode()
-    return data, data.translate(_SHAPE)
+    return data, data.translate(_SHAPE), echo(data)
+
+
+def echo(data: bytes) -> bytes:
+    """Two bytes for each word: N for a new one or the bits of the distance to its last occurrence, and its length up to 9."""
+    last: dict[bytes, int] = {}
+    out = bytearray()
+    for k, word in enumerate(data.lower().split()):
+        if len(last) >= _HELD:  # of very long texts, what was seen long ago is new again
+            last.clear()
+        back = k - last.get(word, k)
+        last[word] = k
+        out += bytes((96 + back.bit_length() if back else 78, 48 + min(9, len(word))))
+    return bytes(out)
 
 
 def _dictionary(texts: list[bytes]) -> bytes:
@@ -53,7 +67,7 @@ def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
 
 @dataclass
 class QualityModel:
-    """Dictionaries (good, bad) of texts and of shapes, and the calibration: weights, means, deviations."""
+    """Dictionaries (good, bad) of each view, and the calibration: weights, means, deviations."""
 
     dictionaries: list[tuple[bytes, bytes]]
     weights: np.ndarray | None = None
@@ -70,11 +84,11 @@ class QualityModel:
         for (good, bad), view in zip(self._pairs, _views(text), strict=True):
             cut = blocks(view)
             a, b = (sum(len(c.compress(x)) for x in cut) for c in (good, bad))
-            out += [(b - a) / (a + b), float(np.log((min(a, b) + 8) / (len(view) + 8)))]
+            out += [(b - a) / (a + b), (b - a) / (len(view) + 8)]
         return out
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        x = np.array([self.features(t) for t in texts]).reshape(len(texts), 4)
+        x = np.array([self.features(t) for t in texts]).reshape(len(texts), 2 * VIEWS)
         return 1 / (1 + np.exp(-np.clip(np.c_[(x - self.mean) / self.spread, np.ones(len(x))] @ self.weights, -500, 500)))
 
 
@@ -82,32 +96,36 @@ def fit(rows: list[tuple[str, int]]) -> QualityModel:
     """From (text, label) rows; without both labels, every score is the share of label 1 (or 1 without rows)."""
     by = {q: [t for t, label in rows if label == q] for q in (1, 0)}
     dictionaries = []
-    for k in range(2):
+    for k in range(VIEWS):
         dictionaries.append(tuple(_dictionary([_views(t)[k] for t in by[q][::2]]) for q in (1, 0)))
     model = QualityModel(dictionaries)
     rest = [(t, q) for q in (1, 0) for t in by[q][1::2]]
     if len({q for _, q in rest}) < 2:
         share = len(by[1]) / max(1, len(rows)) if rows else 1.0
-        model.weights = np.array([0, 0, 0, 0, np.log((share + 1e-6) / (1 - share + 1e-6))])
-        model.mean, model.spread = np.zeros(4), np.ones(4)
+        model.weights = np.append(np.zeros(2 * VIEWS), np.log((share + 1e-6) / (1 - share + 1e-6)))
+        model.mean, model.spread = np.zeros(2 * VIEWS), np.ones(2 * VIEWS)
         return model
     x, y = np.array([model.features(t) for t, _ in rest]), np.array([q for _, q in rest])
     model.mean, model.spread = x.mean(axis=0), x.std(axis=0) + 1e-9
-    z, w = np.c_[(x - model.mean) / model.spread, np.ones(len(x))], np.zeros(5)
+    z, w = np.c_[(x - model.mean) / model.spread, np.ones(len(x))], np.zeros(2 * VIEWS + 1)
     for _ in range(60):  # Newton's steps, with a small ridge
         p = 1 / (1 + np.exp(-np.clip(z @ w, -500, 500)))
-        w += np.linalg.solve((z.T * (p * (1 - p))) @ z + 1e-2 * np.eye(5), z.T @ (y - p) - 1e-2 * w)
+        w += np.linalg.solve((z.T * (p * (1 - p))) @ z + 1e-2 * np.eye(2 * VIEWS + 1), z.T @ (y - p) - 1e-2 * w)
     model.weights = w
     return model
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, most: int = SAMPLE) -> QualityModel:
-    """Fit to a bounded sample of rows whose fold is not held out; rows without text or label don't count."""
-    marks = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
-    marks = marks.where("doc_id is not null and quality in (0, 1)").where(fold_number("doc_id", folds) != held_out)
-    chosen = sampled(marks.dropDuplicates(["doc_id"]), "quality", most, "quality")
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where(f"octet_length(text) between 1 and {LONGEST}")
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality").collect()  # bounded: SAMPLE and LONGEST
+    """Fit to a bounded sample of rows whose fold is not held out.
+
+    Rows without text or label don't count, nor do ids whose labels contradict each other; repeated rows count once.
+    """
+    marks = pick(labels, doc_id="bigint", quality="int").where("doc_id is not null and quality in (0, 1)").where(fold_number("doc_id", folds) != held_out)
+    marks = marks.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other").drop("other")
+    chosen = F.broadcast(sampled(marks, "quality", most, "quality", ["doc_id"]))  # bounded: SAMPLE
+    texts = pick(docs, doc_id="bigint", text="string").where("text <> ''").join(chosen, "doc_id")
+    found = materialise(texts.select("doc_id", "quality", stretch("text", LONGEST, "quality").alias("text")))  # one id may have any number of rows
+    rows = sampled(found, "quality", most, "quality", ["doc_id", "text"]).collect()  # bounded: SAMPLE and LONGEST
     return fit([(r["text"], r["quality"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))])
 
 
@@ -115,8 +133,15 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
     """docs, all columns, with `quality_score` (0 to 1): the likelihood of label 1.
 
     Null and empty texts have the score of an empty text; repeated rows have equal scores; an
-    empty table gives none; a column called quality_score is replaced.
+    empty table gives none; a column called quality_score, in any case, is replaced; others may have any name.
     """
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return append(docs, ["text"], lambda texts: {"quality_score": shared.value.scores(texts)}, "quality_score double")
+
+
+def keep(docs: DataFrame, model: QualityModel, least: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns, that have at least this score."""
+    bounded_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return filtered(docs, "text", lambda texts: (shared.value.scores(texts) >= least).tolist())
