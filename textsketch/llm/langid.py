@@ -8,15 +8,16 @@ positives that the filling of its slice makes likely, and the largest count deci
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append, bounded_batches, fold_number, sampled
+from .common import append, bounded_batches, filtered, fold_number, pick, sampled, stretch
 
-#: Texts of each language that are fitted to, at most about, and bytes of each; slots and hashes of the filter.
+#: Texts of each language that are fitted to, at most, and characters of each at most (of a longer one, a stretch); slots and hashes of the filter.
 SAMPLE, LONGEST, SLOTS, HASHES, SIZES = 600, 1 << 16, 1 << 20, 3, (2, 3, 4)
 #: A language holds an n-gram that it has at least so often, and at least at this share of the highest rate.
 LEAST, SHARE = 3, 0.1
@@ -35,23 +36,41 @@ def has_letter(text: str | None) -> bool:
     return text is not None and (any(map(str.isalpha, text[:200])) or any(map(str.isalpha, text)))
 
 
-def ngrams(text: str) -> list[np.ndarray]:
-    """Hashes of the n-grams of the lower-cased words, a space before and after each; others are one space."""
-    points = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), dtype="<u4")
+def _points(text: str, after_letter: bool) -> tuple[np.ndarray, bool]:
+    """Letters in lower case, of a run of other characters one space; whether the last character is a letter."""
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
     word = letters()[np.minimum(points, 0x10FFFF)]
     keep = word.copy()
     keep[1:] |= word[:-1]  # of other characters, only the first after a letter
-    keep[0] = True
-    points = np.where(word, points, 32)[keep].astype(np.uint64)
-    out = []
-    for n in SIZES:
-        if len(points) >= n:
-            h = np.full(len(points) - n + 1, n, dtype=np.uint64)
-            for k in range(n):
-                h = (h ^ points[k : len(points) - n + 1 + k]) * _MIX[k]
-                h ^= h >> np.uint64(29)
-            out.append(h * _MIX[0])
-    return out
+    keep[:1] |= after_letter
+    return np.where(word, points, 32)[keep].astype(np.uint64), bool(word[-1]) if len(word) else after_letter
+
+
+def _hashes(points: np.ndarray, n: int) -> np.ndarray:
+    h = np.full(len(points) - n + 1, n, dtype=np.uint64)
+    for k in range(n):
+        h = (h ^ points[k : len(points) - n + 1 + k]) * _MIX[k]
+        h ^= h >> np.uint64(29)
+    return h * _MIX[0]
+
+
+def parts(text: str) -> Iterator[np.ndarray]:
+    """ngrams() of a text of any length, by parts: what a part lacks of an n-gram is carried over to it."""
+    last, after = np.full(1, 32, dtype=np.uint64), False
+    for k in range(0, max(1, len(text)), _PART):
+        own, after = _points(text[k : k + _PART] + " " * (k + _PART >= len(text)), after)
+        own = np.concatenate([last, own])
+        for n in SIZES:
+            since = own[max(0, len(last) - n + 1) :] if k else own
+            if len(since) >= n:
+                yield _hashes(since, n)
+        last = own[-max(SIZES) :]
+
+
+def ngrams(text: str) -> list[np.ndarray]:
+    """Hashes of the n-grams of the lower-cased words, a space before and after each; others are one space."""
+    points = np.concatenate([[np.uint64(32)], _points(f"{text} ", False)[0]])
+    return [_hashes(points, n) for n in SIZES if len(points) >= n]
 
 
 def slots(hashes: np.ndarray) -> list[np.ndarray]:
@@ -70,14 +89,13 @@ class LanguageModel:
     def counts(self, text: str) -> tuple[int, np.ndarray]:
         """The n-grams of a text, and for each language how many are in it after the correction."""
         total, hits = 0, np.zeros(len(self.languages))
-        for k in range(0, len(text), _PART):  # parts, for memory: n-grams across their borders are left out
-            for h in ngrams(text[k : k + _PART]):
-                total += len(h)
-                at = slots(h)
-                for w, mask in enumerate(self.masks):
-                    found = mask[at[0]] & mask[at[1]] & mask[at[2]]
-                    for bit in range(min(64, len(self.languages) - 64 * w)):
-                        hits[64 * w + bit] += np.count_nonzero(found & np.uint64(1 << bit))
+        for h in parts(text):
+            total += len(h)
+            at = slots(h)
+            for w, mask in enumerate(self.masks):
+                found = mask[at[0]] & mask[at[1]] & mask[at[2]]
+                for bit in range(min(64, len(self.languages) - 64 * w)):
+                    hits[64 * w + bit] += np.count_nonzero(found & np.uint64(1 << bit))
         return total, np.maximum(0, hits - total * self.wrong) / (1 - self.wrong)
 
     def predict(self, text: str | None) -> tuple[str, float, float]:
@@ -113,12 +131,11 @@ def fit(rows: list[tuple[str, str]]) -> LanguageModel:
 
 
 def train(docs: DataFrame, folds: int = 4, held_out: int = 2, most: int = SAMPLE) -> LanguageModel:
-    """Fit to a bounded sample of the rows with a language whose fold is not held out."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    rows = rows.where("lang is not null").where(fold_number("doc_id", folds) != held_out)
-    chosen = sampled(rows.where(f"octet_length(text) between 1 and {LONGEST}"), "lang", most, "language")
-    texts = chosen.select("doc_id", "text", "lang").collect()  # bounded: SAMPLE of each language, LONGEST
-    return fit([(r["text"], r["lang"]) for r in sorted(texts, key=lambda r: (str(r["doc_id"]), r["text"]))])
+    """Fit to a bounded sample of the rows with a language whose fold is not held out; repeated rows count once."""
+    rows = pick(docs, doc_id="bigint", text="string", lang="string").where("lang is not null and text <> ''").where(fold_number("doc_id", folds) != held_out)
+    rows = rows.select("doc_id", "lang", stretch("text", LONGEST, "language").alias("text"))
+    texts = sampled(rows, "lang", most, "language", ["doc_id", "text"]).collect()  # bounded: SAMPLE of each language, LONGEST
+    return fit([(r["text"], r["lang"]) for r in sorted(texts, key=lambda r: (str(r["doc_id"]), r["text"], r["lang"]))])
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
@@ -126,7 +143,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     Null texts and texts without a letter are `und`, 0 and 0; ties go to the first language in
     order; repeated rows have equal results; an empty table gives none; columns of these
-    names are replaced.
+    names, in any case, are replaced; other columns may have any name.
     """
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -136,3 +153,14 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
         return {c: [x[k] for x in found] for k, c in enumerate(("lang_pred", "lang_score", "lang_cover"))}
 
     return append(docs, ["text"], each, "lang_pred string, lang_score double, lang_cover double")
+
+
+def keep(docs: DataFrame, model: LanguageModel, least: float) -> DataFrame:
+    """The rows of docs, all columns, in a language of the model that covers at least this share of their n-grams (`und` goes)."""
+    bounded_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def good(texts: list[str | None]) -> list[bool]:
+        return [language != "und" and cover >= least for language, _, cover in map(shared.value.predict, texts)]
+
+    return filtered(docs, "text", good)
