@@ -1,9 +1,16 @@
-"""From raw documents to packed training sequences: quality, language, near-duplicates, benchmarks, packing."""
+"""From raw documents to packed training sequences: quality, language, near-duplicates, benchmarks, packing.
+
+All stages but the last return rows of their input, unchanged, with all its columns, whatever these are called (names
+with dots or backticks, other case, names of a stage's own results). A null text is an empty one: it is scored as such, has no
+language (`und`) and so goes in the second stage. Repeated rows have equal scores and languages; of them one stays.
+Ties of ids keep the row of the least hash of the text; a null doc_id comes last. Texts of any length are read whole.
+An empty table gives an empty one of the same columns, and no sequences; without labels all documents are good, and
+without languages to learn from none has one. Intermediate tables are written to the shared folder.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from textsketch.llm import decontaminate, langid, nearcopies, packing, quality
 from textsketch.llm.common import materialise
@@ -12,20 +19,15 @@ from textsketch.llm.common import materialise
 LEAST_COVER = 0.25
 
 
-def _columns(df: DataFrame) -> list:
-    return [F.col(f"`{c}`") for c in df.columns]
-
-
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which the compression classifier holds a good label likelier."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, model).where("quality_score >= 0.5").select(*_columns(docs))
+    return quality.keep(docs, model, 0.5)
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents written in one of the languages that the corpus names; `und` and unknown ones go."""
-    found = langid.identify(docs, langid.train(docs))
-    return found.where(f"lang_pred <> 'und' and lang_cover >= {LEAST_COVER}").select(*_columns(docs))
+    return langid.keep(docs, langid.train(docs), LEAST_COVER)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

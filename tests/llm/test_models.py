@@ -88,7 +88,8 @@ def test_forward_and_baum_welch(monkeypatch):
     texts = [rng.integers(0, 5, n).astype(np.int32) for n in (1, 4, 6, 2, 40)]
     for x, got in zip(texts[:4], states.loglik(texts)[:4], strict=True):
         assert got == pytest.approx(_brute_forward(states, x))
-    first, moves, emits = states.expected(texts)
+    first, moves, emits, (logs, n) = states.expected([hmm.Part(x, 0, len(x)) for x in texts])
+    assert logs == pytest.approx(states.loglik(texts).sum()) and n == 53
     assert first.sum() == pytest.approx(5) and emits.sum() == pytest.approx(53) and moves.sum() == pytest.approx(48)
     before = states.loglik(texts).sum()
     raw = hmm.States(first / first.sum(), moves / moves.sum(axis=1, keepdims=True), emits / emits.sum(axis=0))
@@ -135,3 +136,110 @@ def test_score_edges(spark, documents):
     assert hmm.score(documents([]), F.lit(False)).count() == 0
     none = hmm.score(docs, F.lit(True)).collect()
     assert all(r.n_known == 0 and r.train_tokens == 0 and math.isfinite(r.score) for r in none)
+
+
+def test_parts_of_a_text_have_its_counts(monkeypatch):
+    """What is counted of a long text in parts is what is counted of it whole: its one first state, all transitions and tokens."""
+    monkeypatch.setattr(hmm, "STATES", 3)
+    rng = np.random.default_rng(2)
+    states = hmm.States.begin(9, rng)
+    text = rng.integers(0, 9, 700).astype(np.int32)
+    whole = states.expected([hmm.Part(text, 0, len(text))])
+    monkeypatch.setattr(hmm, "SEGMENT", 64)
+    parts = hmm.segments(text)
+    assert sum(p.stop - p.own for p in parts) == 700 and np.concatenate([p.classes[p.own : p.stop] for p in parts]).tolist() == text.tolist()
+    got = states.expected(parts)
+    assert got[0].sum() == pytest.approx(1) and got[1].sum() == pytest.approx(699) and got[2].sum() == pytest.approx(700)
+    for a, b in zip(got, whole, strict=True):
+        assert np.abs(a - b).max() < 0.02 * max(1, np.abs(b).max())
+
+
+def test_passes_raise_the_likelihood(spark, small):
+    texts = spark.read.parquet(f"{small}/documents.parquet").select("text")
+    *_, history = hmm.train(texts)
+    assert 2 <= len(history) <= hmm.PASSES and history == sorted(history)
+
+
+def _slow_language(model, text):
+    """Languages of each n-gram one by one."""
+    word = lambda c: c.isalpha()
+    out, last = [" "], False
+    for c in (text.lower() if text else "") + " ":
+        if word(c) or last:
+            out.append(c if word(c) else " ")
+        last = word(c)
+    total, hits = 0, Counter()
+    for n in langid.SIZES:
+        for k in range(len(out) - n + 1):
+            h = n
+            for i, c in enumerate(out[k : k + n]):
+                h = (h ^ ord(c)) * int(langid._MIX[i]) % 2**64
+                h ^= h >> 29
+            h = h * int(langid._MIX[0]) % 2**64
+            at = [((h >> 40) + j * (h >> 16 & 0xFFFFFF | 1)) % langid.SLOTS for j in range(langid.HASHES)]
+            total += 1
+            for i, language in enumerate(model.languages):
+                hits[language] += all(int(model.masks[i // 64][a]) >> (i % 64) & 1 for a in at)
+    if not any(map(word, text or "")):
+        return "und", 0.0
+    counts = [max(0, hits[x] - total * w) / (1 - w) for x, w in zip(model.languages, model.wrong, strict=True)]
+    best = max(range(len(counts)), key=lambda k: (counts[k], -k))
+    return model.languages[best], counts[best] / max(sum(counts), 1e-9)
+
+
+def test_languages_by_brute_force(spark):
+    docs = spark.read.parquet(f"{MIDDLE}/documents.parquet")
+    model = langid.train(docs)
+    rows = [r.text for r in docs.where("length(text) < 1500").orderBy("doc_id").limit(60).collect()]
+    for text in [*rows, "", None, "12 !", "A-b ÉÀ x", "Straße\n\n eins"]:
+        language, score, _ = model.predict(text)
+        want = _slow_language(model, text)
+        assert language == want[0] and score == pytest.approx(want[1], abs=1e-9)
+
+
+def test_no_ngram_is_lost_between_parts(monkeypatch):
+    text = "El ñandú, 12 -- corrió!  l'été (a) b\n" * 40
+    want = np.sort(np.concatenate(langid.ngrams(text)))
+    for part in (1, 2, 3, 5, 64, len(text), len(text) + 1):
+        monkeypatch.setattr(langid, "_PART", part)
+        assert np.array_equal(np.sort(np.concatenate(list(langid.parts(text)))), want), part
+
+
+def test_quality_by_brute_force(spark):
+    """Sizes from a compressor of its own for each block, and the calibration written out."""
+    import zstandard
+
+    docs, labels = (spark.read.parquet(f"{MIDDLE}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.train(docs, labels)
+    for r in docs.orderBy("doc_id").limit(40).collect():
+        x = []
+        for (good, bad), view in zip(model.dictionaries, quality._views(r.text), strict=True):
+            sizes = []
+            for d in (good, bad):
+                c = zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False)
+                sizes.append(sum(len(c.compress(b)) for b in quality.blocks(view)))
+            x += [(sizes[1] - sizes[0]) / sum(sizes), (sizes[1] - sizes[0]) / (len(view) + 8)]
+        z = sum(w * (v - m) / s for w, v, m, s in zip(model.weights, x, model.mean, model.spread)) + model.weights[-1]  # noqa: B905
+        assert model.scores([r.text])[0] == pytest.approx(1 / (1 + math.exp(-z)), abs=0.02)
+
+
+def test_samples_are_bounded(spark):
+    """However often an id or a row is repeated, and whatever labels say of it."""
+    from textsketch.llm.common import sampled
+
+    hot = spark.range(5000).select(F.lit(145).alias("doc_id"), F.lit("same").alias("text"), F.lit("en").alias("lang"))
+    own = spark.range(50).select((F.col("id") + 1000).alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"), F.lit("en").alias("lang"))
+    many = spark.range(3000).select(F.lit(7).cast("bigint").alias("doc_id"), F.concat(F.lit("u"), "id").alias("text"), F.lit("fr").alias("lang"))
+    got = sampled(hot.union(own).union(many), "lang", 60, "s", ["doc_id", "text"]).collect()
+    assert Counter(r.lang for r in got) == {"en": 51, "fr": 60} or (45 <= sum(r.lang == "en" for r in got) <= 51 and sum(r.lang == "fr" for r in got) <= 60)
+    assert len(set(got)) == len(got) and len({r.doc_id for r in got if r.lang == "en"}) > 45
+    assert sampled(hot.limit(0), "lang", 60, "s", ["doc_id", "text"]).count() == 0
+    labels = spark.createDataFrame([(145, 1), (145, 0), (7, 1), (7, 1), *((1000 + k, k % 2) for k in range(50))], "doc_id bigint, quality int")
+    seen = []
+    keep = quality.fit
+    try:
+        quality.fit = lambda rows: seen.extend(rows) or keep(rows)
+        quality.train(hot.union(own).union(many), labels, most=40)
+    finally:
+        quality.fit = keep
+    assert Counter(q for _, q in seen).most_common(1)[0][1] <= 40 and not any(t == "same" for t, _ in seen)

@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _made: list[tuple[SparkSession, str]] = []
@@ -90,32 +90,91 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).union(stars.select("v", "v").distinct())
 
 
+def place(df: DataFrame, name: str) -> int:
+    """Where a column stands: the first of exactly this name, else the first of it in other case."""
+    for same in (lambda c: c == name, lambda c: c.lower() == name.lower()):
+        for k, c in enumerate(df.columns):
+            if same(c):
+                return k
+    raise ValueError(f"no column {name}")
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """df with columns _0, _1, ...: whatever they were called (dots, backticks, other case, twice), they can be told apart."""
+    return df.toDF(*(f"_{k}" for k in range(len(df.columns))))
+
+
+def pick(df: DataFrame, **types: str) -> DataFrame:
+    """The columns of these names, cast; all others are left out, whatever they are called."""
+    own = numbered(df)
+    return own.select(*(F.col(f"_{place(df, name)}").cast(t).alias(name) if t else F.col(f"_{place(df, name)}").alias(name) for name, t in types.items()))
+
+
 def append(df: DataFrame, on: list[str], each, added: str) -> DataFrame:
     """df with the columns that `each`(list, ...) returns as dicts of lists, from the columns `on`.
 
     `added` is their schema; all other columns pass through untouched, whatever they are called,
-    but a column of df that has an added name gives way.
+    but a column of df that has an added name, in any case, gives way.
     """
-    names = [x.split()[0] for x in added.split(", ")]
-    df = df.select(*(F.col(f"`{c}`") for c in df.columns if c not in names))
-    kept, n = df.schema, len(df.columns)
-    at = [df.columns.index(c) for c in on]
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import StructType
+
+    fields = StructType.fromDDL(added).fields
+    names, types = [f.name for f in fields], [(f.name, to_arrow_type(f.dataType)) for f in fields]
+    stay = [k for k, c in enumerate(df.columns) if c.lower() not in {x.lower() for x in names}]
+    of = [place(df, c) for c in on]
+    own = numbered(df).select(*(f"_{k}" for k in stay), *(F.col(f"_{k}").alias(f"on_{i}") for i, k in enumerate(of)))
+    n = len(stay)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = each(*(batch.column(k).to_pylist() for k in at))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *(pa.array(found[c], type=t) for c, t in types)], names=[*batch.schema.names, *names])
+            found = each(*(c.to_pylist() for c in batch.columns[n:]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *(pa.array(found[c], type=t) for c, t in types)], names=[*batch.schema.names[:n], *(f"new_{c}" for c in names)])
 
-    from pyspark.sql.pandas.types import to_arrow_type
-    from pyspark.sql.types import StructType
+    schema = StructType([*own.schema.fields[:n], *(type(f)(f"new_{f.name}", f.dataType) for f in fields)])
+    return own.mapInArrow(run, schema).toDF(*(df.columns[k] for k in stay), *names)
 
-    fields = StructType.fromDDL(added).fields
-    types = [(f.name, to_arrow_type(f.dataType)) for f in fields]
-    return df.mapInArrow(run, StructType([*kept.fields, *fields]))
 
+def filtered(df: DataFrame, on: str, keep) -> DataFrame:
+    """The rows of df, all columns, for which `keep`(list of the column `on`) says so."""
+    at = place(df, on)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(keep(batch.column(at).to_pylist()), pa.bool_()))
+
+    own = numbered(df)
+    return own.mapInArrow(run, own.schema).toDF(*df.columns)
 
-def sampled(rows: DataFrame, by: str, most: int, salt: str) -> DataFrame:
-    """About `most` rows of each value of `by` at most, chosen by a hash of doc_id; no row is moved to do so."""
-    n = F.broadcast(rows.groupBy(by).agg(F.count("*").alias("__n")))
-    share = F.pmod(F.xxhash64(F.lit(salt), F.col("doc_id")), F.lit(1 << 30)) / float(1 << 30)
-    return rows.join(n, by).where(share * F.col("__n") < most).drop("__n")
+
+#: Values at most that rows can be sampled by.
+GROUPS = 4096
+
+
+def sampled(rows: DataFrame, by: str | None, most: int, salt: str, of: list[str]) -> DataFrame:
+    """At most `most` different rows for each value of `by` (of all rows, if None), chosen by a hash of the columns `of`.
+
+    Rows that are equal in `of` are one, however often they occur, so neither a repeated id nor a repeated text
+    takes the others' place. No row is moved to count them; only those chosen, about `most`, are.
+    """
+    own = rows.withColumns({"__by": F.lit(0) if by is None else F.col(by), "__h": F.xxhash64(F.lit(salt), *of)})
+    n = own.groupBy("__by").agg(F.approx_count_distinct("__h", 0.02).alias("__n"))
+    sizes = {r["__by"]: r["__n"] for r in n.limit(GROUPS + 1).collect()}
+    if len(sizes) > GROUPS:
+        raise ValueError(f"more than {GROUPS} values of {by}")
+    if not sizes:
+        return rows.limit(0)
+    limits = F.create_map(*(F.lit(x) for k, v in sizes.items() for x in (k, min(1.0, most * 1.1 / max(1, v)))))
+    share = F.pmod(F.xxhash64(F.lit(salt), "__h"), F.lit(1 << 30)) / float(1 << 30)
+    few = own.where(share < limits[F.col("__by")])
+    names = rows.columns
+    once = few.groupBy("__by", "__h").agg(*(F.first(c).alias(c) for c in names))
+    order = Window.partitionBy("__by").orderBy("__h")
+    return once.withColumn("__at", F.row_number().over(order)).where(F.col("__at") <= most).select(*names)
+
+
+def stretch(text: str, longest: int, salt: str) -> F.Column:
+    """A text of at most so many characters as it is; of a longer one, a stretch of that length at a place that its hash picks."""
+    n = F.greatest(F.lit(1), F.ceil(F.length(text) / longest).cast("int"))
+    at = F.pmod(F.xxhash64(F.lit(salt), text), n.cast("bigint")).cast("int")
+    return F.when(F.length(text) <= longest, F.col(text)).otherwise(F.substring(F.col(text), at * longest + 1, F.lit(longest)))

@@ -200,7 +200,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """pages, all columns, with main_text and n_chars (its code points).
 
     A null or empty html has an empty text; repeated pages have equal texts; an empty table gives
-    no rows; columns of these names are replaced. Whole pages are read, however long; a page
+    no rows; columns of these names, in any case, are replaced; others may have any name. Whole pages are read, however long; a page
     that is cut off inside a tag, a script or a comment loses only that.
     """
     bounded_batches(pages.sparkSession)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise
+from .common import connected_components, materialise, pick, sampled
 
 #: Cosine of a link; recall aimed at for pairs just above it; numbers (vectors times dimensions) that rotations are learned from, at most about.
 THRESHOLD, RECALL, LEARNED = 0.93, 0.97, 1 << 21
@@ -205,18 +205,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
     a null or non-finite component, one without a label and one without a vec_id link with nothing
     (component: its own vec_id; kept). Rows that share a vec_id count as one vector: repeated
     rows once, different ones with the links of each. An empty table gives no rows; columns
-    other than these are ignored. A crowded table entry is compared in chunks of a bounded size.
+    other than these are ignored, whatever they are called. A crowded table entry is compared in chunks of a bounded size.
     """
     spark = vectors.sparkSession
-    own = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding", F.col("label").cast("string").alias("label"))
+    own = pick(vectors, vec_id="bigint", embedding="", label="string")
     valid = own.where("vec_id is not null and label is not null and embedding is not null and size(embedding) > 0")
-    head = valid.groupBy("label").count().agg(F.max("count"), F.sum("count")).first()
-    most, total = head[0] or 0, head[1] or 0
+    most = valid.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     width = min(30, max(12, math.ceil(math.log2(most + 1)) + 3))
     dim = valid.select(F.max(F.size("embedding"))).first()[0] or 1
-    share = min(1.0, LEARNED / dim / max(1, total))
-    picked = valid.where(F.pmod(F.xxhash64(F.lit("learn"), "vec_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("vec_id", "embedding").collect()  # bounded: LEARNED
-    sample = [u for r in sorted(picked, key=lambda r: r["vec_id"]) if (u := _unit(r["embedding"])) is not None]
+    picked = sampled(valid.select("vec_id", "embedding"), None, max(1, LEARNED // dim), "learn", ["vec_id", "embedding"]).collect()  # bounded: LEARNED
+    sample = [u for r in sorted(picked, key=lambda r: (r["vec_id"], str(r["embedding"]))) if (u := _unit(r["embedding"])) is not None]
     tables = spark.sparkContext.broadcast(Tables(sample, width, recall, threshold))
     marked = valid.select("vec_id", "embedding", "label", F.xxhash64("label", "embedding").alias("k1"), F.xxhash64(F.lit("copies"), "embedding", "label").alias("k2"))
     copies = marked.dropDuplicates(["vec_id", "k1", "k2"]).groupBy("k1", "k2").agg(F.min("vec_id").alias("vec_id"), F.first("embedding").alias("embedding"), F.first("label").alias("label"), F.count("*").alias("copies"))

@@ -13,9 +13,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, pick
 
 THRESHOLD = 0.8
 TEMPLATES = {
@@ -114,5 +113,5 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, thresho
                 rows += [(doc_id, a, b, *got) for a, b, t in units(text or "") if (got := shared.value.best(t))]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=t) for k, t in enumerate(types)], names=[x.split()[0] for x in schema.split(", ")])
 
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = pick(docs, doc_id="bigint", text="string")
     return docs.mapInArrow(run, schema)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import bounded_batches, connected_components, materialise
+from .common import bounded_batches, connected_components, materialise, pick
 
 SHINGLE, SIMILARITY, BANDS, ROWS, CHUNK = 5, 0.8, 20, 5, 512
 _PART = 1 << 13
@@ -122,8 +122,7 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     blocks = met.select("node", "chunk", F.xxhash64("component", least, most).alias("block"), (least != most).alias("cross"))
     none = F.lit(-(1 << 63))
     asked = parts.select("node").join(nodes, "node").select("node", "keys", F.coalesce("least.doc_id", none).alias("id"), F.col("least.same").alias("same"))
-    text = F.col("text").cast("string")
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), none).alias("id"), F.xxhash64(text).alias("same"), text.alias("text"))
+    texts = pick(docs, doc_id="bigint", text="string").select(F.coalesce("doc_id", none).alias("id"), F.xxhash64("text").alias("same"), "text")
     texts = materialise(asked.join(texts, ["id", "same"]).dropDuplicates(["node"]).select("node", "keys", "text"))
     rows = blocks.join(texts, "node").select("block", "cross", "chunk", "node", "keys", "text")
     return rows.repartition("block").sortWithinPartitions("block").mapInArrow(_verified, "a bigint, b bigint")
@@ -137,7 +136,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     one shingle. Rows with a null doc_id come last, and of rows that share id and text one stays.
     """
     bounded_batches(docs.sparkSession)
-    marked = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    marked = pick(docs, doc_id="bigint", text="string")
     marked = marked.select("doc_id", F.xxhash64("text").alias("same"), "text")
     marked = materialise(marked.mapInArrow(_marks, "doc_id bigint, same bigint, fp bigint, node bigint, keys array<bigint>"))
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "same")

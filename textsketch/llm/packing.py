@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, column, materialise, one_row
+from .common import bounded_batches, column, materialise, one_row, pick
 
 CAPACITY, SHARD, ISLANDS, EPOCHS, GENERATIONS, POPULATION, ROOM = 2048, 4096, 3, 2, 12, 4, 24
 #: Tasks for each island and shard that evolves (more than one, as rows are dealt by chance), and at most.
@@ -314,7 +314,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = "byte_bpe_
     """
     bounded_batches(docs.sparkSession)
     schema = f"{_SHARD}, bin array<int>, over int" + ", ids array<binary>" * keep_ids
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = pick(docs, doc_id="bigint", text="string")
     shards = materialise(docs.mapInArrow(_tokenised(capacity, vocabulary, keep_ids), schema))
     first = materialise(_settled(shards, capacity, islands, epochs))
     own = [n for n, _, _ in _ITEMS] + ["ids"] * keep_ids

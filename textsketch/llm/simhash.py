@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, connected_components, materialise
+from .common import bounded_batches, connected_components, materialise, numbered, pick, place
 
 SHINGLE, SEED, DISTANCE, SEGMENTS, PAIRED = 3, 42, 2, 8, 32
 _PART = 1 << 16
@@ -109,7 +109,7 @@ def links(fps: DataFrame, paired: int = PAIRED) -> DataFrame:
 def _classes(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, same, fp) of each row, and (fp, keeper) of each fingerprint; `same` is a hash of the text."""
     bounded_batches(docs.sparkSession)
-    marked = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    marked = pick(docs, doc_id="bigint", text="string")
     marked = marked.select("doc_id", F.xxhash64("text").alias("same"), "text")
     marked = materialise(marked.mapInArrow(_fingerprints(size), "doc_id bigint, same bigint, fp bigint"))
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "same")
@@ -143,9 +143,10 @@ def keep_one(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 
 
 def keep(docs: DataFrame, keepers: DataFrame) -> DataFrame:
-    """One row of docs, with all its columns, for each (doc_id, same) of keepers."""
+    """One row of docs, with all its columns, for each (doc_id, same) of keepers; columns may have any name."""
     keepers = materialise(keepers.distinct())
     none = F.lit(-(1 << 63))
-    keys = keepers.select(F.coalesce("doc_id", none).alias("__id"), F.col("same").alias("__same"))
-    own = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("bigint"), none), "__same": F.xxhash64(F.col("text").cast("string"))})
-    return own.join(keys, ["__id", "__same"], "left_semi").dropDuplicates(["__id", "__same"]).select(*docs.columns)
+    keys = keepers.select(F.coalesce("doc_id", none).alias("id"), "same")
+    doc_id, text = (F.col(f"_{place(docs, c)}") for c in ("doc_id", "text"))
+    own = numbered(docs).withColumns({"id": F.coalesce(doc_id.cast("bigint"), none), "same": F.xxhash64(text.cast("string"))})
+    return own.join(keys, ["id", "same"], "left_semi").dropDuplicates(["id", "same"]).drop("id", "same").toDF(*docs.columns)

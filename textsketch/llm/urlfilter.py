@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import numbered, pick, place
+
 ALLOW = "allow"
 
 
@@ -51,17 +53,18 @@ def judge(captures: DataFrame, entries: DataFrame, url: str = "url", at: str = "
 
     An entry of the list `allow` that held lifts all others. A capture without a URL, host or time
     is not blocked; repeated captures are judged alike; an empty list blocks nothing; columns
-    called blocked or reasons are replaced.
+    called blocked or reasons, in any case, are replaced; others may have any name.
     """
-    kept = [c for c in captures.columns if c not in ("blocked", "reasons")]
-    asked = captures.select(F.col(f"`{url}`").alias("__url"), F.col(f"`{at}`").alias("__at")).where("__url is not null and __at is not null").distinct()
-    lengths = entries.where("contains(pattern, '/') and not endswith(pattern, '/')").agg(F.collect_set(F.length("pattern")).alias("__lengths"))
-    keys = asked.crossJoin(F.broadcast(lengths)).select("__url", "__at", F.explode(patterns(F.col("__url"), F.col("__lengths"))).alias("__key"))
-    held = intervals(entries).select(F.col("list").alias("__list"), F.col("pattern").alias("__key"), F.col("valid_from").alias("__from"), F.col("valid_to").alias("__to"))
-    met = keys.join(held, "__key").where("__from <= __at and (__to is null or __at < __to)")
-    reason = F.concat("__list", F.lit(":"), "__key")
-    verdict = met.groupBy("__url", "__at").agg(F.array_sort(F.collect_set(reason)).alias("__reasons"), F.bool_or(F.col("__list") == ALLOW).alias("__allowed"))
-    own = captures.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{url}`").alias("__url"), F.col(f"`{at}`").alias("__at"))
-    out = own.join(verdict, ["__url", "__at"], "left")
-    blocked = F.coalesce(~F.col("__allowed"), F.lit(False))
-    return out.select(*(F.col(f"`{c}`") for c in kept), blocked.alias("blocked"), F.coalesce(F.array_join("__reasons", ","), F.lit("")).alias("reasons"))
+    stay = [k for k, c in enumerate(captures.columns) if c.lower() not in ("blocked", "reasons")]
+    own = numbered(captures).select(*(f"_{k}" for k in stay), F.col(f"_{place(captures, url)}").alias("url"), F.col(f"_{place(captures, at)}").alias("at"))
+    entries = pick(entries, list="string", pattern="string", action="string", at="")
+    asked = own.select("url", "at").where("url is not null and at is not null").distinct()
+    lengths = entries.where("contains(pattern, '/') and not endswith(pattern, '/')").agg(F.collect_set(F.length("pattern")).alias("lengths"))
+    keys = asked.crossJoin(F.broadcast(lengths)).select("url", "at", F.explode(patterns(F.col("url"), F.col("lengths"))).alias("pattern"))
+    held = intervals(entries)
+    met = keys.join(held, "pattern").where("valid_from <= at and (valid_to is null or at < valid_to)")
+    reason = F.concat("list", F.lit(":"), "pattern")
+    verdict = met.groupBy("url", "at").agg(F.array_sort(F.collect_set(reason)).alias("found"), F.bool_or(F.col("list") == ALLOW).alias("allowed"))
+    out = own.join(verdict, ["url", "at"], "left")
+    blocked = F.coalesce(~F.col("allowed"), F.lit(False))
+    return out.select(*(f"_{k}" for k in stay), blocked, F.coalesce(F.array_join("found", ","), F.lit(""))).toDF(*(captures.columns[k] for k in stay), "blocked", "reasons")
