@@ -152,12 +152,66 @@ def test_all_passages_at_the_edit_limit_are_found(least, most):
         assert k in {x[0] for x in items.find(" ".join(before + own + after))}
 
 
+@pytest.mark.parametrize("n", [10, 20, 40, 80, 120])
+@pytest.mark.parametrize("rate", [0.05, 0.1, 0.15, 0.2])
+def test_samples_meet_at_every_length_and_rate(n, rate):
+    """The walks and samples alone, before anything else is aligned: window of the item's size at the passage's beginning or near it."""
+    rng, met = np.random.default_rng(n), 0
+    for _ in range(100):
+        item = rng.permutation(4 * n)[:n]
+        own = decontaminate.edited(item, int(rate * n), rng)
+        t = np.concatenate([-1000 - np.arange(2 * n), own, -5000 - np.arange(2 * n)])
+        at = 2 * n + np.arange(-int(0.2 * n), int(0.2 * n) + 1)
+        met += decontaminate.meet(item, t[at[:, None] + np.arange(n)]).any()
+    assert met >= 90, met
+
+
+def _slow_matches(items, text):
+    """Every stretch of the text against every item."""
+    t, out = decontaminate.words(text), []
+    for k, item in items:
+        own = decontaminate.words(item)
+        best = min(((_levenshtein(own, t[s:e]), e) for s in range(len(t) + 1) for e in range(s, min(len(t), s + 2 * len(own)) + 1)), default=(len(own) + 1, 0))
+        if own and best[0] <= int(0.2 * len(own)):
+            out.append((k, best[0]))
+    return sorted(out)
+
+
+def test_matches_by_brute_force():
+    rng = random.Random(11)
+    word = lambda n=9: rng.choice("abcdefghijklmnopqrs"[:n])
+    found = 0
+    for _ in range(60):
+        items = [(k, " ".join(word() for _ in range(rng.choice([1, 2, 3, 4, 5, 6, 9, 12])))) for k in range(5)]
+        text = []
+        for _ in range(rng.randint(0, 3)):
+            own = rng.choice(items)[1].split()
+            for _ in range(rng.randint(0, 2)):
+                own[rng.randrange(len(own))] = word(19)
+            text += own + [word(19) for _ in range(rng.randint(0, 6))]
+        got = [(x[0], x[4]) for x in decontaminate.Items().build(items).find(" ".join(text))]
+        assert got == _slow_matches(items, " ".join(text)), (items, text)
+        found += len(got)
+    assert found > 60
+
+
+def test_short_repeated_and_odd_items(spark, documents):
+    bench = spark.createDataFrame([(1, "alpha beta"), (2, "Alpha, beta"), (2, "alpha beta"), (None, "alpha beta"), (3, "gamma"), (4, "!"), (5, None), (6, "one two three four five six seven")], "item_id bigint, text string")
+    docs = documents([(1, "so alpha beta it"), (1, "so alpha beta it"), (2, "alphabeta gamma"), (3, None), (4, "one two x four five six seven")])
+    got = sorted((r.doc_id, r.item_id, r.edits) for r in decontaminate.matches(docs, bench).collect())
+    assert got == sorted(2 * [(1, 1, 0), (1, 2, 0), (1, 2, 0), (1, -1, 0)] + [(2, 3, 0), (4, 6, 1)])
+    assert sorted(r.doc_id for r in decontaminate.clean(docs, bench).collect()) == [1, 1, 2, 3]
+    assert [r.doc_id for r in decontaminate.clean(docs, bench, least=1).collect()] == [3]
+
+
 def test_blocks_of_items_find_the_same(spark, documents, monkeypatch):
     items = [(k, f"alpha{k} beta{k} gamma{k} delta{k} epsilon{k} zeta{k}") for k in range(7)]
     bench, docs = spark.createDataFrame(items, "item_id bigint, text string"), documents([(k, f"so {t} end") for k, t in items])
     want = sorted((r.doc_id, r.item_id) for r in decontaminate.matches(docs, bench).collect())
     monkeypatch.setattr(decontaminate, "BLOCK", 3)
     assert sorted((r.doc_id, r.item_id) for r in decontaminate.matches(docs, bench).collect()) == want == [(k, k) for k in range(7)]
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 100)
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.matches(docs, bench).collect()) == want
 
 
 def _vectors(n=300, d=24):
