@@ -1,14 +1,16 @@
 """Near-duplicate embeddings: iterative quantisation, multi-index Hamming tables, exact rerank.
 
 A rotation is learned that brings centred vectors close to the corners of a cube; the signs of
-the rotated components are a balanced binary code. Each table indexes one substring of a code, and
-vectors with equal substrings are compared by the cosine of the originals in double precision.
+the rotated components are a balanced binary code. Each table indexes one substring of a code. Of vectors with
+equal substrings, first only the codes meet: pairs whose Hamming distance over all codes is within reach of the threshold are
+left, and only for vectors of these are the originals fetched and compared by their cosine in double precision.
 Several rotations, learned from different beginnings, give as many tables as the wanted recall at
 the threshold takes. Codes are of centred vectors: where vectors share a direction, pairs at the
 threshold are further apart in angle after centring, so that agreement of bits is taken from there,
 and substrings get shorter if there would be too many tables. A pair is counted in the first table in which it meets, so that no list of
 pairs is ever made: tasks return counts and, for components, each vector's group in its block.
-Equal vectors are one entry with a weight.
+Equal vectors are one entry with a weight. A block of entries is named by two hashes of its table, label, dimension and
+substring, and its rows are compared only where both are equal.
 """
 
 from __future__ import annotations
@@ -77,8 +79,8 @@ class Tables:
         for x in sample:
             by.setdefault(len(x), []).append(x)
         own = {d: np.stack(rows) for d, rows in by.items()}
-        shares = [np.array([1 - math.acos(threshold) / math.pi])] + [s for x in own.values() if len(x) > 1 for s in agreements(x, threshold)]
-        while (tables := tables_for(shares, width, recall)) > TABLES and width:
+        self.shares = [np.array([1 - math.acos(threshold) / math.pi])] + [s for x in own.values() if len(x) > 1 for s in agreements(x, threshold)]
+        while (tables := tables_for(self.shares, width, recall)) > TABLES and width:
             width -= 1
         self.width, self.tables = width, tables  # width 0: all are compared
         for d, x in own.items() if width else ():
@@ -88,19 +90,34 @@ class Tables:
         each = max(1, min(BITS, x.shape[1]) // self.width)
         return [learn(x, min(BITS, x.shape[1]), seed) for seed in range(-(-self.tables // each))]
 
-    def keys(self, x: np.ndarray) -> np.ndarray:
-        """A row of `tables` substrings for each unit vector of one dimension."""
+    def codes(self, x: np.ndarray) -> np.ndarray:
+        """A code for each rotation of each unit vector of one dimension: unsigned numbers, vectors x rotations."""
         d = x.shape[1]
         if not self.width:
-            return np.zeros((len(x), 1), dtype=np.int64)
+            return np.zeros((len(x), 1), dtype=np.uint64)
         if d not in self.models:
             self.models[d] = self._rotations(np.zeros((0, d)))
-        width, out = min(self.width, d), []
-        weights = 1 << np.arange(width, dtype=np.int64)
-        for mean, projection in self.models[d]:
-            bits = (x - mean) @ projection >= 0
-            out += [bits[:, k : k + width] @ weights for k in range(0, bits.shape[1] - width + 1, width)]
-        return np.stack(out[: self.tables], axis=1)
+        weights = np.uint64(1) << np.arange(min(BITS, d), dtype=np.uint64)
+        return np.stack([(((x - mean) @ projection >= 0) * weights).sum(axis=1, dtype=np.uint64) for mean, projection in self.models[d]], axis=1)
+
+    def substrings(self, codes: np.ndarray, d: int) -> np.ndarray:
+        """The key of each code vector in each table: vectors x tables."""
+        if not self.width:
+            return np.zeros((len(codes), 1), dtype=np.int64)
+        width, bits = min(self.width, d), min(BITS, d)
+        mask = np.uint64((1 << width) - 1)
+        out = [codes[:, c] >> np.uint64(k) & mask for c in range(codes.shape[1]) for k in range(0, bits - width + 1, width)]
+        return np.stack(out[: self.tables], axis=1).astype(np.int64)
+
+    def keys(self, x: np.ndarray) -> np.ndarray:
+        return self.substrings(self.codes(x), x.shape[1])
+
+    def budget(self, codes: int, d: int) -> int:
+        """The Hamming distance over so many codes that pairs at the threshold all but never exceed: five deviations above their mean."""
+        bits = codes * min(BITS, d)
+        if not self.width:
+            return BITS
+        return math.ceil(max(np.quantile(bits * (1 - s) + 5 * np.sqrt(bits * s * (1 - s)), 0.995) for s in self.shares))
 
 
 def _unit(values: list | None) -> np.ndarray | None:
@@ -116,6 +133,20 @@ def _unit(values: list | None) -> np.ndarray | None:
     return x / np.linalg.norm(x)
 
 
+def _packed(values: list) -> bytes:
+    """A vector's own numbers: in single precision where that is exact."""
+    x = np.array(values, dtype=np.float64)
+    with np.errstate(over="ignore"):
+        short = x.astype(np.float32)
+    return (short if (short == x).all() else x).tobytes()
+
+
+def _unpacked(data: bytes, d: int) -> np.ndarray:
+    x = np.frombuffer(data, dtype=np.float32 if len(data) == 4 * d else np.float64).astype(np.float64)
+    x = x / np.abs(x).max()
+    return x / np.linalg.norm(x)
+
+
 def _indexed(tables):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,12 +154,13 @@ def _indexed(tables):
             units = [_unit(v) for v in vectors]
             for d in sorted({len(u) for u in units if u is not None}):
                 of = [k for k, u in enumerate(units) if u is not None and len(u) == d]
-                x = np.stack([units[k] for k in of])
-                keys = tables.value.keys(x).tolist()
+                codes = tables.value.codes(np.stack([units[k] for k in of]))
+                keys = tables.value.substrings(codes, d)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[k] for k in of], pa.int64()), pa.array([labels[k] for k in of], pa.string()), pa.array([d] * len(of), pa.int32()), pa.array([row.tobytes() for row in x], pa.binary()), pa.array(keys, pa.list_(pa.int64())), *(pa.array([c[k] for k in of], pa.int64()) for c in (copies, k1, k2))],
-                    names=["vec_id", "label", "dim", "unit", "keys", "copies", "k1", "k2"],
-                )
+                    [pa.array([ids[k] for k in of], pa.int64()), pa.array([labels[k] for k in of], pa.string()), pa.array([d] * len(of), pa.int32()), pa.array([_packed(vectors[k]) for k in of], pa.binary()),
+                     *(pa.array(x.tolist(), pa.list_(pa.int64())) for x in (codes.view(np.int64), keys)), *(pa.array([c[k] for k in of], pa.int64()) for c in (copies, k1, k2))],
+                    names=["vec_id", "label", "dim", "vector", "codes", "keys", "copies", "k1", "k2"],
+                )
 
     return run
 
@@ -144,60 +176,98 @@ def _groups(links: np.ndarray) -> np.ndarray:
         label = low
 
 
-def _counted(threshold: float):
-    """For rows sorted by block: links that are first met in the block's table, and the links' groups."""
-
-    def dense(x, keys, ids, copies, chunk, table, cross) -> tuple[np.ndarray, np.ndarray]:
-        links = (x @ x.T >= threshold) & (ids[:, None] != ids[None, :])
-        if cross:  # within a chunk, pairs were counted in the chunk's own block
-            links &= chunk[:, None] != chunk[None, :]
-        fresh = links.copy()
-        for t in range(table):
-            fresh &= keys[:, t][:, None] != keys[:, t][None, :]
-        return fresh @ copies, _groups(links)
+def _by_block(flush):
+    """Runs `flush` on tables of whole blocks: rows come sorted by (block, check)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-
-        def flush(rows: pa.Table) -> pa.RecordBatch:
-            rows = rows.combine_chunks()
-            block = rows["block"].to_numpy()
-            ids, dim, table = rows["vec_id"].to_numpy(), rows["dim"].to_numpy(), rows["t"].to_numpy()
-            copies, chunk, cross = rows["copies"].to_numpy(), rows["chunk"].to_numpy(), rows["cross"].to_numpy(zero_copy_only=False)
-            units = [np.frombuffer(b, dtype=np.float64) for b in rows["unit"].to_pylist()]
-            keys = np.array(rows["keys"].to_pylist(), dtype=np.int64).reshape(len(ids), -1)
-            n, root = np.zeros(len(ids), dtype=np.int64), ids.copy()
-            edges = np.nonzero(np.r_[True, block[1:] != block[:-1], True])[0]
-            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                if b - a == 2:
-                    same = ids[a] != ids[a + 1] and float(units[a] @ units[a + 1]) >= threshold and not (cross[a] and chunk[a] == chunk[a + 1])
-                    if same:
-                        fresh = not (keys[a, : table[a]] == keys[a + 1, : table[a]]).any()
-                        n[a], n[a + 1] = n[a] + fresh * copies[a + 1], n[a + 1] + fresh * copies[a]
-                        root[a : b] = ids[a : b].min()
-                elif b - a > 2:
-                    own = np.arange(a, b)[np.argsort(ids[a:b], kind="stable")]
-                    count, group = dense(np.stack([units[k] for k in own]), keys[own], ids[own], copies[own], chunk[own], int(table[a]), bool(cross[a]))
-                    n[own], root[own] = count, ids[own][group]
-            some = (n > 0) | (root != ids)
-            return pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (rows["row"].to_numpy(), ids, n, root)], names=["row", "vec_id", "n", "root"])
-
         for batch in batches:
-            last = batch.column(0)[batch.num_rows - 1].as_py() if batch.num_rows else None
             if not batch.num_rows:
                 continue
             block = batch.column(0).to_numpy()
-            at = int(np.nonzero(block == last)[0][0])  # blocks before the last one are whole
+            at = int(np.searchsorted(block, block[-1]))  # blocks before the last one are whole
             if at:
-                yield flush(pa.Table.from_batches([*held, batch.slice(0, at)]))
+                yield flush(pa.Table.from_batches([*held, batch.slice(0, at)]).combine_chunks())
                 held = []
             held.append(batch.slice(at))
         if held:
-            yield flush(pa.Table.from_batches(held))
+            yield flush(pa.Table.from_batches(held).combine_chunks())
 
     return run
 
 
+def _runs(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Where blocks begin and end."""
+    block, check = rows["block"].to_numpy(), rows["check"].to_numpy()
+    edges = np.nonzero(np.r_[True, (block[1:] != block[:-1]) | (check[1:] != check[:-1]), True])[0]
+    return edges[:-1], edges[1:]
+
+
+def _codes(rows: pa.Table, of: np.ndarray) -> np.ndarray:
+    """The codes of these rows, which are of one dimension."""
+    return np.array(rows["codes"].take(pa.array(of)).to_pylist(), dtype=np.int64).view(np.uint64).reshape(len(of), -1)
+
+
+def _first_met(keys: np.ndarray, table: int, fresh: np.ndarray) -> np.ndarray:
+    for t in range(table):
+        fresh &= keys[:, t][:, None] != keys[:, t][None, :]
+    return fresh
+
+
+def _near(tables):
+    """Of each block, the rows with a partner near enough by its code that they first meet here."""
+
+    def flush(rows: pa.Table) -> pa.RecordBatch:
+        dim, table = rows["dim"].to_numpy(), rows["t"].to_numpy()
+        chunk, cross = rows["chunk"].to_numpy(), rows["cross"].to_numpy(zero_copy_only=False)
+        keep = np.zeros(len(dim), dtype=bool)
+        first, stop = _runs(rows)
+        for d in np.unique(dim).tolist():
+            two = first[(stop - first == 2) & (dim[first] == d)]
+            if len(two):  # pairs, all at once
+                a, b = _codes(rows, two), _codes(rows, two + 1)
+                good = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) <= tables.value.budget(a.shape[1], d)
+                good &= ~(cross[two] & (chunk[two] == chunk[two + 1]))
+                met = tables.value.substrings(a, d) == tables.value.substrings(b, d)
+                good &= ~(met & (np.arange(met.shape[1]) < table[two][:, None])).any(axis=1)
+                keep[two[good]] = keep[two[good] + 1] = True
+        for a, b in zip(first.tolist(), stop.tolist(), strict=True):
+            if b - a > 2:
+                d, codes = int(dim[a]), _codes(rows, np.arange(a, b))
+                apart = np.zeros((b - a, b - a), dtype=np.int64)
+                for c in range(codes.shape[1]):
+                    apart += np.bitwise_count(codes[:, c][:, None] ^ codes[:, c][None, :])
+                near = (apart <= tables.value.budget(codes.shape[1], d)) & ~np.eye(b - a, dtype=bool)
+                if cross[a]:  # within a chunk, pairs meet in the chunk's own block
+                    near &= chunk[a:b][:, None] != chunk[a:b][None, :]
+                keep[a:b] = _first_met(tables.value.substrings(codes, d), int(table[a]), near).any(axis=1)
+        return rows.select(["block", "check", "row", "t", "chunk", "cross"]).filter(pa.array(keep)).combine_chunks().to_batches()[0] if keep.any() else pa.RecordBatch.from_pylist([], schema=rows.select(["block", "check", "row", "t", "chunk", "cross"]).schema)
+
+    return _by_block(flush)
+
+
+def _counted(tables, threshold: float):
+    """For rows sorted by block: links that are first met in the block's table, and the links' groups."""
+
+    def flush(rows: pa.Table) -> pa.RecordBatch:
+        ids, dim, table = rows["vec_id"].to_numpy(), rows["dim"].to_numpy(), rows["t"].to_numpy()
+        copies, chunk, cross = rows["copies"].to_numpy(), rows["chunk"].to_numpy(), rows["cross"].to_numpy(zero_copy_only=False)
+        data = rows["vector"].to_pylist()
+        n, root = np.zeros(len(ids), dtype=np.int64), ids.copy()
+        for a, b in zip(*(x.tolist() for x in _runs(rows)), strict=True):
+            own = np.arange(a, b)[np.argsort(ids[a:b], kind="stable")]
+            x, codes = np.stack([_unpacked(data[k], int(dim[a])) for k in own]), _codes(rows, own)
+            links = (x @ x.T >= threshold) & (ids[own][:, None] != ids[own][None, :])
+            if cross[a]:  # within a chunk, pairs were counted in the chunk's own block
+                links &= chunk[own][:, None] != chunk[own][None, :]
+            n[own] = _first_met(tables.value.substrings(codes, int(dim[a])), int(table[a]), links.copy()) @ copies[own]
+            root[own] = ids[own][_groups(links)]
+        some = (n > 0) | (root != ids)
+        return pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (rows["row"].to_numpy(), ids, n, root)], names=["row", "vec_id", "n", "root"])
+
+    return _by_block(flush)
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of (vec_id, embedding, label).
 
@@ -218,19 +288,24 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
     tables = spark.sparkContext.broadcast(Tables(sample, width, recall, threshold))
     marked = valid.select("vec_id", "embedding", "label", F.xxhash64("label", "embedding").alias("k1"), F.xxhash64(F.lit("copies"), "embedding", "label").alias("k2"))
     copies = marked.dropDuplicates(["vec_id", "k1", "k2"]).groupBy("k1", "k2").agg(F.min("vec_id").alias("vec_id"), F.first("embedding").alias("embedding"), F.first("label").alias("label"), F.count("*").alias("copies"))
-    schema = "vec_id bigint, label string, dim int, unit binary, keys array<bigint>, copies bigint, k1 bigint, k2 bigint"
+    schema = "vec_id bigint, label string, dim int, vector binary, codes array<bigint>, keys array<bigint>, copies bigint, k1 bigint, k2 bigint"
     indexed = materialise(copies.select("vec_id", "embedding", "label", "copies", "k1", "k2").mapInArrow(_indexed(tables), schema).withColumn("row", F.monotonically_increasing_id()))
-    narrow = indexed.select("row", "label", "dim", F.posexplode("keys").alias("t", "key"))
-    entries = narrow.groupBy("t", "label", "dim", "key").agg(F.count("*").alias("n")).where("n > 1")
-    met = narrow.join(entries, ["t", "label", "dim", "key"])
+    narrow = indexed.select("row", "label", "dim", F.posexplode("keys").alias("t", "key")).select("row", F.col("t").cast("short").alias("t"), F.xxhash64("t", "label", "dim", "key").alias("entry"))
+    entries = narrow.groupBy("entry").agg(F.count("*").alias("n")).where("n > 1")
+    met = narrow.join(entries, "entry")
     chunks = F.ceil(F.col("n") / (CHUNK / 2)).cast("int")
     met = met.withColumn("chunks", F.when(F.col("n") <= CHUNK, 1).otherwise(chunks)).withColumn("chunk", F.pmod(F.hash("row"), "chunks"))
     met = met.withColumn("other", F.explode(F.when(F.col("chunks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))))
     low, high = F.least("chunk", "other"), F.greatest("chunk", "other")
-    blocks = met.select("row", "t", "chunk", F.xxhash64("t", "label", "dim", "key", low, high).alias("block"), (low != high).alias("cross"))
-    rows = blocks.join(indexed.select("row", "vec_id", "dim", "unit", "keys", "copies"), "row").select("block", "row", "vec_id", "dim", "t", "chunk", "cross", "unit", "keys", "copies")
-    found = rows.repartition("block").sortWithinPartitions("block").mapInArrow(_counted(threshold), "row bigint, vec_id bigint, n bigint, root bigint")
-    found = materialise(found)
+    blocks = met.select("row", "t", "chunk", F.xxhash64("entry", low, high).alias("block"), (low != high).alias("cross"))
+    check = F.xxhash64(F.lit("check"), "t", "label", "dim", F.element_at("keys", F.col("t") + 1))
+    narrow = indexed.select("row", "label", "dim", "keys", "codes")
+    rows = blocks.join(narrow, "row").select("block", check.alias("check"), "row", "dim", "t", "chunk", "cross", "codes")
+    sort = ("block", "check")
+    near = rows.repartition("block").sortWithinPartitions(*sort).mapInArrow(_near(tables), "block bigint, check bigint, row bigint, t short, chunk int, cross boolean")
+    near = materialise(near)
+    rows = near.join(indexed.select("row", "vec_id", "dim", "vector", "codes", "copies"), "row").select("block", "check", "row", "vec_id", "dim", "t", "chunk", "cross", "vector", "codes", "copies")
+    found = materialise(rows.repartition("block").sortWithinPartitions(*sort).mapInArrow(_counted(tables, threshold), "row bigint, vec_id bigint, n bigint, root bigint"))
     counts = found.groupBy("row").agg(F.sum("n").alias("n"))
     parts = connected_components(found.select(F.col("vec_id").alias("a"), F.col("root").alias("b")))
     first = indexed.select("row", "k1", "k2", F.col("vec_id").alias("node"), "copies").join(counts, "row", "left").join(parts, "node", "left")
