@@ -44,6 +44,77 @@ def test_licences(documents):
     assert licences.scan(documents([])).count() == 0
 
 
+def _slow_licences(text, templates, threshold=0.8):
+    """All units and windows against all templates."""
+    grams = lambda w: set(zip(w, w[1:]))  # noqa: E731, B905
+    words, of, lines = [], [], text.split("\n")
+    for k, line in enumerate(lines):
+        own = licences.normalised(line)
+        words, of = words + own, of + [k] * len(own)
+    found = {}
+
+    def put(a, b, dice, name):
+        if dice >= threshold:
+            found[a, b] = min((-dice, name), found.get((a, b), (-dice, name)))
+
+    known = [(name, licences.normalised(t)) for name, texts in templates.items() for t in texts]
+    for a, b in licences.units(lines):
+        own = grams([w for w, k in zip(words, of, strict=True) if a <= k <= b])
+        for name, w in known:
+            put(a, b, 2 * len(own & grams(w)) / max(1, len(own) + len(grams(w))) if own else 0, name)
+    for name, w in known:
+        run = []
+        for s in range(len(words) - len(w) + 1):
+            own = grams(words[s : s + len(w)])
+            dice = 2 * len(own & grams(w)) / max(1, len(own) + len(grams(w)))
+            if dice >= threshold:
+                if run and s - run[-1][1] > len(w):
+                    d, at = min(run)
+                    put(of[at], of[at + len(w) - 1], -d, name)
+                    run = []
+                run.append((-dice, s))
+        if run:
+            d, at = min(run)
+            put(of[at], of[at + len(w) - 1], -d, name)
+    return [(*k, v[1], -v[0]) for k, v in sorted(found.items())]
+
+
+def test_licences_by_brute_force():
+    templates = {"A": ["one two three four five", "six seven eight nine 10 eleven twelve"], "B": ["one two three four 5", "spdx id b"], "C": ["five five five five six"]}
+    rng, model, n = random.Random(2), licences.Templates(templates, 0.8), 0
+    every = sorted({w for texts in templates.values() for t in texts for w in t.split()})
+    for _ in range(400):
+        out = []
+        for _ in range(rng.randint(0, 5)):
+            own = rng.choice(rng.choice(list(templates.values()))).split()
+            if rng.random() < 0.3:
+                own[rng.randrange(len(own))] = rng.choice([*every, "x"])
+            out += own + [rng.choice([*every, "x", "y", "z"]) for _ in range(rng.randint(0, 5))]
+        text = "".join(w + rng.choice([" ", " ", " ", "\n", "\n\n", ", "]) for w in out)
+        got = model.find(text)
+        assert got == _slow_licences(text, templates), text
+        n += len(got)
+    assert n > 500
+
+
+def test_notices_inside_longer_texts(documents, tmp_path):
+    t = licences.TEMPLATES
+    filler = "some other words of no licence that stand here, "
+    texts = [
+        (filler * 9 + t["MIT"][1] + filler * 9, "MIT"),
+        (filler * 3 + "\n" + t["MIT"][1].replace("to deal", "to\ndeal").replace("merge", "\nmerge") + " " + filler * 5 + "\nand more", "MIT"),
+        ("// SPDX-License-Identifier: Apache-2.0 OR x\n" + filler, "Apache"),
+        (filler + next(x for x in t["Unlicense"] if x.startswith("Anyone")) + filler, "Unlicense"),
+        (filler + next(x for x in t["Apache"] if x.startswith("Unless")) + filler, "Apache"),
+        (filler + "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. " + filler, "GPL"),
+    ]
+    rows = licences.scan(documents([(k, x) for k, (x, _) in enumerate(texts)])).collect()
+    assert all(any(r.doc_id == k and r.licence == want for r in rows) for k, (_, want) in enumerate(texts))
+    assert not licences.scan(documents([(1, filler * 50)])).collect()
+    (tmp_path / "Own_1.txt").write_text("You may do with this what pleases you, on Sundays only.")
+    assert licences.scan(documents([(1, filler + "you may do with this what pleases you on Sundays only " + filler)]), licences.load(str(tmp_path))).first().licence == "Own"
+
+
 @pytest.mark.parametrize("name", ["op5_url", "op8_licences"])
 def test_registered_sql(spark, small, name):
     con = duckdb.connect()

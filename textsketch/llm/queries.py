@@ -112,18 +112,29 @@ def _op8() -> str:
     rows = ", ".join(f"({quoted(name)}, {k}, {quoted(t)})" for name, texts in licences.TEMPLATES.items() for k, t in enumerate(texts))
     grams = lambda t: rf"list_transform(regexp_extract_all(lower({t}), '[\pL\pN_]+'), lambda w: regexp_replace(w, '^[0-9]+$', '#'))"
     pairs = lambda w: f"list_distinct(list_transform(range(1, len({w})), lambda k: {w}[k] || ' ' || {w}[k + 1]))"
-    return rf"""WITH cut AS (SELECT doc_id, str_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
-lines AS (SELECT doc_id, unnest(range(len(l))) AS k, unnest(l) AS line FROM cut),
-runs AS (SELECT *, trim(line, ' ' || chr(9) || chr(13)) = '' AS blank, sum(CASE WHEN trim(line, ' ' || chr(9) || chr(13)) = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM lines),
-units AS (SELECT doc_id, k AS a, k AS b, line AS t FROM lines
- UNION SELECT doc_id, min(k), max(k), string_agg(line, chr(10) ORDER BY k) FROM runs WHERE NOT blank GROUP BY doc_id, run
- UNION SELECT doc_id, 0, len(l) - 1, array_to_string(l, chr(10)) FROM cut),
-worded AS (SELECT doc_id, a, b, {grams("t")} AS w FROM units),
-own AS (SELECT doc_id, a, b, {pairs("w")} AS g FROM worded WHERE len(w) > 1),
-templates AS (SELECT licence, {pairs("w")} AS g FROM (SELECT licence, {grams("t")} AS w FROM (VALUES {rows}) AS v(licence, k, t))),
-scored AS (SELECT doc_id, a, b, licence, 2.0 * len(list_intersect(o.g, x.g)) / (len(o.g) + len(x.g)) AS dice FROM own o JOIN templates x ON 2 * least(len(o.g), len(x.g)) >= 0.8 * (len(o.g) + len(x.g)))
-SELECT doc_id, CAST(a AS INT) AS first_line, CAST(b AS INT) AS last_line, licence, round(dice, 6) AS dice FROM scored WHERE dice >= 0.8
-QUALIFY row_number() OVER (PARTITION BY doc_id, a, b ORDER BY dice DESC, licence) = 1"""
+    need = f"ceil({licences.THRESHOLD} * len(g) / (2 - {licences.THRESHOLD}) - 1e-9)"
+    return rf"""WITH cut AS (SELECT doc_id, row_number() OVER () AS r, str_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+lines AS (SELECT doc_id, r, unnest(range(len(l))) AS k, unnest(l) AS line FROM cut),
+runs AS (SELECT *, trim(line, ' ' || chr(9) || chr(13)) = '' AS blank, sum(CASE WHEN trim(line, ' ' || chr(9) || chr(13)) = '' THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY k) AS run FROM lines),
+units AS (SELECT doc_id, r, k AS a, k AS b, line AS t FROM lines
+ UNION SELECT doc_id, r, min(k), max(k), string_agg(line, chr(10) ORDER BY k) FROM runs WHERE NOT blank GROUP BY doc_id, r, run
+ UNION SELECT doc_id, r, 0, len(l) - 1, array_to_string(l, chr(10)) FROM cut),
+worded AS (SELECT doc_id, r, a, b, {grams("t")} AS w FROM units),
+own AS (SELECT doc_id, r, a, b, {pairs("w")} AS g FROM worded WHERE len(w) > 1),
+templates AS (SELECT licence, k AS id, len(w) AS n, {pairs("w")} AS g FROM (SELECT licence, k, {grams("t")} AS w FROM (VALUES {rows}) AS v(licence, k, t))),
+scored AS (SELECT doc_id, r, a, b, licence, 2.0 * len(list_intersect(o.g, x.g)) / (len(o.g) + len(x.g)) AS dice FROM own o JOIN templates x ON 2 * least(len(o.g), len(x.g)) >= {licences.THRESHOLD} * (len(o.g) + len(x.g))),
+words AS (SELECT doc_id, r, k, unnest({grams("line")}) AS word, unnest(range(len({grams("line")}))) AS i FROM lines),
+sequence AS (SELECT doc_id, r, list(word ORDER BY k, i) AS w, list(k ORDER BY k, i) AS of FROM words GROUP BY doc_id, r),
+listed AS (SELECT *, list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1]) AS p FROM sequence WHERE len(w) > 1),
+near AS (SELECT l.*, x.* FROM listed l JOIN templates x ON len(l.w) >= x.n AND len(list_intersect(l.p, x.g)) >= {need.replace("len(g)", "len(x.g)")}),
+starts AS (SELECT doc_id, r, of, licence, id, n, g, s, list_distinct(p[s + 1:s + n - 1]) AS d FROM (SELECT *, unnest(range(len(w) - n + 1)) AS s FROM near)),
+high AS (SELECT *, 2.0 * len(list_intersect(d, g)) / (len(d) + len(g)) AS dice FROM starts),
+ordered AS (SELECT *, s - lag(s) OVER (PARTITION BY r, licence, id ORDER BY s) > n AS fresh FROM high WHERE dice >= {licences.THRESHOLD}),
+parted AS (SELECT *, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY r, licence, id ORDER BY s) AS part FROM ordered),
+windows AS (SELECT doc_id, r, of[s + 1] AS a, of[s + n] AS b, licence, dice FROM parted QUALIFY row_number() OVER (PARTITION BY r, licence, id, part ORDER BY dice DESC, s) = 1),
+all_of AS (SELECT * FROM scored WHERE dice >= {licences.THRESHOLD} UNION ALL SELECT * FROM windows)
+SELECT doc_id, CAST(a AS INT) AS first_line, CAST(b AS INT) AS last_line, licence, round(dice, 6) AS dice FROM all_of
+QUALIFY row_number() OVER (PARTITION BY r, a, b ORDER BY dice DESC, licence) = 1"""
 
 
 QUERIES |= {"op4_html": op4_html, "op5_url": op5_url, "op8_licences": op8_licences}
