@@ -18,6 +18,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -262,8 +263,8 @@ def _scored(head, states):
     return run
 
 
-def train(training: DataFrame) -> tuple[Head, States, DataFrame, list[float]]:
-    """The head, the states, the counts (token, kind, n) of all tokens, and each pass's log10 likelihood a token, from a table of texts.
+def train(training: DataFrame) -> tuple[Broadcast, States, DataFrame, list[float]]:
+    """The head (as sent to tasks), the states, the counts (token, kind, n) of all tokens, and each pass's log10 likelihood a token, from a table of texts.
 
     The first states are found on a bounded sample; then each pass adds up the expected counts of all texts, until
     the likelihood has grown by less than GAIN a token, or PASSES.
@@ -291,7 +292,7 @@ def train(training: DataFrame) -> tuple[Head, States, DataFrame, list[float]]:
             total[r["key"] if r["key"] >= 0 else model.classes - r["key"] - 1] = r[1:]
         states = States.of(total[model.classes], total[model.classes + 1 : -1], total[: model.classes])
         history.append(float(total[-1, 0] / max(1.0, total[-1, 1])))
-    return model, states, counts, history
+    return head, states, counts, history
 
 
 def score(docs: DataFrame, held_out: F.Column) -> DataFrame:
@@ -306,8 +307,8 @@ def score(docs: DataFrame, held_out: F.Column) -> DataFrame:
     spark = docs.sparkSession
     bounded_batches(spark)
     own = pick(docs, doc_id="bigint", text="string").select("doc_id", held_out.alias("held_out"), "text")
-    model, states, counts, _ = train(own.where("not held_out").select("text"))
-    head, sent = spark.sparkContext.broadcast(model), spark.sparkContext.broadcast(states)
+    head, states, counts, _ = train(own.where("not held_out").select("text"))
+    sent = spark.sparkContext.broadcast(states)
     schema = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, share double, rare array<binary>, times array<int>, forward double"
     scored = materialise(own.select("doc_id", "held_out", "text").mapInArrow(_scored(head, sent), schema))
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("token"), F.col("x.times").alias("times"))
@@ -320,7 +321,7 @@ def score(docs: DataFrame, held_out: F.Column) -> DataFrame:
         "held_out",
         "n_tokens",
         (F.col("n_known") + F.col("known")).cast("bigint").alias("n_known"),
-        F.lit(model.n).cast("bigint").alias("train_tokens"),
+        F.lit(head.value.n).cast("bigint").alias("train_tokens"),
         (F.col("base") + F.col("logs")).alias("base_score"),
         (F.col("forward") + F.col("share") + F.col("logs")).alias("score"),
     )
