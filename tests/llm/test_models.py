@@ -155,7 +155,7 @@ def test_parts_of_a_text_have_its_counts(monkeypatch):
 
 
 def test_passes_raise_the_likelihood(spark, small):
-    texts = spark.read.parquet(f"{small}/documents.parquet").select("text")
+    texts = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", F.lit(False).alias("held_out"), "text")
     *_, history = hmm.train(texts)
     assert 2 <= len(history) <= hmm.PASSES and history == sorted(history)
 

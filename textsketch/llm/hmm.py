@@ -2,7 +2,7 @@
 
 A state emits a class, and a class emits a token. The most frequent tokens are classes of their
 own; all others share the class of their last bytes, within which they have their smoothed share
-of all counts. The likelihood of a text is then the forward recursion over its classes times
+of all counts. Texts are tokenised once to count and once to be written as classes, which all passes read. The likelihood of a text is then the forward recursion over its classes times
 the shares of its tokens, exactly. Counts of all training tokens stay in a distributed table: only
 the head of it, of a bounded size, goes to every task, and the shares of rarer tokens are joined.
 Expected counts of states are summed over all training texts in each pass over the corpus.
@@ -149,29 +149,30 @@ class States:
         lengths, own, stop = (np.array([f(x) for x in parts]) for f in (lambda x: len(x.classes), lambda x: x.own, lambda x: x.stop))
         flat, at = np.concatenate([x.classes for x in parts]), np.concatenate([[0], np.cumsum(lengths)[:-1]])
         steps, active, logs = [], len(parts), 0.0
+        start, emit, move = (x.astype(np.float32) for x in (self.first, self.emits, self.moves))
         for t in range(lengths[0]):
             while lengths[active - 1] <= t:
                 active -= 1
-            seen = self.emits[flat[at[:active] + t]]
-            alpha = seen * self.first if t == 0 else (alpha[:active] @ self.moves) * seen
+            seen = emit[flat[at[:active] + t]]
+            alpha = seen * start if t == 0 else (alpha[:active] @ move) * seen
             scale = alpha.sum(axis=1, keepdims=True)
             alpha /= scale
             mine = ((own[:active] <= t) & (t < stop[:active]))[:, None]
-            logs += np.log10(scale, where=mine, out=np.zeros_like(scale)).sum()
+            logs += np.log10(scale, where=mine, out=np.zeros_like(scale)).sum(dtype=np.float64)
             steps.append((alpha, seen / scale, mine))
         moves = np.zeros((STATES, STATES))
-        gamma = np.empty((len(flat), STATES))
+        gamma = np.empty((len(flat), STATES), dtype=np.float32)
         for t in range(len(steps) - 1, -1, -1):
             alpha, _, mine = steps[t]
             if t + 1 < len(steps):
                 nxt = steps[t + 1][1] * beta
                 moves += alpha[: len(nxt)].T @ (nxt * steps[t + 1][2])
-                beta = np.concatenate([nxt @ self.moves.T, np.ones((len(alpha) - len(nxt), STATES))])
+                beta = np.concatenate([nxt @ move.T, np.ones((len(alpha) - len(nxt), STATES), dtype=np.float32)])
             else:
-                beta = np.ones((len(alpha), STATES))
+                beta = np.ones((len(alpha), STATES), dtype=np.float32)
             gamma[at[: len(alpha)] + t] = alpha * beta * mine
         emits = np.stack([np.bincount(flat, weights=gamma[:, k], minlength=len(self.emits)) for k in range(STATES)], axis=1)
-        return gamma[at[own == 0]].sum(axis=0), moves * self.moves, emits, np.array([logs, (stop - own).sum()])
+        return gamma[at[own == 0]].sum(axis=0, dtype=np.float64), moves * self.moves, emits, np.array([logs, (stop - own).sum()])
 
 
 def segments(classes: np.ndarray) -> list[Part]:
@@ -208,16 +209,50 @@ def _head(counts: DataFrame) -> list[tuple[bytes, int]]:
     return sorted(((bytes(r["token"]), r["n"]) for r in rows), key=lambda r: (-r[1], r[0]))
 
 
-def _expected(head, states):
+_ENCODED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, share double, rare array<binary>, times array<int>"
+
+
+def _encoded(head):
+    """Of each text its classes, the sums over tokens that the head has, and the others, counted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, types = head.value, [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.int16())]
+        names = [*(x.split()[0] for x in _ENCODED.split(", ")), "classes"]
+        for batch in batches:
+            for k in range(0, batch.num_rows, 512):
+                rows = []
+                for doc_id, held_out, text in zip(*(c.to_pylist() for c in batch.slice(k, 512).columns), strict=True):
+                    of = tokens(text)
+                    places, missing = own.places(of)
+                    classes = own.kind[places]
+                    if missing:
+                        classes[missing] = [shared_class(of[k]) for k in missing]
+                    known, rare = places[places >= 0], Counter(of[k] for k in missing)
+                    share = own.share[known].sum() - own.size[classes[missing]].sum()
+                    rows.append((doc_id, held_out, len(of), int(own.counted[known].sum()), float(own.base[known].sum() - len(of) * own.scale), float(share), list(rare), list(rare.values()), classes.astype(np.int16)))
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], type=t) for c, t in enumerate(types)], names=names)
+
+    return run
+
+
+def _lists(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """The column `classes` without a copy."""
+    of = batch.column(batch.schema.get_field_index("classes"))
+    values, ends = of.values.to_numpy(), of.offsets.to_numpy()
+    return [values[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+
+def _expected(states):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, total, held, n = states.value, None, [], 0
-        for (text,) in one_row(batches):
-            for part in segments(head.value.encode(tokens(text))):
-                held.append(part)
-                n += len(part.classes)
-                if n >= BATCH:
-                    got = model.expected(held)
-                    total, held, n = got if total is None else [a + b for a, b in zip(total, got, strict=True)], [], 0
+        for batch in batches:
+            for classes in _lists(batch):
+                for part in segments(classes):
+                    held.append(part)
+                    n += len(part.classes)
+                    if n >= BATCH:
+                        got = model.expected(held)
+                        total, held, n = got if total is None else [a + b for a, b in zip(total, got, strict=True)], [], 0
         if held:
             got = model.expected(held)
             total = got if total is None else [a + b for a, b in zip(total, got, strict=True)]
@@ -230,52 +265,42 @@ def _expected(head, states):
     return run
 
 
-def _scored(head, states):
+def _scored(states):
+    """The rows but for their classes, with a number and the likelihood of the classes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        base = TaskContext.get().partitionId() << 33
-        own, rows, held, n, at = head.value, [], [], 0, 0
-
-        def out() -> pa.RecordBatch:
-            names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "share", "rare", "times"]
-            types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32())]
-            arrays = [pa.array([r[k] for r in rows], type=t) for k, t in enumerate(types)]
-            return pa.RecordBatch.from_arrays([*arrays, pa.array(states.value.loglik(held))], names=[*names, "forward"])
-
-        for doc_id, held_out, text in one_row(batches):
-            of = tokens(text)
-            places, missing = own.places(of)
-            classes = own.kind[places]
-            if missing:
-                classes[missing] = [shared_class(of[k]) for k in missing]
-            held.append(classes)
-            known, rare = places[places >= 0], Counter(of[k] for k in missing)
-            share = own.share[known].sum() - own.size[classes[missing]].sum()
-            rows.append((base + at, doc_id, held_out, len(of), int(own.counted[known].sum()), float(own.base[known].sum() - len(of) * own.scale), float(share), list(rare), list(rare.values())))
-            n, at = n + len(of), at + 1
-            if n >= SCORED:
-                yield out()
-                rows, held, n = [], [], 0
-        if rows:
-            yield out()
+        row = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            held = _lists(batch)
+            ends = np.cumsum([0, *map(len, held)])
+            at = 0
+            while at < len(held):  # as many whole texts as SCORED tokens take
+                stop = max(at + 1, int(np.searchsorted(ends, ends[at] + SCORED, "right")) - 1)
+                forward = states.value.loglik(held[at:stop])
+                own = batch.slice(at, stop - at)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + stop - at)), *own.columns[:-1], pa.array(forward)], names=["row", *own.schema.names[:-1], "forward"])
+                row, at = row + stop - at, stop
 
     return run
 
 
-def train(training: DataFrame) -> tuple[Broadcast, States, DataFrame, list[float]]:
-    """The head (as sent to tasks), the states, the counts (token, kind, n) of all tokens, and each pass's log10 likelihood a token, from a table of texts.
+def train(docs: DataFrame) -> tuple[Broadcast, States, DataFrame, DataFrame, list[float]]:
+    """From texts (doc_id, held_out, text): the head, the states, the counts (token, kind, n) of all training tokens, all texts as classes, and each pass's log10 likelihood a token.
 
-    The first states are found on a bounded sample; then each pass adds up the expected counts of all texts, until
+    The first states are found on a bounded sample; then each pass adds up the expected counts of all training texts, until
     the likelihood has grown by less than GAIN a token, or PASSES.
     """
-    spark = training.sparkSession
+    spark = docs.sparkSession
+    training = docs.where("not held_out").select("text")
     counts = training.mapInArrow(_counts, "token binary, kind int, n bigint").groupBy("token").agg(F.first("kind").alias("kind"), F.sum("n").alias("n"))
     counts = materialise(counts)
     classes = {r["kind"]: (r["n"], r["v"]) for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}  # bounded: SHARED
     n, v = sum(a for a, _ in classes.values()), sum(b for _, b in classes.values())
     model = Head(_head(counts), n, v, classes)
     head = spark.sparkContext.broadcast(model)
+    encoded = materialise(docs.select("doc_id", "held_out", "text").mapInArrow(_encoded(head), f"{_ENCODED}, classes array<smallint>"))
     states = States.begin(model.classes, np.random.default_rng(1))
     some = training.where("text is not null").select(stretch("text", LONGEST, "states").alias("text"))
     picked = sampled(some, None, SAMPLE, "states", ["text"]).collect()  # bounded: SAMPLE and LONGEST
@@ -286,13 +311,14 @@ def train(training: DataFrame) -> tuple[Broadcast, States, DataFrame, list[float
     history: list[float] = []
     while len(history) < PASSES and (len(history) < 2 or history[-1] - history[-2] >= GAIN):
         sent = spark.sparkContext.broadcast(states)
-        got = training.mapInArrow(_expected(head, sent), "key int, " + ", ".join(f"s{k} double" for k in range(STATES))).groupBy("key").agg(*sums).collect()  # bounded: classes
+        own = encoded.where("not held_out").select("classes")
+        got = own.mapInArrow(_expected(sent), "key int, " + ", ".join(f"s{k} double" for k in range(STATES))).groupBy("key").agg(*sums).collect()  # bounded: classes
         total = np.zeros((model.classes + 2 + STATES, STATES))
         for r in got:
             total[r["key"] if r["key"] >= 0 else model.classes - r["key"] - 1] = r[1:]
         states = States.of(total[model.classes], total[model.classes + 1 : -1], total[: model.classes])
         history.append(float(total[-1, 0] / max(1.0, total[-1, 1])))
-    return head, states, counts, history
+    return head, states, counts, encoded, history
 
 
 def score(docs: DataFrame, held_out: F.Column) -> DataFrame:
@@ -306,11 +332,9 @@ def score(docs: DataFrame, held_out: F.Column) -> DataFrame:
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    own = pick(docs, doc_id="bigint", text="string").select("doc_id", held_out.alias("held_out"), "text")
-    head, states, counts, _ = train(own.where("not held_out").select("text"))
+    head, states, counts, encoded, _ = train(pick(docs, doc_id="bigint", text="string").select("doc_id", held_out.alias("held_out"), "text"))
     sent = spark.sparkContext.broadcast(states)
-    schema = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, share double, rare array<binary>, times array<int>, forward double"
-    scored = materialise(own.select("doc_id", "held_out", "text").mapInArrow(_scored(head, sent), schema))
+    scored = materialise(encoded.mapInArrow(_scored(sent), f"row bigint, {_ENCODED}, forward double"))
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("token"), F.col("x.times").alias("times"))
     joined = rare.join(counts.select("token", "n"), "token", "left")
     log = F.log10(F.coalesce("n", F.lit(0)) + HALF)
