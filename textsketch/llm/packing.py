@@ -33,15 +33,10 @@ CAPACITY, SHARD, ISLANDS, EPOCHS, GENERATIONS, POPULATION, ROOM = 2048, 4096, 3,
 SPREAD, TASKS = 2, 20_000
 #: A shard's number holds whether it is of the second round, its task and its place in the task; a sequence's also the bin: all are different.
 _TASK, _PLACE, _BIN = 21, 28, 12
-_UNITS = 300_000
 
 
-class _Wide(Exception):
-    """A unit is white space only: it may belong to one pre-token with its neighbours."""
-
-
-class _Units(dict):
-    """Token ids of a unit, as little-endian bytes; forgets all when it has grown to _UNITS."""
+class _Encoder:
+    """encode(text), the ids of plain text, and the names and ids of added tokens."""
 
     def __init__(self, vocabulary: str):
         import public_tokenizers
@@ -58,40 +53,18 @@ class _Units(dict):
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split if self.added else None
         self.encode = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
-    def __missing__(self, unit: str) -> bytes:
-        if unit.isspace():
-            raise _Wide
-        ids = array("I", self.encode(unit)).tobytes()
-        if len(unit) <= 64:
-            if len(self) >= _UNITS:
-                self.clear()
-            self[unit] = ids
-        return ids
-
 
 @functools.lru_cache(maxsize=2)
-def _units(vocabulary: str) -> _Units:
-    return _Units(vocabulary)
+def _encoder(vocabulary: str) -> _Encoder:
+    return _Encoder(vocabulary)
 
 
 def token_bytes(text: str, vocabulary: str = "byte_bpe_50k.tiktoken") -> bytes:
-    """The ids of a text as little-endian unsigned 32-bit numbers; the name of an added token is that token.
-
-    No pre-token spans from a non-space to a space, so that words with the space before them are
-    tokenised alone (and remembered), unless white space meets white space.
-    """
-    units = _units(vocabulary)
-    if any(name in text for name in units.added):
-        return b"".join(units.added[x] if x in units.added else _plain(x, units) for x in units.split(text) if x)
-    return _plain(text, units)
-
-
-def _plain(text: str, units: _Units) -> bytes:
-    each = text.replace(" ", "\0 ").split("\0") if "\0" not in text else [x if not k else " " + x for k, x in enumerate(text.split(" "))]
-    try:
-        return b"".join(map(units.__getitem__, each))
-    except _Wide:
-        return np.array(units.encode(text), dtype="<u4").tobytes()
+    """The ids of a text as little-endian unsigned 32-bit numbers; the name of an added token is that token."""
+    own = _encoder(vocabulary)
+    if any(name in text for name in own.added):
+        return b"".join(own.added.get(x) or array("I", own.encode(x)).tobytes() for x in own.split(text) if x)
+    return array("I", own.encode(text)).tobytes()
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
