@@ -35,7 +35,7 @@ def compare(df, con, sql):
 
 
 #: The larger half of the registry is compared by the driver; these take seconds.
-QUICK = ["simple_fold", "index_fold", "offsets_lines", "offsets_probe", "merge_maps", "sort_by_hash", "sparse_grams", "substring_search", "bpe_chunks", "distinct_words_by_lang", "diff_symmetric_difference", "nearest_suppliers", "masked_order", "sketch_bytes", "bounded_load", "hash_ring", "users_by_day"]
+QUICK = ["simple_fold", "index_fold", "offsets_lines", "offsets_probe", "merge_maps", "sort_by_hash", "sparse_grams", "substring_search", "bpe_chunks", "distinct_words_by_lang", "diff_symmetric_difference", "nearest_suppliers", "masked_order", "sketch_bytes", "bounded_load", "hash_ring", "users_by_day", "offsets_ranges", "offsets_sql", "distinct_union", "distinct_orders_finely", "diff_orders_finely", "bpe_ids", "bpe_count", "bpe_count_till_limit", "ones_metric", "sketch_memory", "bounded_distances", "place_orders", "choose_goldens", "order_places", "reservoir_sample", "placement_churn", "placement_balance", "users_by_day_stream"]
 
 
 @pytest.mark.parametrize("name", QUICK)
@@ -53,7 +53,7 @@ def test_entry(spark):
 def test_stream_equals_batch(spark):
     batch = {(r.window_start, r.event_type): r.estimate for r in catalog.users_by_day(spark, SF).collect()}
     stream = catalog.users_by_day_stream(spark, SF).collect()
-    assert stream and all(batch[r.window_start, r.event_type] == r.estimate for r in stream)
+    assert {(r.window_start, r.event_type): r.estimate for r in stream} == batch
 
 
 def test_offsets_of_emoji(spark):
@@ -137,3 +137,64 @@ def test_merged_maps_hold_words_of_all_languages(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.key: r.value for r in catalog.merge_maps(spark, str(tmp_path)).collect()}
     assert got == {"a": 3, "b": 1, "c": 1, "d": 1}
+
+
+@pytest.mark.parametrize("partitions", ["16", "4"])
+def test_places_of_whole_rows(spark, partitions):
+    """With all columns and many partitions: 0 to n-1, in order; through the public sample too."""
+    orders = spark.read.parquet("/root/testdata/sf0.1/orders.parquet")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        rows = placement._with_places(orders, ["o_orderkey"]).select("__place", "o_orderkey").toPandas().sort_values("o_orderkey")
+        assert rows["__place"].tolist() == list(range(150_000))
+        got = placement.sample(orders, ["o_orderkey"], 2000, 12345)
+        assert got.columns == [*orders.columns, "rank"]
+        keys = {r.o_orderkey for r in got.collect()}
+        assert len(keys) == 2000 and keys == {r.o_orderkey for r in placement.sample(orders.select("o_orderkey"), ["o_orderkey"], 2000, 12345).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_places_of_one_value(spark):
+    """A value that all rows share is spread, and every row has a place of its own."""
+    same = spark.range(5000).selectExpr("1 AS k", "id")
+    assert sorted(r["__place"] for r in placement._with_places(same, ["k"]).collect()) == list(range(5000))
+
+
+def test_search_for_short_queries(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "Abc É"), (2, "xyz"), (3, ""), (4, None)], "d int, text string")
+    queries = spark.createDataFrame([(1, "a"), (2, "é"), (3, ""), (4, None), (5, "BC"), (6, "q")], "q int, text string")
+    want = {(1, 1), (2, 1), (3, 1), (3, 2), (3, 3), (5, 1)}
+    assert {(r.q, r.d) for r in ngrams.search(docs, queries, "d", "q").collect()} == want
+    monkeypatch.setattr(ngrams, "GRAMS", 0)
+    assert {(r.q, r.d) for r in ngrams.search(docs, queries, "d", "q").collect()} == want
+
+
+def test_blocks_of_sketches_find_the_same(spark, monkeypatch):
+    rows = [(k, (k * 7 + j * j) % 50) for k in range(30) for j in range(1 + k % 9)]
+    sketch = spark.createDataFrame(rows, "key bigint, bucket int").distinct()
+    by = {}
+    for k, b in set(rows):
+        by.setdefault(k, set()).add(b)
+    want = {(a, b): len(x ^ y) for a, x in by.items() for b, y in by.items() if x & y}
+    monkeypatch.setattr(geo, "COMPARED", 7)
+    assert {(r.a, r.b): r.distance for r in geo.distances(sketch, sketch).collect()} == want
+    bound = {p: d if d < 5 else None for p, d in want.items() if abs(len(by[p[0]]) - len(by[p[1]])) < 5}
+    assert {(r.a, r.b): r.distance for r in geo.distances(sketch, sketch, 5).collect()} == bound
+    got = geo.nearest(sketch, sketch, 2, 4, geo.DIFF7).collect()
+    short = {a: {b for _, b in sorted((d, b) for (x, b), d in want.items() if x == a and b != a)[:4]} for a in by}
+    assert all(r.b in short[r.a] for r in got) and {(r.a, r["rank"]) for r in got} == {(a, k + 1) for a in by for k in range(min(2, len(short[a])))}
+
+
+def test_comparators_of_samples(spark):
+    for way in (placement.algorithm_r, placement.algorithm_l):
+        assert all(len(set(way(5, n, s))) == min(5, n) and max(way(5, n, s)) < n for n in (1, 5, 6, 100) for s in range(20))
+        counts = [0] * 20
+        for s in range(4000):
+            for x in way(4, 20, s):
+                counts[x] += 1
+        assert sum((c - 800) ** 2 / 800 for c in counts) < 60
+    keys = spark.range(3000).withColumnRenamed("id", "key")
+    rows = {r.test: r for r in placement.balance(placement.choose(keys, "key", 10, 3), 10).collect()}
+    assert rows["pair"].cells == 45 and rows["pair"].chi2 < 100 and rows["bit 0"].chi2 < 20 and {"node 0", "node 2", "bit 2"} <= set(rows)

@@ -18,6 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of a text whose parts are searched rather than kept in a heap; pieces that a tokenizer remembers.
+_SHORT, _PIECES = 32, 1 << 18
+
+
 def read_tiktoken(data: str) -> list[bytes]:
     """Tokens in order of lines `base64 rank`; empty lines are skipped."""
     return [base64.b64decode(line.split(" ")[0]) for line in data.splitlines() if line]
@@ -32,13 +36,15 @@ class Vocabulary:
         if len(self.ids) != len(self.tokens):
             raise ValueError("a token occurs twice")
         self.longest = max(map(len, self.tokens), default=0)
-        self.splits: list[tuple[int, int]] = []
-        self.pairs: dict[tuple[int, int], int] = {}
-        for i, t in enumerate(self.tokens):
-            halves = self._halves(t, i)
-            self.splits.append(halves)
-            if halves != (i, i):
-                self.pairs[halves] = i
+
+    @functools.cached_property
+    def splits(self) -> list[tuple[int, int]]:
+        """The two tokens that merge last into each; a token that can't be split is its own."""
+        return [self._halves(t, i) for i, t in enumerate(self.tokens)]
+
+    @functools.cached_property
+    def pairs(self) -> dict[tuple[int, int], int]:
+        return {halves: i for i, halves in enumerate(self.splits) if halves != (i, i)}
 
     def _halves(self, token: bytes, rank: int) -> tuple[int, int]:
         parts = _merged(token, self.ids, rank)
@@ -186,6 +192,8 @@ def _merged(text: bytes, ids: dict[bytes, int], below: int) -> list[bytes]:
     n = len(text)
     if n < 2:
         return [text] if text else []
+    if n <= _SHORT:
+        return _merged_short(text, ids, below)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     heap = [(r, i, i + 2) for i in range(n - 1) if (r := ids.get(text[i : i + 2], below)) < below]
     heapq.heapify(heap)
@@ -210,6 +218,21 @@ def _merged(text: bytes, ids: dict[bytes, int], below: int) -> list[bytes]:
     return out
 
 
+def _merged_short(text: bytes, ids: dict[bytes, int], below: int) -> list[bytes]:
+    """The same without a heap: few parts are searched faster than kept in order."""
+    parts = [text[k : k + 1] for k in range(len(text))]
+    ranks = [ids.get(text[k : k + 2], below) for k in range(len(text) - 1)]
+    while ranks and (least := min(ranks)) < below:
+        k = ranks.index(least)
+        parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        del ranks[k]
+        if k:
+            ranks[k - 1] = ids.get(parts[k - 1] + parts[k], below)
+        if k < len(ranks):
+            ranks[k] = ids.get(parts[k] + parts[k + 1], below)
+    return parts
+
+
 class Appendable:
     """Encodes a growing text: the last token, and the number of tokens, of each prefix."""
 
@@ -332,7 +355,7 @@ class Tokenizer:
 
         self.v, self.nfc = vocabulary, nfc
         self.pattern = regex.compile(pattern) if pattern else None
-        self._piece = functools.lru_cache(maxsize=1 << 16)(lambda piece: tuple(self.v.encode(piece.encode())))
+        self._piece = functools.lru_cache(maxsize=_PIECES)(lambda piece: tuple(self.v.encode(piece.encode())))
 
     def __reduce__(self):
         return Tokenizer, (self.v, self.pattern.pattern if self.pattern else None, self.nfc)
@@ -346,9 +369,8 @@ class Tokenizer:
             yield text
             return
         at = 0
-        while at < len(text):
-            m = self.pattern.match(text, at)
-            if not m or m.end() == at:
+        for m in self.pattern.finditer(text):
+            if m.start() != at or m.end() == at:
                 return
             yield m[0]
             at = m.end()
@@ -485,17 +507,34 @@ def decode(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return ordered.select("key", F.try_validate_utf8(joined.cast("string")).alias("text"))
 
 
-def create_test_string(vocabulary: Vocabulary, least: int, seed: int) -> str:
-    """Random tokens that are UTF-8 together, of at least so many bytes."""
-    rng, out = random.Random(seed), b""
-    while len(out) < least:
+def create_test_string(vocabulary: Vocabulary, least: int, seed: int, allowed: Callable[[str], bool] = lambda _: True) -> str:
+    """Random tokens that are UTF-8 together, of at least so many bytes, each text so far being allowed."""
+    rng, out, tries = random.Random(seed), "", 0
+    while len(out.encode()) < least:
         token = rng.choice(vocabulary.tokens)
+        tries += 1
+        if tries > 1000 + 100 * least:
+            raise ValueError("too few tokens are allowed")
         try:
-            token.decode()
+            text = out + token.decode()
         except UnicodeDecodeError:
             continue
-        out += token
-    return out.decode()
+        if allowed(text):
+            out = text
+    return out
+
+
+def select_test_bytes(data: bytes, least: int, seed: int) -> bytes:
+    """A stretch of so many bytes of a text, moved on to whole characters; all of a shorter one."""
+    if len(data) <= least:
+        return data
+    start = random.Random(seed).randrange(len(data) - least + 1)
+    stop = start + least
+    while start and data[start] & 0xC0 == 0x80:
+        start -= 1
+    while stop < len(data) and data[stop] & 0xC0 == 0x80:
+        stop += 1
+    return data[start:stop]
 
 
 def create_test_bytes(vocabulary: Vocabulary, least: int, seed: int) -> bytes:

@@ -9,10 +9,12 @@ bytes are an edge format.
 from __future__ import annotations
 
 import functools
+import math
 import struct
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ from ..functions.hashing import M64, fnv1a, md5_bits
 from ..functions.literals import int_array
 
 SIM_BITS, SIM_RING = 6, 20
+#: Sketches of a block when all are compared with all.
+COMPARED = 1024
 
 
 @dataclass(frozen=True)
@@ -280,26 +284,76 @@ def ones_add(config: Config, a: int | None, b: int | None) -> int | None:
     return None if a is None or b is None or a + b >= top else a + b
 
 
+def _lists(sketch: DataFrame, key: str, name: str, blocks: int) -> DataFrame:
+    of = sketch.groupBy(F.col("key").alias(key)).agg(F.collect_list("bucket").alias("buckets"))
+    return of.withColumn(name, F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
+
+
+def _compared(best: int | None, bound: int | None):
+    """Of a block of sketches (a, buckets) and another (b, buckets): distances of pairs that share a bucket, or each a's `best` nearest."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        kinds = left.schema.field("a").type, right.schema.field("b").type
+        a, b = left["a"].to_pylist(), right["b"].to_pylist()
+        order = sorted(range(len(b)), key=lambda k: b[k])
+        lists = [left["buckets"].to_pylist(), [right["buckets"][k].as_py() for k in order]]
+        names, where = np.unique(np.concatenate([np.array(x, dtype=np.int64) for of in lists for x in of] or [np.zeros(0, np.int64)]), return_inverse=True)
+        ones, at, dense = [], 0, []
+        for of in lists:
+            n = np.array([len(x) for x in of], dtype=np.int64)
+            m = np.zeros((len(of), len(names)), dtype=np.float32)
+            m[np.repeat(np.arange(len(of)), n), where[at : at + n.sum()]] = 1
+            at += n.sum()
+            ones.append(n)
+            dense.append(m)
+        shared = (dense[0] @ dense[1].T).astype(np.int64)  # exact: fewer than 2^24 buckets
+        apart = ones[0][:, None] + ones[1][None, :] - 2 * shared
+        out: list[tuple] = []
+        for i, x in enumerate(a):
+            good = shared[i] > 0
+            if bound is not None:
+                good &= np.abs(ones[0][i] - ones[1]) < bound
+            js = np.nonzero(good)[0]
+            if best is not None:
+                js = [j for j in js[np.argsort(apart[i, js], kind="stable")][: best + 1].tolist() if b[order[j]] != x][:best]
+            out += [(x, b[order[j]], int(apart[i, j])) for j in js]
+        return pa.table([pa.array([r[c] for r in out], t) for c, t in enumerate((*kinds, pa.int32()))], names=["a", "b", "distance"])
+
+    return run
+
+
+def _by_blocks(a: DataFrame, b: DataFrame, best: int | None, bound: int | None) -> DataFrame:
+    """Each block of a meets each block of b in a task of its own; what is returned is for the caller to bound."""
+    sizes = [max(1, -(-x.select("key").distinct().count() // COMPARED)) for x in (a, b)]
+    left, right = _lists(a, "a", "qa", sizes[0]), _lists(b, "b", "qb", sizes[1])
+    left = left.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(sizes[1] - 1))))
+    right = right.withColumn("qa", F.explode(F.sequence(F.lit(0), F.lit(sizes[0] - 1))))
+    schema = f"a {dict(a.dtypes)['key']}, b {dict(b.dtypes)['key']}, distance int"
+    return left.groupBy("qa", "qb").cogroup(right.groupBy("qa", "qb")).applyInArrow(_compared(best, bound), schema)
+
+
 def distances(a: DataFrame, b: DataFrame, bound: int | None = None) -> DataFrame:
     """(a, b, distance) of the sketches of two relations (key, bucket): differing buckets; null from the bound on.
 
-    Pairs that share a bucket meet on it. With a bound, pairs whose numbers of ones alone are too far
-    apart are left out of the join; pairs without a shared bucket are not returned.
+    Blocks of sketches are compared by a product of their bits. With a bound, pairs whose numbers of ones alone are too far
+    apart are left out; pairs without a shared bucket are not returned. The result has all other pairs: `nearest` doesn't.
     """
-    na, nb = a.groupBy("key").agg(F.count("*").alias("na")), b.groupBy("key").agg(F.count("*").alias("nb"))
-    left = a.join(na, "key").select(F.col("key").alias("a"), "bucket", "na")
-    right = b.join(nb, "key").select(F.col("key").alias("b"), "bucket", "nb")
-    met = left.join(right, "bucket")
-    if bound is not None:
-        met = met.where(F.abs(F.col("na") - F.col("nb")) < bound)
-    d = (F.first("na") + F.first("nb") - 2 * F.count("*")).cast("int")
-    out = met.groupBy("a", "b").agg(d.alias("distance"))
+    out = _by_blocks(a, b, None, bound)
     return out if bound is None else out.withColumn("distance", F.when(F.col("distance") < bound, F.col("distance")))
 
 
-def nearest(queries: DataFrame, sketches: DataFrame, k: int, shortlist: int, config: Config) -> DataFrame:
-    """(a, b, estimate, rank): for each query the k sketches of least estimated difference among the nearest by ones."""
-    near = distances(queries, sketches).where("a <> b")
+def nearest(queries: DataFrame, sketches: DataFrame, k: int, shortlist: int, config: Config, expected: int | None = None) -> DataFrame:
+    """(a, b, estimate, rank): for each query the k sketches of least estimated difference among the nearest by ones.
+
+    Every query is compared with all sketches, in blocks that return `shortlist` rows a query each. With `expected`, the number of items that
+    neighbours differ by, only those that the similarity keys bring together are compared, which may miss some.
+    """
+    if expected is None:
+        near = _by_blocks(queries, sketches, shortlist, None)
+    else:
+        met = sim_lookup(queries, sketches, config, expected).select("a", "b")
+        both = met.join(queries.select(F.col("key").alias("a"), "bucket"), "a").unionByName(met.join(sketches.select(F.col("key").alias("b"), "bucket"), "b"))
+        near = met.join(parity(both, ["a", "b"]).groupBy("a", "b").agg(F.count("*").alias("distance")), ["a", "b"], "left").na.fill(0, ["distance"])
     short = near.withColumn("__r", F.row_number().over(Window.partitionBy("a").orderBy("distance", "b"))).where(F.col("__r") <= shortlist).select("a", "b")
     both = short.join(queries.withColumnRenamed("key", "a"), "a").select("a", "b", "bucket")
     both = both.unionByName(short.join(sketches.withColumnRenamed("key", "b"), "b").select("a", "b", "bucket"))
@@ -338,6 +392,13 @@ def pack(buckets: list[int], config: Config) -> bytes:
     return out + bytes([63 - (n - 1) % 64]) + dense.to_bytes(8 * blocks, "little")
 
 
+def bytes_in_memory(buckets: list[int], config: Config) -> int:
+    """What a sketch holds: its single buckets, and of those below them a bit each in blocks of 64."""
+    own = sorted(set(buckets), reverse=True)
+    head = own[: config.msb]
+    return len(head) * config.width + (8 * -(-head[-1] // 64) if len(head) == config.msb else 0)
+
+
 def unpack(data: bytes, config: Config) -> list[int]:
     n = min(len(data) // config.width, config.msb)
     head = [int.from_bytes(data[k * config.width : (k + 1) * config.width], "little") for k in range(n)]
@@ -386,8 +447,6 @@ def sim_search(buckets: list[int], expected: int, config: Config) -> tuple[list[
 
 def _sim(kind: str, expected: int, config: Config):
     def run(batches):
-        import pyarrow as pa
-
         from ..functions.hashing import signed
 
         for batch in batches:
@@ -427,13 +486,30 @@ def unpacked(table: DataFrame, keys: list[str], config: Config) -> DataFrame:
     return table.select(*keys, F.explode(lists("sketch")).alias("bucket"))
 
 
-def relative_errors(spark: SparkSession, config: Config, sizes: list[int], samples: int) -> DataFrame:
-    """(size, mean, variance, median, least, most) of the relative error over random sets, made in tasks."""
+def hyperloglog(df: DataFrame, keys: list[str], item: Column, p: int) -> DataFrame:
+    """(keys, estimate) by the HyperLogLog of 2^p registers that the engine has, for comparison: expected error 1.04 / 2^(p/2)."""
+    return df.where(item.isNotNull()).groupBy(*keys).agg(F.hll_sketch_estimate(F.hll_sketch_agg(item.cast("string"), p)).cast("double").alias("estimate"))
+
+
+def set_sizes(most: int, per_decade: int = 10) -> list[int]:
+    """A grid of sizes at equal steps of the logarithm, from 1 to `most`."""
+    steps = math.ceil(math.log10(most) * per_decade)
+    return sorted({min(most, round(10 ** (k / per_decade))) for k in range(steps + 1)})
+
+
+def relative_errors(spark: SparkSession, config: Config | int, sizes: list[int], samples: int) -> DataFrame:
+    """(size, mean, variance, median, least, most) of the relative error over random sets, made in tasks.
+
+    A number instead of a configuration is the precision of a HyperLogLog to compare with.
+    """
     runs = spark.range(samples).select(F.col("id").alias("sample")).join(spark.createDataFrame([(n,) for n in sizes], "size int"))
     items = runs.select("sample", "size", F.explode(F.sequence(F.lit(1), F.col("size"))).alias("i"))
     named = F.concat_ws("/", F.col("sample").cast("string"), F.col("size").cast("string"), F.col("i").cast("string"))
-    make = diff_sketch if config.kind == "diff" else distinct_sketch
-    found = estimate(make(items, ["sample", "size"], named, config), ["sample", "size"], config)
+    if isinstance(config, int):
+        found = hyperloglog(items, ["sample", "size"], named, config)
+    else:
+        make = diff_sketch if config.kind == "diff" else distinct_sketch
+        found = estimate(make(items, ["sample", "size"], named, config), ["sample", "size"], config)
     error = found.select("size", ((F.col("estimate") - F.col("size")) / F.col("size")).alias("e"))
     # the median is the upper one of two in the middle
     middle = F.get(F.sort_array(F.collect_list("e")), F.floor(F.count("*") / 2).cast("int"))

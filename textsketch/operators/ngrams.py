@@ -125,8 +125,9 @@ def collect_sparse_grams(content: bytes) -> list[int]:
     return sparse_grams(content)[0].tolist()
 
 
-def extract(df: DataFrame, key: str, text: str, fold: bool = True, distinct: bool = False) -> DataFrame:
-    """(key, gram, end) of each text, index-folded to one byte for each character; distinct: (key, gram)."""
+def extract(df: DataFrame, key: str, text: str, fold: bool = True, distinct: bool = False, wanted: list[int] | None = None) -> DataFrame:
+    """(key, gram, end) of each text, index-folded to one byte for each character; distinct: (key, gram). With `wanted`, only those grams."""
+    held = None if wanted is None else df.sparkSession.sparkContext.broadcast(np.array(sorted(wanted), dtype=np.int32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,6 +135,9 @@ def extract(df: DataFrame, key: str, text: str, fold: bool = True, distinct: boo
             for k, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if t is not None:
                     g, e = sparse_grams(index_fold_bytes(t) if fold else t.encode())
+                    if held is not None:
+                        some = np.isin(g, held.value)
+                        g, e = g[some], e[some]
                     if distinct:
                         g = np.unique(g)
                     keys.append(np.full(len(g), k))
@@ -282,21 +286,35 @@ def covers(queries: DataFrame, key: str, text: str) -> DataFrame:
 
 # search
 
+#: Grams of all queries that are sent to every task.
+GRAMS = 1 << 18
+
 
 def search(docs: DataFrame, queries: DataFrame, doc: str, query: str, text: str = "text", wanted: str = "text") -> DataFrame:
     """(query, doc): documents that contain a query, case-folded: cover grams meet postings, then texts are verified.
 
-    Queries of fewer than two bytes have no grams and find nothing; a cover is a stated set, which is joined to all postings.
+    While the covers have at most GRAMS different grams, these go to the tasks that extract, so that no other posting leaves them; beyond,
+    postings are joined. Queries of fewer than two bytes have no grams: they are looked for in each text, all at once.
     """
     asked = covers(queries, query, wanted).select(F.col("key").alias("__q"), "gram").distinct()
     needed = asked.groupBy("__q").agg(F.count("*").alias("__n"))
     grams = asked.select("gram").distinct()
-    held = extract(docs, doc, text, distinct=True).withColumnRenamed("key", "__d").join(grams, "gram", "left_semi")
+    few = [r["gram"] for r in grams.limit(GRAMS + 1).collect()]  # bounded: GRAMS
+    held = extract(docs, doc, text, distinct=True, wanted=few if len(few) <= GRAMS else None).withColumnRenamed("key", "__d")
+    if len(few) > GRAMS:
+        held = held.join(grams, "gram", "left_semi")
     met = held.join(asked, "gram").groupBy("__q", "__d").agg(F.count("*").alias("__m"))
     able = met.join(needed, "__q").where("__m = __n").select("__q", "__d")
     full = able.join(docs.select(F.col(doc).alias("__d"), F.col(text).alias("__t")), "__d")
     full = full.join(queries.select(F.col(query).alias("__q"), F.col(wanted).alias("__w")), "__q")
-    return full.where(F.contains(simple_fold(F.col("__t")), simple_fold(F.col("__w")))).select(F.col("__q").alias(query), F.col("__d").alias(doc))
+    found = full.where(F.contains(simple_fold(F.col("__t")), simple_fold(F.col("__w")))).select("__q", "__d")
+    folded = simple_fold(F.col(wanted))
+    short = queries.where(F.col(wanted).isNotNull()).where(F.char_length(folded) < 2).select(F.col(query).alias("__q"), folded.alias("__c"))
+    if not short.isEmpty():
+        texts = docs.where(F.col(text).isNotNull())
+        chars = texts.select(F.col(doc).alias("__d"), F.explode(F.array_distinct(F.concat(F.split(simple_fold(F.col(text)), ""), F.array(F.lit(""))))).alias("__c"))
+        found = found.union(chars.join(short, "__c").select("__q", "__d"))
+    return found.distinct().select(F.col("__q").alias(query), F.col("__d").alias(doc))
 
 
 def bigram_priority(a: Column, b: Column) -> Column:

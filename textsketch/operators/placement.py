@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import random
 from collections.abc import Callable, Iterable, Iterator
 from itertools import islice
 
@@ -10,8 +12,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import GOLDEN, M64, SipHash13, splitmix64
+from ..functions.shared import materialise
 
 _NEXT = 54387634019
+_BATCH = 1 << 16
 
 
 class Source:
@@ -361,27 +365,35 @@ def sample(df: DataFrame, order: list[str], k: int, key: int) -> DataFrame:
     first = list(islice(permutation(n, key), k))
     spark = df.sparkSession
     ranks = spark.createDataFrame([(int(v), r) for r, v in enumerate(first)], "__place bigint, rank int")
-    return _with_places(df, order).join(F.broadcast(ranks), "__place").drop("__place")
+    return _with_places(df, order).join(ranks, "__place").drop("__place")
 
 
 def _with_places(df: DataFrame, order: list[str]) -> DataFrame:
-    """Places from 0 in a total order, without sorting all rows in one task: counts of range partitions, then ranks within."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a stated number isn't coalesced differently in two branches
-    ranged = df.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id())
-    within = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
-    counts = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = counts.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    return ranged.withColumn("__in", within).join(F.broadcast(before), "__part").withColumn("__place", (F.col("__before") + F.col("__in")).cast("bigint")).drop("__part", "__in", "__before")
+    """Places from 0 in a total order, without sorting all rows in one task: ranks within range partitions, and counts of those before.
+
+    The ranges are cut once, and rows and counts are read from the same written partitions. Rows that are equal in
+    `order` are placed by a hash of all columns, so that a value of many rows is spread over partitions too.
+    """
+    order = [F.col(c) for c in order] + [F.xxhash64(*df.columns)]
+    ranged = materialise(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", 33)
+    counts = ranged.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("__part", before.alias("__before"))  # a row for each partition
+    return ranged.withColumn("__part", part).join(F.broadcast(counts), "__part").withColumn("__place", F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).drop("__part", "__at", "__before")
 
 
 def permuted(df: DataFrame, n: int, key: int) -> DataFrame:
-    """(rank, value) of a keyed permutation of 0 .. n-1: one kernel, as its state is sequential."""
+    """(rank, value) of a keyed permutation of 0 .. n-1: one kernel, as its state is sequential, which gives batch after batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for of, seed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                values = list(permutation(of, seed & M64))
-                yield pa.RecordBatch.from_pydict({"seed": pa.array([seed] * of, pa.int64()), "n": pa.array([of] * of, pa.int32()), "rank": pa.array(range(of), pa.int32()), "value": pa.array(values, pa.int32())})
+                values, rank = permutation(of, seed & M64), 0
+                while own := list(islice(values, _BATCH)):
+                    n = len(own)
+                    yield pa.RecordBatch.from_pydict({"seed": pa.array([seed] * n, pa.int64()), "n": pa.array([of] * n, pa.int32()), "rank": pa.array(range(rank, rank + n), pa.int32()), "value": pa.array(own, pa.int32())})
+                    rank += n
 
     return df.select(F.lit(n).cast("int").alias("n"), F.lit(key).cast("bigint").alias("seed")).mapInArrow(run, "seed bigint, n int, rank int, value int")
 
@@ -389,22 +401,26 @@ def permuted(df: DataFrame, n: int, key: int) -> DataFrame:
 def bounded_load(ranks: DataFrame, k: int, cap: int) -> DataFrame:
     """(key, rank, node): each key, in order, takes the first k nodes of its ranking whose load is below the cap.
 
-    What a key takes depends on all keys before it, so one task does it all: for plans of placement, not for tables at scale.
+    What a key takes depends on all keys before it, so one task reads them all, sorted, and holds the loads of the nodes
+    alone: for plans of placement, not for tables at scale.
     """
 
-    def run(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(*(table[c].to_pylist() for c in ("key", "rank", "node")), strict=True))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         load: dict[int, int] = {}
-        taken: dict[int, int] = {}
-        out = []
-        for key, rank, node in rows:
-            if taken.get(key, 0) < k and load.get(node, 0) < cap:
-                load[node], taken[key] = load.get(node, 0) + 1, taken.get(key, 0) + 1
-                out.append((key, rank, node))
-        kinds = [pa.int64(), pa.int32(), pa.int32()]
-        return pa.table([pa.array([r[c] for r in out], t) for c, t in enumerate(kinds)], names=["key", "rank", "node"])
+        last, taken = None, 0
+        for batch in batches:
+            out = []
+            for key, rank, node in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != last:
+                    last, taken = key, 0
+                if taken < k and load.get(node, 0) < cap:
+                    load[node], taken = load.get(node, 0) + 1, taken + 1
+                    out.append((key, rank, node))
+            kinds = [pa.int64(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(kinds)], names=["key", "rank", "node"])
 
-    return ranks.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(run, "key bigint, rank int, node int")
+    own = ranks.select(F.col("key").cast("bigint").alias("key"), "rank", "node")
+    return own.repartition(1).sortWithinPartitions("key", "rank", "node").mapInArrow(run, "key bigint, rank int, node int")
 
 
 def churn(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -434,11 +450,65 @@ def ring(nodes: DataFrame, points: int) -> DataFrame:
 
 
 def on_ring(keys: DataFrame, key: str, points: DataFrame) -> DataFrame:
-    """(key, node): the first point from a key's place on, or the first of all. Points are a table of bounded size."""
+    """(key, node): the first point from a key's place on, or the first of all.
+
+    The ring is cut into about as many cells as it has points; a key looks through the few points of its cell, and
+    beyond them is the first one of a later cell, which the cell holds too. Cells are joined by their number.
+    """
     from ..functions.hashing import md5_64, unsigned
 
-    held = points.agg(F.array_sort(F.collect_list(F.struct("place", "node"))).alias("points"))  # nodes times points
-    at = unsigned(md5_64(F.col(key).cast("string")))
-    found = F.filter("points", lambda p: p["place"] >= F.col("__at"))
-    own = keys.select(F.col(key).alias("key"), at.alias("__at")).join(F.broadcast(held))
-    return own.select("key", F.coalesce(F.get(found, F.lit(0))["node"], F.get("points", F.lit(0))["node"]).alias("node"))
+    n = points.count()
+    bits = max(1, min(30, (max(1, n) - 1).bit_length()))
+    cell = lambda place: F.shiftright(place, 64 - bits)
+    own = points.groupBy(cell(F.col("place")).alias("cell")).agg(F.array_sort(F.collect_list(F.struct("place", "node"))).alias("points"))
+    every = keys.sparkSession.range(-(1 << bits - 1), 1 << bits - 1).withColumnRenamed("id", "cell").join(own, "cell", "left")
+    later = F.first(F.get("points", F.lit(0)), ignorenulls=True).over(Window.orderBy("cell").rowsBetween(1, Window.unboundedFollowing))
+    first = F.first(F.get("points", F.lit(0)), ignorenulls=True).over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    cells = every.select("cell", "points", F.coalesce(later, first)["node"].alias("after"))
+    asked = keys.select(F.col(key).alias("key"), unsigned(md5_64(F.col(key).cast("string"))).alias("at"))
+    met = asked.withColumn("cell", cell(F.col("at"))).join(cells, "cell", "left")
+    found = F.filter("points", lambda p: p["place"] >= F.col("at"))
+    return met.select("key", F.coalesce(F.get(found, F.lit(0))["node"], F.col("after")).alias("node"))
+
+
+# comparators and tests of a reservoir
+
+
+def algorithm_r(k: int, n: int, seed: int) -> list[int]:
+    """A reservoir of k of 0 .. n-1 by a draw for each item: what Reservoir is compared with."""
+    rng = random.Random(seed)
+    out = list(range(min(k, n)))
+    for x in range(k, n):
+        at = rng.randrange(x + 1)
+        if at < k:
+            out[at] = x
+    return out
+
+
+def algorithm_l(k: int, n: int, seed: int) -> list[int]:
+    """The same by skips of geometric lengths: about k ln(n / k) draws."""
+    rng = random.Random(seed)
+    out, at, w = list(range(min(k, n))), k - 1, 1.0
+    while True:
+        w *= math.exp(math.log(1.0 - rng.random()) / k)
+        at += math.floor(math.log(1.0 - rng.random()) / math.log1p(-w)) + 1 if w < 1.0 else 1
+        if at >= n:
+            return out
+        out[rng.randrange(k)] = at
+
+
+def balance(chosen: DataFrame, n: int) -> DataFrame:
+    """(test, cells, chi2) of choices (key, nodes): the node at each place, the pair of the first two, and each bit of a node, against equal shares.
+
+    For the bits, only nodes below the greatest power of two in n count.
+    """
+    at = chosen.select(F.posexplode("nodes").alias("rank", "node"))
+    width = n.bit_length() - 1
+    one = at.select(F.concat(F.lit("node "), F.col("rank").cast("string")).alias("test"), F.lit(n).alias("cells"), F.col("node").cast("string").alias("cell"))
+    pair = F.array_join(F.array_sort(F.slice("nodes", 1, 2)), "/")
+    two = chosen.where(F.size("nodes") > 1).select(F.lit("pair"), F.lit(n * (n - 1) // 2), pair)
+    bits = at.where(F.col("node") < 1 << width).withColumn("bit", F.explode(F.expr(f"sequence(0, {width - 1})")) if width else F.lit(None).cast("int"))
+    bits = bits.select(F.concat(F.lit("bit "), F.col("bit").cast("string")), F.lit(2), F.expr("cast(shiftright(node, bit) & 1 as string)"))
+    counts = one.union(two).union(bits).where("test is not null").groupBy("test", "cells", "cell").agg(F.count("*").alias("n"))
+    expected = F.sum("n") / F.col("cells")
+    return counts.groupBy("test", "cells").agg((F.sum(F.col("n") * F.col("n")) / expected - F.sum("n")).alias("chi2"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import fold, offsets
+from ..functions import fold, offset_index, offsets
+from ..functions import sql as sql_functions
 from ..functions.bigram_table import priority
 from ..functions.hashing import unsigned
 from ..operators import bpe, geo, ngrams, placement, termmap
@@ -90,11 +92,6 @@ def offsets_lines(spark, sf_dir):
     return offsets.line_table(_read(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-def _probes(df: DataFrame) -> DataFrame:
-    n = F.octet_length("text")
-    return df.select("doc_id", "text", F.explode(F.array(F.lit(0), F.floor(n / 3).cast("int"), F.floor(n / 2).cast("int"), n - 1, n, n + 5)).alias("byte")).where("byte >= 0")
-
-
 _PROBES = "(SELECT doc_id, text, unnest([0, strlen(text) // 3, strlen(text) // 2, strlen(text) - 1, strlen(text), strlen(text) + 5]) AS byte FROM documents)"
 
 
@@ -109,11 +106,36 @@ SELECT doc_id, CAST(byte AS INT) AS byte, CAST(line AS INT) AS line, CAST(c AS I
  CAST(c + length(regexp_replace(a, '(F.)|..', '\\1', 'g')) // 2 AS INT) AS utf16, coalesce(regexp_full_match(l[line + 1], '[\\t\\r ]*'), true) AS blank FROM r"""
 )
 def offsets_probe(spark, sf_dir):
-    t, b = F.col("text"), F.col("byte")
-    at = _probes(_read(spark, sf_dir, "documents")).select("*", offsets.utf8_to_line(t, b).alias("line"), offsets.utf8_to_char(t, b).alias("char"))
-    line = F.col("line")
-    return at.select("doc_id", "byte", "line", "char", offsets.line_to_utf8_begin(t, line).alias("line_begin"), offsets.line_to_utf8_end(t, line).alias("line_end"), offsets.char_to_utf8(t, F.col("char")).alias("char_begin"),
-        offsets.utf8_to_char_pos(t, b)["col"].alias("col"), offsets.utf8_to_utf16(t, b).alias("utf16"), offsets.only_whitespaces(t, line).alias("blank"))
+    """By an index of each text."""
+    n = F.octet_length("text")
+    at = F.array(F.lit(0), F.floor(n / 3).cast("int"), F.floor(n / 2).cast("int"), n - 1, n, n + 5)
+    found = offset_index.probe(_read(spark, sf_dir, "documents"), "doc_id", "text", F.filter(at, lambda x: x >= 0))
+    return found.select(F.col("key").alias("doc_id"), "byte", "line", "char", "line_begin", "line_end", "char_begin", "col", "utf16", "blank")
+
+
+_UNITS16 = r"length(own) + length(regexp_replace(own, '[^\x{10000}-\x{10FFFF}]', '', 'g'))"
+_RANGES = f"""SELECT doc_id, CAST(line AS INT) AS line, CAST(b AS INT) AS start, CAST(b + strlen(own) + brk AS INT) AS "end", CAST(c AS INT) AS char_start, CAST(c + length(own) + brk AS INT) AS char_end,
+ CAST(u AS INT) AS utf16_start, CAST(u + {_UNITS16} + brk AS INT) AS utf16_end FROM (
+SELECT *, CASE WHEN line < len(l) - 1 THEN 1 ELSE 0 END AS brk, coalesce(sum(strlen(own) + 1) OVER w, 0) AS b, coalesce(sum(length(own) + 1) OVER w, 0) AS c, coalesce(sum({_UNITS16} + 1) OVER w, 0) AS u
+FROM (SELECT doc_id, l, unnest(range(len(l))) AS line, unnest(l) AS own, len(l) - CASE WHEN text = '' OR ends_with(text, chr(10)) THEN 1 ELSE 0 END AS n FROM (SELECT doc_id, text, str_split(text, chr(10)) AS l FROM documents))
+WHERE line < n WINDOW w AS (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+
+
+@_query(_RANGES)
+def offsets_ranges(spark, sf_dir):
+    """Bytes, characters and UTF-16 units of each line, looked up at its first byte."""
+    docs = _read(spark, sf_dir, "documents")
+    found = offset_index.probe(docs, "doc_id", "text")
+    return found.select(F.col("key").alias("doc_id"), "line", F.col("line_begin").alias("start"), F.col("line_end").alias("end"), F.col("line_char_begin").alias("char_start"), F.col("line_char_end").alias("char_end"), F.col("line_utf16_begin").alias("utf16_start"), F.col("line_utf16_end").alias("utf16_end"))
+
+
+@_query("SELECT item_id, CAST(length(text) AS INT) AS chars, CAST(strlen(text) AS INT) AS bytes, CAST(strlen(text) AS INT) AS last_line_end, true AS in_words FROM benchmark")
+def offsets_sql(spark, sf_dir):
+    """The functions of SQL: of all lines to characters, of all characters to bytes, and back to a line."""
+    sql_functions.register(spark)
+    items = _read(spark, sf_dir, "benchmark")
+    return spark.sql("""SELECT item_id, lines_to_chars(text, 0, text_lines(text)).`end` AS chars, chars_to_utf8s(text, 0, utf8_to_char(text, octet_length(text))).`end` AS bytes,
+        line_to_utf8_end(text, text_lines(text) - 1) AS last_line_end, NOT only_whitespaces(text, utf8_to_char_pos(text, 1).line) AS in_words FROM {items}""", items=items)
 
 
 @_query("SELECT doc_id, CAST(strlen(text) AS INT) AS len, CAST(len(str_split(text, chr(10))) - CASE WHEN text = '' OR ends_with(text, chr(10)) THEN 1 ELSE 0 END AS INT) AS lines, strlen(text) = 0 AS is_empty FROM documents")
@@ -240,12 +262,36 @@ def bpe_round_trip(spark, sf_dir):
     return bpe.decode(tokens, tiktoken.read(spark, f"file://{_vocabulary()}"))
 
 
-@_query()
+def _bpe_sql(table: str, key: str) -> str:
+    """Common tables that end in `pieces` (key, i, piece) and `last` (piece, toks): every merge by rank, leftmost first, as the definition has it.
+
+    White space before a last one that something follows is a piece of its own: a mark from the private area stands for the look-ahead.
+    """
+    marked = r"regexp_replace(text, '(\s+)(\s\S)', '\1' || chr(57344) || '\2', 'g')"
+    pattern = r"'''s|''t|''re|''ve|''m|''ll|''d| ?\pL+| ?\pN+| ?[^\s\pL\pN' || chr(57344) || ']+|\s+'"
+    return f"""RECURSIVE vocabulary AS (SELECT hex(from_base64(token)) AS t, rank FROM read_csv('{_vocabulary()}', delim = ' ', header = false, columns = {{'token': 'VARCHAR', 'rank': 'BIGINT'}}, quote = '', escape = '')),
+cut AS (SELECT {key} AS key, regexp_extract_all({marked}, {pattern}) AS p FROM {table}), pieces AS (SELECT key, unnest(range(len(p))) AS i, unnest(p) AS piece FROM cut),
+r AS (SELECT piece, list_transform(range(1, strlen(piece) + 1), lambda k: substr(hex(piece), CAST(2 * k - 1 AS INT), 2)) AS toks, 0 AS step FROM (SELECT DISTINCT piece FROM pieces)
+ UNION ALL SELECT piece, toks[:k - 1] || [toks[k] || toks[k + 1]] || toks[k + 2:], step + 1 FROM (SELECT x.*, row_number() OVER (PARTITION BY piece ORDER BY rank, k) AS rn
+  FROM (SELECT piece, toks, step, unnest(range(1, len(toks))) AS k FROM r) x JOIN vocabulary v ON v.t = toks[k] || toks[k + 1]) WHERE rn = 1),
+last AS (SELECT piece, arg_max(toks, step) AS toks FROM r GROUP BY piece)"""
+
+
+@_query(f"WITH {_bpe_sql('benchmark', 'item_id')} SELECT key, CAST(row_number() OVER (PARTITION BY key ORDER BY i, j) - 1 AS INT) AS at, CAST(rank AS INT) AS token_id FROM (SELECT key, i, unnest(range(len(toks))) AS j, unnest(toks) AS t FROM pieces JOIN last USING (piece)) x JOIN vocabulary v USING (t)")
+def bpe_ids(spark, sf_dir):
+    """The ids themselves, in order, against merges by the definition."""
+    return bpe.encode(_read(spark, sf_dir, "benchmark"), "item_id", "text", _tokenizer()).select("key", F.posexplode("tokens").alias("at", "token_id"))
+
+
+_COUNTED = f"WITH {_bpe_sql('documents', 'doc_id')}, n AS (SELECT key, sum(len(toks)) AS n FROM pieces JOIN last USING (piece) GROUP BY key)"
+
+
+@_query(f"{_COUNTED} SELECT doc_id AS key, CAST(coalesce(n, 0) AS INT) AS n_tokens FROM documents LEFT JOIN n ON key = doc_id WHERE text IS NOT NULL")
 def bpe_count(spark, sf_dir):
     return bpe.count(_read(spark, sf_dir, "documents"), "doc_id", "text", _tokenizer())
 
 
-@_query()
+@_query(f"{_COUNTED} SELECT doc_id AS key, CAST(CASE WHEN coalesce(n, 0) <= 500 THEN coalesce(n, 0) END AS INT) AS n_tokens FROM documents LEFT JOIN n ON key = doc_id WHERE text IS NOT NULL")
 def bpe_count_till_limit(spark, sf_dir):
     return bpe.count(_read(spark, sf_dir, "documents"), "doc_id", "text", _tokenizer(), limit=500)
 
@@ -313,12 +359,22 @@ def distinct_orders_by_supplier(spark, sf_dir):
 
 @_query(f"WITH s AS ({_sketch_sql('(SELECT DISTINCT o_custkey FROM orders)', '1 AS g', 'o_custkey', 7)}) {_estimated_sql('(SELECT g, bucket FROM s)', ['g'], geo.DISTINCT7)}")
 def distinct_union(spark, sf_dir):
-    """Sketches of each priority, merged."""
-    orders = _read(spark, sf_dir, "orders")
-    by = geo.distinct_sketch(orders, ["o_orderpriority"], F.col("o_custkey"))
-    parts = [by.where(F.col("o_orderpriority") == p).select(F.lit(1).alias("g"), "bucket") for p in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")]
-    rest = by.where(~F.col("o_orderpriority").isin("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")).select(F.lit(1).alias("g"), "bucket")
-    return _estimated(geo.union(*parts, rest), ["g"], geo.DISTINCT7)
+    """Sketches of four parts of the orders, of any priority or none, merged."""
+    orders = _read(spark, sf_dir, "orders").withColumn("part", F.pmod(F.xxhash64("o_orderpriority"), F.lit(4)))
+    by = geo.distinct_sketch(orders, ["part"], F.col("o_custkey"))
+    return _estimated(geo.union(*(by.where(F.col("part") == p).select(F.lit(1).alias("g"), "bucket") for p in range(4))), ["g"], geo.DISTINCT7)
+
+
+@_query(f"WITH s AS ({_sketch_sql('(SELECT DISTINCT l_suppkey, l_orderkey FROM lineitem)', 'l_suppkey', 'l_orderkey', 13)}) {_estimated_sql('(SELECT l_suppkey, bucket FROM s)', ['l_suppkey'], geo.DISTINCT13)}")
+def distinct_orders_finely(spark, sf_dir):
+    """The finer of the two distinct configurations."""
+    return _estimated(geo.distinct_sketch(_read(spark, sf_dir, "lineitem"), ["l_suppkey"], F.col("l_orderkey"), geo.DISTINCT13), ["l_suppkey"], geo.DISTINCT13)
+
+
+@_query(f"WITH s AS ({_sketch_sql('orders', 'o_orderpriority', 'o_orderkey', 13)}) {_estimated_sql('(SELECT o_orderpriority, bucket FROM s WHERE hits % 2 = 1)', ['o_orderpriority'], geo.DIFF13)}")
+def diff_orders_finely(spark, sf_dir):
+    """The finest of the three difference configurations."""
+    return _estimated(geo.diff_sketch(_read(spark, sf_dir, "orders"), ["o_orderpriority"], F.col("o_orderkey"), geo.DIFF13), ["o_orderpriority"], geo.DIFF13)
 
 
 @_query(f"WITH s AS ({_sketch_sql('orders', 'o_orderpriority', 'o_orderkey', 10)}) {_estimated_sql('(SELECT o_orderpriority, bucket FROM s WHERE hits % 2 = 1)', ['o_orderpriority'], geo.DIFF10)}")
@@ -402,11 +458,25 @@ def sim_hash_search(spark, sf_dir):
     return geo.sim_lookup(sketch, sketch, geo.DIFF7, 5)
 
 
-@_query("SELECT CAST(n AS INT) AS ones, round(n * 1.0, 3) AS back FROM (SELECT unnest([1, 5, 20, 100, 300]) AS n)")
+@_query(f"WITH {_BASKET} SELECT DISTINCT CAST(n AS INT) AS ones, CAST(n AS INT) AS back FROM n")
 def ones_metric(spark, sf_dir):
-    """From ones to items and back."""
-    rows = [(n, float(geo.items_to_ones(geo.DIFF7, geo.ones_to_items(geo.DIFF7, n)))) for n in (1, 5, 20, 100, 300)]
-    return spark.createDataFrame(rows, "ones int, back double")
+    """From the ones of each basket to items and back."""
+    back = F.udf(lambda n: geo.items_to_ones(geo.DIFF7, geo.ones_to_items(geo.DIFF7, n)), "int")  # of the different numbers of ones
+    return geo.ones(_basket(spark, sf_dir), ["key"]).select("ones").distinct().select("ones", back("ones").alias("back"))
+
+
+@_query()
+def hyperloglog_errors(spark, sf_dir):
+    return geo.relative_errors(spark, 8, geo.set_sizes(1000, 3), 20)
+
+
+@_query(
+    f"""WITH {_BASKET}, o AS (SELECT key, bucket, row_number() OVER (PARTITION BY key ORDER BY bucket DESC) AS r, n FROM s JOIN n USING (key))
+SELECT key, CAST(least(max(n), {geo.DIFF7.msb}) * {geo.DIFF7.width} + coalesce(8 * ceil(max(bucket) FILTER (r = {geo.DIFF7.msb}) / 64.0), 0) AS INT) AS bytes FROM o GROUP BY key"""
+)
+def sketch_memory(spark, sf_dir):
+    size = F.udf(lambda b: geo.bytes_in_memory(b, geo.DIFF7), "int")
+    return _basket(spark, sf_dir).groupBy("key").agg(size(F.collect_list("bucket")).alias("bytes"))
 
 
 @_query()
@@ -417,11 +487,47 @@ def sketch_errors(spark, sf_dir):
 # placement
 
 
-@_query()
+def _mixed64(x: str) -> str:
+    """SplitMix64 of an unsigned number, by products modulo 2^64."""
+    wrap = lambda e: f"(({e}) % 18446744073709551616::UHUGEINT)::UBIGINT"
+    one = f"[{wrap(f'({x})::UHUGEINT + 11400714819323198485::UHUGEINT')}]"
+    two = f"list_transform({one}, lambda z: {wrap('xor(z, z >> 30)::UHUGEINT * 13787848793156543929::UHUGEINT')})"
+    three = f"list_transform({two}, lambda z: {wrap('xor(z, z >> 27)::UHUGEINT * 10723151780598845931::UHUGEINT')})"
+    return f"list_transform({three}, lambda z: xor(z, z >> 31))[1]"
+
+
+def _placed_sql(table: str, key: str, n: int) -> str:
+    """Common tables that end in `placed` (key, node): down the levels of a key's mask, the first draw of a level that is below n, or 0."""
+    top = 1 << (n - 1).bit_length()
+    next_bit = "CASE " + " ".join(f"WHEN bits >= {1 << k} THEN {1 << k}" for k in range((n - 1).bit_length() - 1, -1, -1)) + " ELSE 0 END"
+    stream = _mixed64(_mixed64("((k0::UHUGEINT + nb::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT"))
+    return f"""RECURSIVE keyed AS (SELECT {key} AS key, {_mixed64(f"{key}::UBIGINT")} AS k0 FROM {table}),
+walk AS (SELECT key, k0, ({_mixed64("xor(k0, 11400714819323198485::UBIGINT)")} % {top})::BIGINT AS bits, 0::BIGINT AS bit, 0::UBIGINT AS draw, false AS going, -1::BIGINT AS node FROM keyed
+ UNION ALL SELECT key, k0, CASE WHEN going THEN bits ELSE bits - nb END, CASE WHEN going THEN bit ELSE nb END, draw2, CASE WHEN going THEN low & bit > 0 ELSE nb > 0 END,
+  CASE WHEN going THEN CASE WHEN low & bit > 0 AND low & (2 * bit - 1) < {n} THEN low & (2 * bit - 1) ELSE -1 END WHEN nb = 0 THEN 0 WHEN (low & (nb - 1)) + nb < {n} THEN (low & (nb - 1)) + nb ELSE -1 END
+ FROM (SELECT *, (draw2 % 4294967296)::BIGINT AS low FROM (SELECT *, CASE WHEN going THEN {_mixed64("draw")} ELSE {stream} END AS draw2 FROM (SELECT *, ({next_bit})::BIGINT AS nb FROM walk WHERE node < 0)))),
+placed AS (SELECT key, CAST(node AS INT) AS node FROM walk WHERE node >= 0)"""
+
+
+@_query(f"WITH {_placed_sql('orders', 'o_orderkey', 13)} SELECT key, node FROM placed")
 def place_orders(spark, sf_dir):
     return placement.place(_read(spark, sf_dir, "orders"), "o_orderkey", 13, placement.MixSource.of)
 
 
+@_query("SELECT CAST(unnest(range(8)) AS INT) AS node, unnest([10, 12, 6, 6, 6, 5, 9, 10])::BIGINT AS keys")
+def choose_goldens(spark, sf_dir):
+    """Published counts: two of eight nodes for each of 32 keys."""
+    keys = spark.range(32783, 32815).withColumnRenamed("id", "key")
+    return placement.choose(keys, "key", 8, 2).select(F.explode("nodes").alias("node")).groupBy("node").agg(F.count("*").alias("keys"))
+
+
+@_query("SELECT CAST(unnest(range(4)) AS INT) AS node, unnest([7577, 7541, 7538, 7822])::BIGINT AS keys")
+def place_goldens(spark, sf_dir):
+    """Published counts of the first four of 13 nodes, for 100,000 keys."""
+    keys = spark.range(0, 100_000, 1, spark.sparkContext.defaultParallelism)
+    return placement.place(keys, "id", 13).where("node < 4").groupBy("node").agg(F.count("*").alias("keys"))
+
+
 @_query()
 def next_hashes(spark, sf_dir):
     return placement.next_hashes(_read(spark, sf_dir, "customer"), "c_custkey", 13, placement.MixSource.of)
@@ -449,9 +555,19 @@ def permutation(spark, sf_dir):
     return p.agg(F.count("*").alias("n"), F.countDistinct("value").alias("different"), F.min("value").alias("low"), F.max("value").alias("high"), (F.countDistinct("rank") == 1000).alias("ranks"))
 
 
-@_query()
+@_query("SELECT *, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS place FROM orders")
+def order_places(spark, sf_dir):
+    """Places of all orders, with all their columns, in a total order."""
+    return placement._with_places(_read(spark, sf_dir, "orders"), ["o_orderdate", "o_orderkey"]).withColumnRenamed("__place", "place")
+
+
+_RANKS = ", ".join(f"({n}, {v}, {r})" for n in (1_500, 15_000, 150_000) for r, v in enumerate(itertools.islice(placement.permutation(n, 12345), 50)))
+
+
+@_query(f"SELECT o.* EXCLUDE (place), CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS place FROM orders) o JOIN (VALUES {_RANKS}) v(n, place, rank) USING (place) WHERE n = (SELECT count(*) FROM orders)")
 def reservoir_sample(spark, sf_dir):
-    return placement.sample(_read(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"], 50, 12345)
+    """Fifty orders, whole; the SQL has the keyed permutation for the three sizes of the table, and finds the places itself."""
+    return placement.sample(_read(spark, sf_dir, "orders"), ["o_orderkey"], 50, 12345)
 
 
 @_query()
@@ -469,19 +585,38 @@ def bounded_load(spark, sf_dir):
     return placed.groupBy("node").agg(F.count("*").alias("load")).agg(F.sum("load").alias("n"), (F.max("load") <= cap).alias("within"))
 
 
-@_query("SELECT true AS few")
+@_query(f"WITH {_placed_sql('orders', 'o_orderkey', 10)} SELECT count(*) AS moved FROM placed WHERE node = 9")
 def placement_churn(spark, sf_dir):
-    """A tenth node takes about a tenth of the keys, and none moves elsewhere."""
+    """A tenth node takes its keys, and none moves elsewhere."""
     keys = _read(spark, sf_dir, "orders")
     a, b = (placement.place(keys, "o_orderkey", n, placement.MixSource.of) for n in (9, 10))
-    return placement.churn(a, b).join(b.where("node = 9").agg(F.count("*").alias("new"))).select((F.col("moved") == F.col("new")).alias("few"))
+    return placement.churn(a, b)
 
 
-@_query()
+@_query(
+    f"WITH {_placed_sql('orders', 'o_orderkey', 13)}, n AS (SELECT node, count(*)::DOUBLE AS n FROM placed GROUP BY node) "
+    "SELECT round(sum(n) / 13, 6) AS mean, round(sqrt(sum(n * n) / 13 - (sum(n) / 13) * (sum(n) / 13)), 6) AS stddev, round(sum(n * n) / (sum(n) / 13) - sum(n), 6) AS chi2 FROM n"
+)
 def placement_balance(spark, sf_dir):
     placed = place_orders(spark, sf_dir)
     counts = placed.groupBy("node").agg(F.count("*").alias("n"))
-    return placement.load_stddev(placed, 13).join(placement.chi_squared(counts, 13))
+    return placement.load_stddev(placed, 13).join(placement.chi_squared(counts, 13)).select(*(F.round(c, 6).alias(c) for c in ("mean", "stddev", "chi2")))
+
+
+@_query()
+def choice_balance(spark, sf_dir):
+    """Places, pairs and bits of three of a hundred nodes for each customer."""
+    return placement.balance(placement.choose(_read(spark, sf_dir, "customer"), "c_custkey", 100, 3), 100)
+
+
+@_query()
+def reservoir_comparators(spark, sf_dir):
+    """How often each item is in 2000 samples of 5 of 50, by the keyed reservoir and by algorithms R and L, against equal shares."""
+    ways = {"keyed": lambda seed: list(itertools.islice(placement.permutation(50, placement.splitmix64(seed)), 5)), "r": lambda seed: placement.algorithm_r(5, 50, seed), "l": lambda seed: placement.algorithm_l(5, 50, seed)}
+    draw = F.udf(lambda way, seed: ways[way](seed), "array<int>")
+    runs = spark.range(2000).join(spark.createDataFrame([(w,) for w in ways], "way string"))
+    counts = runs.select("way", F.explode(draw("way", "id")).alias("item")).groupBy("way", "item").agg(F.count("*").alias("n"))
+    return counts.groupBy("way").agg(F.count("*").alias("items"), F.sum("n").alias("drawn"), (F.sum(F.col("n") * F.col("n")) / 200.0 - 10_000).alias("chi2"))
 
 
 @_query(
@@ -505,11 +640,10 @@ def users_by_day(spark, sf_dir):
     return _estimated(geo.distinct_sketch(events, keys, F.col("user_id")), keys, geo.DISTINCT7)
 
 
-@_query()
+@_query(ORACLES["users_by_day"])
 def users_by_day_stream(spark, sf_dir):
-    """Completed days only: the last ones wait for the watermark."""
+    """All days, the unfinished ones too."""
     schema = _read(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     buckets = sketches.windowed_buckets(stream, "ts", ["event_type"], F.col("user_id"), geo.DISTINCT7, "1 day", "1 hour")
-    return sketches.estimates(sketches.run_once(spark, buckets), ["event_type"], geo.DISTINCT7).withColumn("estimate", F.round("estimate", 3))
-
+    return sketches.estimates(sketches.run_once(spark, buckets, "complete"), ["event_type"], geo.DISTINCT7).withColumn("estimate", F.round("estimate", 3))

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shared import fresh
 from ..operators import geo
 
 
@@ -23,13 +22,22 @@ def windowed_buckets(stream: DataFrame, at: str, keys: list[str], item: Column,
 
 
 def run_once(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Process all that is there and return what was written; checkpoints and output are in the shared folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="textsketch-")
-    import uuid
+    """Process all that is there and return what was written; checkpoints and output are in the shared folder.
 
-    path = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    query = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
+    In `complete` mode all windows are returned, in `append` mode those that the watermark has completed.
+    """
+    path = fresh(spark)
+    last: list[str] = []
+
+    def whole(rows: DataFrame, batch: int) -> None:  # each batch has all windows: the last one counts
+        last[:] = [f"{path}/out-{batch}"]
+        rows.write.mode("overwrite").parquet(last[0])
+
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
+    query = query.foreachBatch(whole) if mode == "complete" else query.format("parquet").option("path", f"{path}/out")
+    query.start().awaitTermination()
+    if mode == "complete":
+        return spark.read.schema(stream.schema).parquet(last[0]) if last else spark.createDataFrame([], stream.schema)
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
