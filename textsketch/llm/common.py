@@ -2,52 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-_made: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables: spark.checkpoint.dir, or a fresh one in local mode."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return context._jsc.sc().getCheckpointDir().get()
-    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="textsketch-"))
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write once to the shared folder and read back: cuts lineage, and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/textsketch-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@atexit.register
-def release() -> None:
-    """Delete the tables that materialise() wrote; results that still read them go stale."""
-    while _made:
-        spark, path = _made.pop()
-        try:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # noqa: BLE001 - the JVM may be gone already
-            pass
-
+from ..functions.shared import materialise
 
 def bounded_batches(spark: SparkSession, size: int = 16 << 20) -> None:
     """Arrow batches of at most `size` bytes (or one row), so that long texts don't add up."""
@@ -152,25 +113,34 @@ GROUPS = 4096
 
 
 def sampled(rows: DataFrame, by: str | None, most: int, salt: str, of: list[str]) -> DataFrame:
-    """At most `most` different rows for each value of `by` (of all rows, if None), chosen by a hash of the columns `of`.
+    """About `most` different rows at most for each value of `by` (of all rows, if None), and `h`, the hash of the columns `of` that chose them.
 
     Rows that are equal in `of` are one, however often they occur, so neither a repeated id nor a repeated text
-    takes the others' place. No row is moved to count them; only those chosen, about `most`, are.
+    takes the others' place. No row is moved to count them; only those chosen are, to be made one.
     """
-    own = rows.withColumns({"__by": F.lit(0) if by is None else F.col(by), "__h": F.xxhash64(F.lit(salt), *of)})
-    n = own.groupBy("__by").agg(F.approx_count_distinct("__h", 0.02).alias("__n"))
-    sizes = {r["__by"]: r["__n"] for r in n.limit(GROUPS + 1).collect()}
+    own = rows.withColumns({"by_": F.lit(0) if by is None else F.col(by), "h": F.xxhash64(F.lit(salt), *of)})
+    n = own.groupBy("by_").agg(F.approx_count_distinct("h", 0.02).alias("n_"))
+    sizes = {r["by_"]: r["n_"] for r in n.limit(GROUPS + 1).collect()}
     if len(sizes) > GROUPS:
         raise ValueError(f"more than {GROUPS} values of {by}")
     if not sizes:
-        return rows.limit(0)
+        return own.drop("by_").limit(0)
     limits = F.create_map(*(F.lit(x) for k, v in sizes.items() for x in (k, min(1.0, most * 1.1 / max(1, v)))))
-    share = F.pmod(F.xxhash64(F.lit(salt), "__h"), F.lit(1 << 30)) / float(1 << 30)
-    few = own.where(share < limits[F.col("__by")])
-    names = rows.columns
-    once = few.groupBy("__by", "__h").agg(*(F.first(c).alias(c) for c in names))
-    order = Window.partitionBy("__by").orderBy("__h")
-    return once.withColumn("__at", F.row_number().over(order)).where(F.col("__at") <= most).select(*names)
+    share = F.pmod(F.xxhash64(F.lit(salt), "h"), F.lit(1 << 30)) / float(1 << 30)
+    few = own.where(share < limits[F.col("by_")])
+    return few.groupBy("by_", "h").agg(*(F.first(c).alias(c) for c in rows.columns)).drop("by_")
+
+
+def collected(rows: DataFrame, by: str | None, most: int, salt: str, of: list[str]) -> list[Row]:
+    """The rows of sampled(), at most `most` for each value of `by`, in an order that only the data decide."""
+    out: list[Row] = []
+    n: dict = {}
+    for r in sorted(sampled(rows, by, most, salt, of).collect(), key=lambda r: (r["h"], repr(r))):  # bounded: about `most` for each of GROUPS
+        key = r[by] if by else None
+        n[key] = n.get(key, 0) + 1
+        if n[key] <= most:
+            out.append(r)
+    return out
 
 
 def stretch(text: str, longest: int, salt: str) -> F.Column:

@@ -22,7 +22,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialise, one_row, pick, sampled, stretch
+from .common import bounded_batches, collected, materialise, one_row, pick, stretch
 
 #: States; tokens with a class of their own; classes of the others; tokens whose counts every task holds.
 STATES, OWN, SHARED, HEAD = 8, 3000, 1024, 1 << 17
@@ -303,7 +303,7 @@ def train(docs: DataFrame) -> tuple[Broadcast, States, DataFrame, DataFrame, lis
     encoded = materialise(docs.select("doc_id", "held_out", "text").mapInArrow(_encoded(head), f"{_ENCODED}, classes array<smallint>"))
     states = States.begin(model.classes, np.random.default_rng(1))
     some = training.where("text is not null").select(stretch("text", LONGEST, "states").alias("text"))
-    picked = sampled(some, None, SAMPLE, "states", ["text"]).collect()  # bounded: SAMPLE and LONGEST
+    picked = collected(some, None, SAMPLE, "states", ["text"])  # bounded: SAMPLE and LONGEST
     first = [s for text in sorted(r["text"] for r in picked) for s in segments(model.encode(tokens(text)))]
     for _ in range(WARM if first else 0):
         states = States.of(*states.expected(first)[:3])

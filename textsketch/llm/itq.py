@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise, pick, sampled
+from .common import collected, connected_components, materialise, pick
 
 #: Cosine of a link; recall aimed at for pairs just above it; numbers (vectors times dimensions) that rotations are learned from, at most about.
 THRESHOLD, RECALL, LEARNED = 0.93, 0.97, 1 << 21
@@ -283,7 +283,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
     most = valid.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     width = min(30, max(12, math.ceil(math.log2(most + 1)) + 3))
     dim = valid.select(F.max(F.size("embedding"))).first()[0] or 1
-    picked = sampled(valid.select("vec_id", "embedding"), None, max(1, LEARNED // dim), "learn", ["vec_id", "embedding"]).collect()  # bounded: LEARNED
+    picked = collected(valid.select("vec_id", "embedding"), None, max(1, LEARNED // dim), "learn", ["vec_id", "embedding"])  # bounded: LEARNED
     sample = [u for r in sorted(picked, key=lambda r: (r["vec_id"], str(r["embedding"]))) if (u := _unit(r["embedding"])) is not None]
     tables = spark.sparkContext.broadcast(Tables(sample, width, recall, threshold))
     marked = valid.select("vec_id", "embedding", "label", F.xxhash64("label", "embedding").alias("k1"), F.xxhash64(F.lit("copies"), "embedding", "label").alias("k2"))

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append, bounded_batches, filtered, fold_number, pick, sampled, stretch
+from .common import append, bounded_batches, collected, filtered, fold_number, pick, stretch
 
 #: Texts of each language that are fitted to, at most, and characters of each at most (of a longer one, a stretch); slots and hashes of the filter.
 SAMPLE, LONGEST, SLOTS, HASHES, SIZES = 600, 1 << 16, 1 << 20, 3, (2, 3, 4)
@@ -134,7 +134,7 @@ def train(docs: DataFrame, folds: int = 4, held_out: int = 2, most: int = SAMPLE
     """Fit to a bounded sample of the rows with a language whose fold is not held out; repeated rows count once."""
     rows = pick(docs, doc_id="bigint", text="string", lang="string").where("lang is not null and text <> ''").where(fold_number("doc_id", folds) != held_out)
     rows = rows.select("doc_id", "lang", stretch("text", LONGEST, "language").alias("text"))
-    texts = sampled(rows, "lang", most, "language", ["doc_id", "text"]).collect()  # bounded: SAMPLE of each language, LONGEST
+    texts = collected(rows, "lang", most, "language", ["doc_id", "text"])  # bounded: SAMPLE of each language, LONGEST
     return fit([(r["text"], r["lang"]) for r in sorted(texts, key=lambda r: (str(r["doc_id"]), r["text"], r["lang"]))])
 
 

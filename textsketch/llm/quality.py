@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append, bounded_batches, filtered, fold_number, materialise, pick, sampled, stretch
+from .common import append, bounded_batches, collected, filtered, fold_number, materialise, pick, sampled, stretch
 
 #: Labelled rows of each class that are fitted to, at most, and characters of each (of a longer one, a stretch); half make the dictionaries, half calibrate.
 SAMPLE, LONGEST = 2000, 1 << 16
@@ -122,10 +122,10 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1,
     """
     marks = pick(labels, doc_id="bigint", quality="int").where("doc_id is not null and quality in (0, 1)").where(fold_number("doc_id", folds) != held_out)
     marks = marks.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other").drop("other")
-    chosen = F.broadcast(sampled(marks, "quality", most, "quality", ["doc_id"]))  # bounded: SAMPLE
+    chosen = F.broadcast(sampled(marks, "quality", most, "quality", ["doc_id"]).drop("h"))  # bounded: about SAMPLE
     texts = pick(docs, doc_id="bigint", text="string").where("text <> ''").join(chosen, "doc_id")
     found = materialise(texts.select("doc_id", "quality", stretch("text", LONGEST, "quality").alias("text")))  # one id may have any number of rows
-    rows = sampled(found, "quality", most, "quality", ["doc_id", "text"]).collect()  # bounded: SAMPLE and LONGEST
+    rows = collected(found, "quality", most, "quality", ["doc_id", "text"])  # bounded: SAMPLE and LONGEST
     return fit([(r["text"], r["quality"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))])
 
 
