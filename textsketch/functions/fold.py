@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from .fold_table import FROM, TO
 
@@ -32,8 +37,27 @@ def index_fold_char(char: str) -> int:
     return low if ord(char) < 128 else 128 | low & 127
 
 
+@functools.lru_cache(maxsize=1)
+def _bytes() -> np.ndarray:
+    """index_fold_char of every code point."""
+    table = (128 | np.arange(0x110000) & 127).astype(np.uint8)
+    for a, b in _TABLE.items():
+        table[ord(a)] = ord(b) if ord(a) < 128 else 128 | ord(b) & 127
+    table[:128] = [ord(fold_char(chr(c))) for c in range(128)]
+    return table
+
+
 def index_fold_bytes(text: str) -> bytes:
-    return text.lower().encode() if text.isascii() else bytes(map(index_fold_char, text))
+    return text.lower().encode() if text.isascii() else _bytes()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")].tobytes()
+
+
+def index_fold_binary(col: Column) -> Column:
+    """The bytes of index_fold as one binary value, by a kernel over Arrow batches: an order of magnitude faster than the array."""
+
+    def folded(texts: pd.Series) -> pd.Series:
+        return texts.map(index_fold_bytes, na_action="ignore")
+
+    return F.pandas_udf(folded, BinaryType())(col)
 
 
 def index_fold(col: Column) -> Column:

@@ -294,7 +294,7 @@ def search(docs: DataFrame, queries: DataFrame, doc: str, query: str, text: str
     """(query, doc): documents that contain a query, case-folded: cover grams meet postings, then texts are verified.
 
     While the covers have at most GRAMS different grams, these go to the tasks that extract, so that no other posting leaves them; beyond,
-    postings are joined. Queries of fewer than two bytes have no grams: they are looked for in each text, all at once.
+    postings are joined. Queries of one character have no grams: they are looked for among the characters of each text, all at once. Empty ones find nothing.
     """
     asked = covers(queries, query, wanted).select(F.col("key").alias("__q"), "gram").distinct()
     needed = asked.groupBy("__q").agg(F.count("*").alias("__n"))
@@ -309,10 +309,10 @@ def search(docs: DataFrame, queries: DataFrame, doc: str, query: str, text: str
     full = full.join(queries.select(F.col(query).alias("__q"), F.col(wanted).alias("__w")), "__q")
     found = full.where(F.contains(simple_fold(F.col("__t")), simple_fold(F.col("__w")))).select("__q", "__d")
     folded = simple_fold(F.col(wanted))
-    short = queries.where(F.col(wanted).isNotNull()).where(F.char_length(folded) < 2).select(F.col(query).alias("__q"), folded.alias("__c"))
+    short = queries.where(F.col(wanted).isNotNull()).where(F.char_length(folded) == 1).select(F.col(query).alias("__q"), folded.alias("__c"))
     if not short.isEmpty():
         texts = docs.where(F.col(text).isNotNull())
-        chars = texts.select(F.col(doc).alias("__d"), F.explode(F.array_distinct(F.concat(F.split(simple_fold(F.col(text)), ""), F.array(F.lit(""))))).alias("__c"))
+        chars = texts.select(F.col(doc).alias("__d"), F.explode(F.array_distinct(F.split(simple_fold(F.col(text)), ""))).alias("__c"))
         found = found.union(chars.join(short, "__c").select("__q", "__d"))
     return found.distinct().select(F.col("__q").alias(query), F.col("__d").alias(doc))
 

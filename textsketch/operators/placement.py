@@ -348,8 +348,12 @@ def choose(df: DataFrame, key: str, n: int, k: int, source: Callable = Source.of
 
 def ranking(df: DataFrame, key: str, n: int, k: int, source: Callable = Source.of) -> DataFrame:
     """(key, rank, node): the first k of a key's ranking of n nodes."""
-    lists = _mapped(df, key, lambda x: list(islice(ChooseK(source(x), n), k)), pa.list_(pa.int32()), "nodes", "array<int>")
-    return lists.select("key", F.posexplode("nodes").alias("rank", "node"))
+    return ranked(df, key, n, k, source).select("key", F.posexplode("nodes").alias("rank", "node"))
+
+
+def ranked(df: DataFrame, key: str, n: int, k: int, source: Callable = Source.of) -> DataFrame:
+    """(key, nodes): the same as one array, in the order of the ranking."""
+    return _mapped(df, key, lambda x: list(islice(ChooseK(source(x), n), k)), pa.list_(pa.int32()), "nodes", "array<int>")
 
 
 def assign(df: DataFrame, key: str, nodes: NodeMap, source: Callable = Source.of) -> DataFrame:
@@ -498,7 +502,7 @@ def algorithm_l(k: int, n: int, seed: int) -> list[int]:
 
 
 def balance(chosen: DataFrame, n: int) -> DataFrame:
-    """(test, cells, chi2) of choices (key, nodes): the node at each place, the pair of the first two, and each bit of a node, against equal shares.
+    """(test, cells, chi2) of rankings (key, nodes): the node at each place, the pair of the first two, and each bit of a node, against equal shares.
 
     For the bits, only nodes below the greatest power of two in n count.
     """

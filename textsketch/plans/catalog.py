@@ -68,8 +68,7 @@ def simple_fold(spark, sf_dir):
 lambda x: printf('%02X', CASE WHEN unicode(x[1]) < 128 THEN unicode(x[2]) ELSE 128 | (unicode(x[2]) & 127) END)), '') AS bytes FROM documents"""
 )
 def index_fold(spark, sf_dir):
-    hexed = F.array_join(F.transform(fold.index_fold(F.col("text")), lambda x: F.lpad(F.hex(x), 2, "0")), "")
-    return _read(spark, sf_dir, "documents").select("doc_id", hexed.alias("bytes"))
+    return _read(spark, sf_dir, "documents").select("doc_id", F.hex(fold.index_fold_binary(F.col("text"))).alias("bytes"))
 
 
 @_query("SELECT CAST(strlen(c) AS INT) AS utf8_bytes, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS c FROM documents) WHERE c <> '' GROUP BY ALL")
@@ -606,7 +605,7 @@ def placement_balance(spark, sf_dir):
 @_query()
 def choice_balance(spark, sf_dir):
     """Places, pairs and bits of three of a hundred nodes for each customer."""
-    return placement.balance(placement.choose(_read(spark, sf_dir, "customer"), "c_custkey", 100, 3), 100)
+    return placement.balance(placement.ranked(_read(spark, sf_dir, "customer"), "c_custkey", 100, 3), 100)
 
 
 @_query()
