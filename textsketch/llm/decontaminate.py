@@ -72,22 +72,29 @@ def edited(words: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarra
     return np.array(own, dtype=np.int64)
 
 
-@functools.lru_cache(maxsize=4096)
-def plan(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(walks, steps of each sample: walks x samples x positions) for items of n words: the longest samples of which RECALL meet at the limit."""
+@functools.lru_cache(maxsize=1024)
+def _shape(n: int) -> tuple[int, int]:
+    """(walks, positions of a sample) for items of n words: the longest samples of which RECALL meet at the limit, by a simulation."""
     rng, limit = np.random.default_rng(n), int(EDITS * n)
     pairs = [(x := rng.permutation(4 * n)[:n], edited(x, limit, rng)) for _ in range(SIMULATED)]
     others = np.stack([np.concatenate([b[:n], -100 - np.arange(n - len(b))]) if len(b) < n else b[:n] for _, b in pairs])
     walks = WALKS
     while True:
-        number = np.arange(walks)
-        same = (embed(np.stack([a for a, _ in pairs]), number) == embed(others, number)).mean(axis=2)
+        same = (embed(np.stack([a for a, _ in pairs]), np.arange(walks)) == embed(others, np.arange(walks))).mean(axis=2)
         for positions in range(min(POSITIONS, 3 * n), 0, -1):
             if (1 - ((1 - same**positions) ** SAMPLES).prod(axis=1)).mean() >= RECALL or positions == 1 and walks >= 8 * WALKS:
-                return number, rng.integers(0, 3 * n, (walks, SAMPLES, positions))
+                return walks, positions
         walks *= 2
 
 
+@functools.lru_cache(maxsize=4096)
+def plan(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(walks, steps of each sample: walks x samples x positions) for items of n words; beyond 64, shaped like the next of four lengths to a doubling."""
+    step = max(1, 1 << n.bit_length() - 3 if n > 64 else 1)
+    walks, positions = _shape(-(-n // step) * step)
+    return np.arange(walks), np.random.default_rng(n).integers(0, 3 * n, (walks, SAMPLES, positions))
+
+
 def meet(item: np.ndarray, windows: np.ndarray) -> np.ndarray:
     """Which of these windows, as long as the item, equal it in all steps of some sample."""
     walks, steps = plan(len(item))
