@@ -261,19 +261,26 @@ def bpe_round_trip(spark, sf_dir):
     return bpe.decode(tokens, tiktoken.read(spark, f"file://{_vocabulary()}"))
 
 
+_VOCABULARY = f"vocabulary AS (SELECT hex(from_base64(token)) AS t, rank FROM read_csv('{_vocabulary()}', delim = ' ', header = false, columns = {{'token': 'VARCHAR', 'rank': 'BIGINT'}}, quote = '', escape = ''))"
+
+
+def _merged_sql(pieces: str) -> str:
+    """`last` (piece, toks): every merge by rank, leftmost first, as the definition has it, of the pieces (hexadecimal) of a relation."""
+    return f"""r AS (SELECT piece, list_transform(range(1, length(piece) // 2 + 1), lambda k: substr(piece, CAST(2 * k - 1 AS INT), 2)) AS toks, 0 AS step FROM (SELECT DISTINCT piece FROM {pieces})
+ UNION ALL SELECT piece, toks[:k - 1] || [toks[k] || toks[k + 1]] || toks[k + 2:], step + 1 FROM (SELECT x.*, row_number() OVER (PARTITION BY piece ORDER BY rank, k) AS rn
+  FROM (SELECT piece, toks, step, unnest(range(1, len(toks))) AS k FROM r) x JOIN vocabulary v ON v.t = toks[k] || toks[k + 1]) WHERE rn = 1),
+last AS (SELECT piece, arg_max(toks, step) AS toks FROM r GROUP BY piece)"""
+
+
 def _bpe_sql(table: str, key: str) -> str:
-    """Common tables that end in `pieces` (key, i, piece) and `last` (piece, toks): every merge by rank, leftmost first, as the definition has it.
+    """Common tables that end in `pieces` (key, i, piece) and `last`.
 
     White space before a last one that something follows is a piece of its own: a mark from the private area stands for the look-ahead.
     """
     marked = r"regexp_replace(text, '(\s+)(\s\S)', '\1' || chr(57344) || '\2', 'g')"
     pattern = r"'''s|''t|''re|''ve|''m|''ll|''d| ?\pL+| ?\pN+| ?[^\s\pL\pN' || chr(57344) || ']+|\s+'"
-    return f"""RECURSIVE vocabulary AS (SELECT hex(from_base64(token)) AS t, rank FROM read_csv('{_vocabulary()}', delim = ' ', header = false, columns = {{'token': 'VARCHAR', 'rank': 'BIGINT'}}, quote = '', escape = '')),
-cut AS (SELECT {key} AS key, regexp_extract_all({marked}, {pattern}) AS p FROM {table}), pieces AS (SELECT key, unnest(range(len(p))) AS i, unnest(p) AS piece FROM cut),
-r AS (SELECT piece, list_transform(range(1, strlen(piece) + 1), lambda k: substr(hex(piece), CAST(2 * k - 1 AS INT), 2)) AS toks, 0 AS step FROM (SELECT DISTINCT piece FROM pieces)
- UNION ALL SELECT piece, toks[:k - 1] || [toks[k] || toks[k + 1]] || toks[k + 2:], step + 1 FROM (SELECT x.*, row_number() OVER (PARTITION BY piece ORDER BY rank, k) AS rn
-  FROM (SELECT piece, toks, step, unnest(range(1, len(toks))) AS k FROM r) x JOIN vocabulary v ON v.t = toks[k] || toks[k + 1]) WHERE rn = 1),
-last AS (SELECT piece, arg_max(toks, step) AS toks FROM r GROUP BY piece)"""
+    return f"""RECURSIVE {_VOCABULARY}, cut AS (SELECT {key} AS key, regexp_extract_all({marked}, {pattern}) AS p FROM {table}),
+pieces AS (SELECT key, unnest(range(len(p))) AS i, hex(unnest(p)) AS piece FROM cut), {_merged_sql("pieces")}"""
 
 
 @_query(f"WITH {_bpe_sql('benchmark', 'item_id')} SELECT key, CAST(row_number() OVER (PARTITION BY key ORDER BY i, j) - 1 AS INT) AS at, CAST(rank AS INT) AS token_id FROM (SELECT key, i, unnest(range(len(toks))) AS j, unnest(toks) AS t FROM pieces JOIN last USING (piece)) x JOIN vocabulary v USING (t)")
@@ -315,7 +322,16 @@ def bpe_conversation_chunks(spark, sf_dir):
     return cut.groupBy(F.col("key").alias("conv_id")).agg(F.array_sort(F.collect_list(part)).alias("p")).select("conv_id", F.array_join("p.part", "").alias("text"))
 
 
-@_query()
+@_query(
+    f"""WITH RECURSIVE {_VOCABULARY}, whole AS (SELECT item_id, hex(text) AS piece, strlen(text) AS n FROM benchmark WHERE text IS NOT NULL), {_merged_sql("whole")},
+matches AS (SELECT w.item_id, s, s + k AS e FROM (SELECT item_id, piece, n, s, unnest(range(1, least(n - s, (SELECT max(length(t) // 2) FROM vocabulary)) + 1)) AS k FROM (SELECT *, unnest(range(n)) AS s FROM whole)) w JOIN vocabulary v ON v.t = substr(piece, CAST(2 * s + 1 AS INT), CAST(2 * k AS INT))),
+longest AS (SELECT item_id, s, max(e) AS e FROM matches GROUP BY ALL),
+greedy AS (SELECT item_id, 0::BIGINT AS at, 0 AS n FROM whole UNION ALL SELECT g.item_id, e, g.n + 1 FROM greedy g JOIN longest l ON l.item_id = g.item_id AND l.s = g.at),
+reached AS (SELECT item_id, 0::BIGINT AS at, 0 AS n FROM whole UNION SELECT g.item_id, e, g.n + 1 FROM reached g JOIN matches m ON m.item_id = g.item_id AND m.s = g.at),
+a AS (SELECT item_id, max(n) AS n_greedy FROM greedy GROUP BY item_id), b AS (SELECT w.item_id, min(g.n) AS n_minimal FROM whole w JOIN reached g ON g.item_id = w.item_id AND g.at = w.n GROUP BY ALL)
+SELECT item_id AS key, CAST(len(toks) AS INT) AS n_exact, CAST(len(toks) AS INT) AS n_backtracking, CAST(len(toks) AS INT) AS n_table, CAST(n_greedy AS INT) AS n_greedy, CAST(n_minimal AS INT) AS n_minimal, true AS same
+FROM whole JOIN last USING (piece) JOIN a USING (item_id) JOIN b USING (item_id)"""
+)
 def bpe_variants(spark, sf_dir):
     return bpe.variants(_read(spark, sf_dir, "benchmark"), "item_id", "text", _tokenizer())
 
@@ -325,7 +341,10 @@ def bpe_prefix_counts(spark, sf_dir):
     return bpe.prefix_counts(_read(spark, sf_dir, "benchmark"), "item_id", "text", _tokenizer())
 
 
-@_query()
+@_query(
+    f"""WITH RECURSIVE {_VOCABULARY}, ranges AS (SELECT item_id, s, least(s + 48, n) AS e, substr(h, CAST(2 * s + 1 AS INT), CAST(2 * (least(s + 48, n) - s) AS INT)) AS piece FROM (SELECT item_id, hex(text) AS h, strlen(text) AS n, unnest(range(0, strlen(text), 16)) AS s FROM benchmark)), {_merged_sql("ranges")}
+SELECT item_id AS key, CAST(s AS INT) AS start, CAST(e AS INT) AS "end", CAST(len(toks) AS INT) AS n_tokens FROM ranges JOIN last USING (piece)"""
+)
 def bpe_interval_counts(spark, sf_dir):
     return bpe.interval_counts(_read(spark, sf_dir, "benchmark"), "item_id", "text", _tokenizer(), 16, 48)
 
