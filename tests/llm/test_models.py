@@ -32,6 +32,9 @@ def test_quality_edges(spark, documents):
     assert quality.score(documents([]), model).count() == 0
     for rows, want in (([], 1.0), ([("a", 1)], 1.0), ([("a", 0)], 0.0)):
         assert quality.fit(rows).scores(["b"])[0] == pytest.approx(want, abs=1e-3)
+    rows = [(f"good words of a good text {k} " * 9, 1) for k in range(8)] + [(f"!!! $$$ &&& {k} " * 30, 0) for k in range(8)]
+    rare, even = quality.fit(rows, 0.01).scores(["zq"]), quality.fit(rows, 0.5).scores(["zq"])
+    assert rare[0] < even[0] and even[0] == pytest.approx(quality.fit(rows).scores(["zq"])[0])  # scores follow the share of label 1
     assert b"".join(quality.blocks(b"x" * 5000)) == b"x" * 5000 and quality.blocks(b"") == [b""]
 
 
@@ -240,7 +243,7 @@ def test_samples_are_bounded(spark):
     seen = []
     keep = quality.fit
     try:
-        quality.fit = lambda rows: seen.extend(rows) or keep(rows)
+        quality.fit = lambda rows, share: seen.extend(rows) or keep(rows, share)
         quality.train(hot.union(own).union(many), labels, most=40)
     finally:
         quality.fit = keep

@@ -92,8 +92,11 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(np.c_[(x - self.mean) / self.spread, np.ones(len(x))] @ self.weights, -500, 500)))
 
 
-def fit(rows: list[tuple[str, int]]) -> QualityModel:
-    """From (text, label) rows; without both labels, every score is the share of label 1 (or 1 without rows)."""
+def fit(rows: list[tuple[str, int]], share: float | None = None) -> QualityModel:
+    """From (text, label) rows; without both labels, every score is the share of label 1 (or 1 without rows).
+
+    `share` is that of label 1 among all labelled rows, which the rows are a sample of by label: scores are calibrated to it.
+    """
     by = {q: [t for t, label in rows if label == q] for q in (1, 0)}
     dictionaries = []
     for k in range(VIEWS):
@@ -101,7 +104,7 @@ def fit(rows: list[tuple[str, int]]) -> QualityModel:
     model = QualityModel(dictionaries)
     rest = [(t, q) for q in (1, 0) for t in by[q][1::2]]
     if len({q for _, q in rest}) < 2:
-        share = len(by[1]) / max(1, len(rows)) if rows else 1.0
+        share = len(by[1]) / len(rows) if rows else 1.0
         model.weights = np.append(np.zeros(2 * VIEWS), np.log((share + 1e-6) / (1 - share + 1e-6)))
         model.mean, model.spread = np.zeros(2 * VIEWS), np.ones(2 * VIEWS)
         return model
@@ -111,6 +114,8 @@ def fit(rows: list[tuple[str, int]]) -> QualityModel:
     for _ in range(60):  # Newton's steps, with a small ridge
         p = 1 / (1 + np.exp(-np.clip(z @ w, -500, 500)))
         w += np.linalg.solve((z.T * (p * (1 - p))) @ z + 1e-2 * np.eye(2 * VIEWS + 1), z.T @ (y - p) - 1e-2 * w)
+    if share is not None and 0 < share < 1:
+        w[-1] += np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean()))
     model.weights = w
     return model
 
@@ -126,7 +131,9 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1,
     texts = pick(docs, doc_id="bigint", text="string").where("text <> ''").join(chosen, "doc_id")
     found = materialise(texts.select("doc_id", "quality", stretch("text", LONGEST, "quality").alias("text")))  # one id may have any number of rows
     rows = collected(found, "quality", most, "quality", ["doc_id", "text"])  # bounded: SAMPLE and LONGEST
-    return fit([(r["text"], r["quality"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))])
+    n = {r["quality"]: r["count"] for r in marks.groupBy("quality").count().collect()}  # two rows at most
+    share = n.get(1, 0) / max(1, sum(n.values()))
+    return fit([(r["text"], r["quality"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))], share)
 
 
 def score(docs: DataFrame, model: QualityModel) -> DataFrame:
