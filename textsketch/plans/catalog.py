@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fold, offset_index, offsets
 from ..functions import sql as sql_functions
+from ..functions.shared import materialise
 from ..functions.bigram_table import priority
 from ..functions.hashing import unsigned
 from ..operators import bpe, geo, ngrams, placement, termmap
@@ -154,7 +155,7 @@ def term_counts(spark, sf_dir):
 @_query(f"SELECT {_H.format('word')} AS hash, word AS key, count(*) AS value FROM {_WORDS} WHERE word <> '' GROUP BY ALL")
 def merge_maps(spark, sf_dir):
     words = _words(spark, sf_dir).withColumn("part", F.pmod(F.xxhash64("lang"), F.lit(4)))  # of any language, or none
-    by = termmap.term_counts(words, ["part"], F.col("word"))
+    by = materialise(termmap.term_counts(words, ["part"], F.col("word")))  # four maps from one pass over the texts
     return termmap.merge(*(by.where(F.col("part") == k).drop("part") for k in range(4)))
 
 
