@@ -135,7 +135,7 @@ def collected(rows: DataFrame, by: str | None, most: int, salt: str, of: list[st
     """The rows of sampled(), at most `most` for each value of `by`, in an order that only the data decide."""
     out: list[Row] = []
     n: dict = {}
-    for r in sorted(sampled(rows, by, most, salt, of).collect(), key=lambda r: (r["h"], repr(r))):  # bounded: about `most` for each of GROUPS
+    for r in sorted(sampled(rows, by, most, salt, of).collect(), key=lambda r: (r["h"], str(r[by]) if by else "")):  # bounded: about `most` for each of GROUPS
         key = r[by] if by else None
         n[key] = n.get(key, 0) + 1
         if n[key] <= most:

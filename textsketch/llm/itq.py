@@ -284,7 +284,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
     width = min(30, max(12, math.ceil(math.log2(most + 1)) + 3))
     dim = valid.select(F.max(F.size("embedding"))).first()[0] or 1
     picked = collected(valid.select("vec_id", "embedding"), None, max(1, LEARNED // dim), "learn", ["vec_id", "embedding"])  # bounded: LEARNED
-    sample = [u for r in sorted(picked, key=lambda r: (r["vec_id"], str(r["embedding"]))) if (u := _unit(r["embedding"])) is not None]
+    sample = [u for r in picked if (u := _unit(r["embedding"])) is not None]
     tables = spark.sparkContext.broadcast(Tables(sample, width, recall, threshold))
     marked = valid.select("vec_id", "embedding", "label", F.xxhash64("label", "embedding").alias("k1"), F.xxhash64(F.lit("copies"), "embedding", "label").alias("k2"))
     copies = marked.dropDuplicates(["vec_id", "k1", "k2"]).groupBy("k1", "k2").agg(F.min("vec_id").alias("vec_id"), F.first("embedding").alias("embedding"), F.first("label").alias("label"), F.count("*").alias("copies"))
