@@ -56,7 +56,7 @@ def test_other_columns_are_ignored(spark, docs):
     assert licences.scan(docs).count() == 0
     assert langid.train(docs).languages == langid.train(plain).languages
     labels = odd(spark.createDataFrame([(1, 1), (2, 0)], "doc_id bigint, quality int"))
-    assert quality.train(docs, labels).weights is not None
+    assert quality.train(docs, labels).constant == quality.train(plain, labels.select("doc_id", "quality")).constant
     vectors = odd(spark.createDataFrame([(1, [1.0, 0.0], 0), (2, [1.0, 0.01], 0), (3, None, 0)], "vec_id bigint, embedding array<double>, label int"))
     assert sorted((r.vec_id, r.component_id) for r in itq.near_duplicates(vectors).collect()) == [(1, 1), (2, 1), (3, 3)]
 

@@ -2,7 +2,8 @@
 
 A text is compressed with either dictionary in three views: as it is, as its shape (letters become a or
 A, digits 0), and as its echo (of each word, how long ago it last occurred, and its length). The difference of
-the two sizes, normalised by their sum and by the length, enters a logistic calibration; nothing else does.
+the two sizes, normalised by their sum and by the length, enters a logistic calibration; nothing else does. There are two
+such classifiers, each with dictionaries of one half of the labelled rows and a calibration to the other; a score is between theirs.
 Views are cut into blocks, which makes the difference independent of the length of a text.
 """
 
@@ -17,10 +18,10 @@ from pyspark.sql import functions as F
 
 from .common import append, bounded_batches, collected, filtered, fold_number, materialise, pick, sampled, stretch
 
-#: Labelled rows of each class that are fitted to, at most, and characters of each (of a longer one, a stretch); half make the dictionaries, half calibrate.
+#: Labelled rows of each class that are fitted to, at most, and characters of each (of a longer one, a stretch); each half makes dictionaries, to which the other half calibrates.
 SAMPLE, LONGEST = 2000, 1 << 16
 BLOCK, DICTIONARY, LEVEL = 2048, 112_640, 3
-VIEWS, _HELD = 3, 200_000
+VIEWS, RIDGE, _HELD = 3, 0.3, 200_000
 _SHAPE = bytes(97 if 97 <= b < 123 or b >= 128 else 65 if 65 <= b < 91 else 48 if 48 <= b < 58 else b for b in range(256))
 
 
@@ -66,7 +67,7 @@ def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
 
 
 @dataclass
-class QualityModel:
+class Half:
     """Dictionaries (good, bad) of each view, and the calibration: weights, means, deviations."""
 
     dictionaries: list[tuple[bytes, bytes]]
@@ -77,47 +78,63 @@ class QualityModel:
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "_pairs"}
 
-    def features(self, text: str | None) -> list[float]:
+    def features(self, views: tuple[bytes, ...]) -> list[float]:
         if "_pairs" not in self.__dict__:
             self._pairs = [(_compressor(g), _compressor(b)) for g, b in self.dictionaries]
         out = []
-        for (good, bad), view in zip(self._pairs, _views(text), strict=True):
+        for (good, bad), view in zip(self._pairs, views, strict=True):
             cut = blocks(view)
             a, b = (sum(len(c.compress(x)) for x in cut) for c in (good, bad))
             out += [(b - a) / (a + b), (b - a) / (len(view) + 8)]
         return out
 
+    def logits(self, views: list[tuple[bytes, ...]]) -> np.ndarray:
+        x = np.array([self.features(v) for v in views]).reshape(len(views), 2 * VIEWS)
+        return np.c_[(x - self.mean) / self.spread, np.ones(len(x))] @ self.weights
+
+    def calibrate(self, rows: list[tuple[str, int]], share: float) -> Half:
+        """Fit the weights to (text, label) rows of both labels, of which `share` is 1 where the rows come from."""
+        x, y = np.array([self.features(_views(t)) for t, _ in rows]), np.array([q for _, q in rows])
+        self.mean, self.spread = x.mean(axis=0), x.std(axis=0) + 1e-9
+        z, w = np.c_[(x - self.mean) / self.spread, np.ones(len(x))], np.zeros(2 * VIEWS + 1)
+        for _ in range(60):  # Newton's steps, with a small ridge
+            p = 1 / (1 + np.exp(-np.clip(z @ w, -500, 500)))
+            w += np.linalg.solve((z.T * (p * (1 - p))) @ z + RIDGE * np.eye(2 * VIEWS + 1), z.T @ (y - p) - RIDGE * w)
+        w[-1] += np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean()))
+        self.weights = w
+        return self
+
+
+@dataclass
+class QualityModel:
+    """Two halves; or none, and the score of every text."""
+
+    halves: list[Half]
+    constant: float = 1.0
+
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        x = np.array([self.features(t) for t in texts]).reshape(len(texts), 2 * VIEWS)
-        return 1 / (1 + np.exp(-np.clip(np.c_[(x - self.mean) / self.spread, np.ones(len(x))] @ self.weights, -500, 500)))
+        if not self.halves:
+            return np.full(len(texts), self.constant)
+        views = [_views(t) for t in texts]
+        return 1 / (1 + np.exp(-np.clip(np.mean([h.logits(views) for h in self.halves], axis=0), -500, 500)))
 
 
 def fit(rows: list[tuple[str, int]], share: float | None = None) -> QualityModel:
-    """From (text, label) rows; without both labels, every score is the share of label 1 (or 1 without rows).
+    """From (text, label) rows; with fewer than two of a label, every score is the share of label 1 (or 1 without rows).
 
     `share` is that of label 1 among all labelled rows, which the rows are a sample of by label: scores are calibrated to it.
     """
-    by = {q: [t for t, label in rows if label == q] for q in (1, 0)}
-    dictionaries = []
-    for k in range(VIEWS):
-        dictionaries.append(tuple(_dictionary([_views(t)[k] for t in by[q][::2]]) for q in (1, 0)))
-    model = QualityModel(dictionaries)
-    rest = [(t, q) for q in (1, 0) for t in by[q][1::2]]
-    if len({q for _, q in rest}) < 2:
-        share = len(by[1]) / len(rows) if rows else 1.0
-        model.weights = np.append(np.zeros(2 * VIEWS), np.log((share + 1e-6) / (1 - share + 1e-6)))
-        model.mean, model.spread = np.zeros(2 * VIEWS), np.ones(2 * VIEWS)
-        return model
-    x, y = np.array([model.features(t) for t, _ in rest]), np.array([q for _, q in rest])
-    model.mean, model.spread = x.mean(axis=0), x.std(axis=0) + 1e-9
-    z, w = np.c_[(x - model.mean) / model.spread, np.ones(len(x))], np.zeros(2 * VIEWS + 1)
-    for _ in range(60):  # Newton's steps, with a small ridge
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -500, 500)))
-        w += np.linalg.solve((z.T * (p * (1 - p))) @ z + 1e-2 * np.eye(2 * VIEWS + 1), z.T @ (y - p) - 1e-2 * w)
-    if share is not None and 0 < share < 1:
-        w[-1] += np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean()))
-    model.weights = w
-    return model
+    by = {q: [(t, q) for t, label in rows if label == q] for q in (1, 0)}
+    own = len(by[1]) / len(rows) if rows else 1.0
+    if min(map(len, by.values())) < 2:
+        return QualityModel([], own)
+    share = own if share is None else min(max(share, 1e-6), 1 - 1e-6)
+    made = []
+    for k in range(2):
+        texts = {q: [_views(t) for t, _ in of[k::2]] for q, of in by.items()}
+        half = Half([tuple(_dictionary([v[i] for v in texts[q]]) for q in (1, 0)) for i in range(VIEWS)])
+        made.append(half.calibrate(by[1][1 - k :: 2] + by[0][1 - k :: 2], share))
+    return QualityModel(made)
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, most: int = SAMPLE) -> QualityModel:
