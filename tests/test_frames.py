@@ -35,7 +35,7 @@ def compare(df, con, sql):
 
 
 #: The larger half of the registry is compared by the driver; these take seconds.
-QUICK = ["simple_fold", "index_fold", "offsets_lines", "offsets_probe", "merge_maps", "sort_by_hash", "sparse_grams", "substring_search", "bpe_chunks", "distinct_words_by_lang", "diff_symmetric_difference", "nearest_suppliers", "masked_order", "sketch_bytes", "bounded_load", "hash_ring", "users_by_day", "offsets_ranges", "offsets_sql", "distinct_union", "distinct_orders_finely", "diff_orders_finely", "bpe_ids", "bpe_count", "bpe_count_till_limit", "bpe_variants", "bpe_interval_counts", "ones_metric", "sketch_memory", "bounded_distances", "place_orders", "choose_goldens", "order_places", "reservoir_sample", "placement_churn", "placement_balance", "users_by_day_stream"]
+QUICK = ["simple_fold", "index_fold", "offsets_lines", "offsets_probe", "merge_maps", "sort_by_hash", "sparse_grams", "substring_search", "bpe_chunks", "distinct_words_by_lang", "diff_symmetric_difference", "nearest_suppliers", "masked_order", "sketch_bytes", "bounded_load", "hash_ring", "users_by_day", "offsets_ranges", "offsets_sql", "distinct_union", "distinct_orders_finely", "diff_orders_finely", "bpe_ids", "bpe_count", "bpe_count_till_limit", "bpe_variants", "bpe_interval_counts", "sim_hash_postings", "gram_cover_sizes", "sparse_gram_spans_native", "ones_metric", "sketch_memory", "bounded_distances", "place_orders", "choose_goldens", "order_places", "reservoir_sample", "placement_churn", "placement_balance", "users_by_day_stream"]
 
 
 @pytest.mark.parametrize("name", QUICK)

@@ -236,6 +236,16 @@ def gram_covers(spark, sf_dir):
     return ngrams.covers(_read(spark, sf_dir, "benchmark"), "item_id", "text")
 
 
+@_query(
+    f"""WITH RECURSIVE {_SPANS}, inner_spans AS (SELECT item_id, s + 1 AS a, s + n - 1 AS z FROM spans), sizes AS (SELECT item_id, len(b) AS n FROM {_FOLDED}),
+walk AS (SELECT item_id, n, 1::BIGINT AS pos, 0 AS k FROM sizes WHERE n > 2 UNION ALL SELECT w.item_id, w.n, max(z), w.k + 1 FROM walk w JOIN inner_spans i ON i.item_id = w.item_id AND a <= pos AND pos < z WHERE pos < w.n - 1 GROUP BY w.item_id, w.n, w.k)
+SELECT item_id AS key, CAST(max(k) AS BIGINT) AS grams FROM walk GROUP BY item_id UNION ALL SELECT item_id, 1 FROM sizes WHERE n = 2"""
+)
+def gram_cover_sizes(spark, sf_dir):
+    """No cover is smaller: the SQL goes on by the gram that reaches farthest."""
+    return ngrams.covers(_read(spark, sf_dir, "benchmark"), "item_id", "text").groupBy("key").agg(F.count("*").alias("grams"))
+
+
 @_query("SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(p) AS BIGINT) AS total FROM (SELECT unnest(" + _P + "::BIGINT[]) AS p)")
 def bigram_priorities(spark, sf_dir):
     both = spark.range(1 << 14).select(ngrams.bigram_priority(F.shiftright("id", 7).cast("int"), F.col("id").bitwiseAND(F.lit(127)).cast("int")).alias("p"))
@@ -465,7 +475,15 @@ def sketch_bytes(spark, sf_dir):
     return geo.unpacked(geo.packed(_basket(spark, sf_dir), ["key"], geo.DIFF7), ["key"], geo.DIFF7)
 
 
-@_query()
+@_query(
+    f"""WITH RECURSIVE {_BASKET}, bits AS (SELECT key, bucket // 6 AS p, sum(1 << (bucket % 6)) AS v FROM s GROUP BY ALL),
+tops AS (SELECT key, max(bucket) // 6 + 20 AS n, coalesce(list_reverse_sort(list(bucket))[10] // 6, 0) + 20 AS stop FROM s GROUP BY key),
+walk AS (SELECT key, p, coalesce(v, 0)::UBIGINT AS state FROM (SELECT key, unnest(range(n - 20, n)) AS p FROM tops) LEFT JOIN bits USING (key, p)
+ UNION ALL SELECT w.key, w.p - 20, xor(coalesce(v, 0)::UBIGINT, ((state::UHUGEINT * 64) % 18446744073709551616::UHUGEINT)::UBIGINT | (state >> 58)) FROM walk w LEFT JOIN bits b ON b.key = w.key AND b.p = w.p - 20 WHERE w.p >= 20),
+hashed AS (SELECT key, greatest(1, list_reduce(list_concat([14695981039346656037::HUGEINT], list_transform(range(8), lambda k: ((p >> k * 8) & 255)::HUGEINT), list_transform(range(8), lambda k: ((state >> (k * 8)::UBIGINT) & 255)::HUGEINT)),
+ lambda h, b: xor(h, b) * 1099511628211 % 18446744073709551616)) AS h FROM walk JOIN tops USING (key) WHERE p < stop)
+SELECT key, CAST(h - CASE WHEN h >= 9223372036854775808 THEN 18446744073709551616 ELSE 0 END AS BIGINT) AS hash, 0 AS least FROM hashed"""
+)
 def sim_hash_postings(spark, sf_dir):
     return geo.sim_index(_basket(spark, sf_dir), geo.DIFF7)
 
