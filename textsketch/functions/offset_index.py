@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import spread
+
 
 class BitRank:
     """A bit vector that counts the ones before a place: words of 64 bits, and the ones before each word."""
@@ -161,4 +163,4 @@ def probe(df: DataFrame, key: str, text: str, bytes_: Column | None = None) -> D
             arrays = [batch.column(0).take(pa.array(taken, pa.int64())), *(pa.array(c.astype(np.int32)) for c in columns[:-1]), pa.array(columns[-1].astype(bool))]
             yield pa.RecordBatch.from_arrays(arrays, names=["key", *_FIELDS, "blank"])
 
-    return df.select(F.col(key), F.col(text).cast("string"), (F.array() if lines else bytes_).cast("array<int>")).mapInArrow(run, schema)
+    return spread(df.select(F.col(key), F.col(text).cast("string"), (F.array() if lines else bytes_).cast("array<int>"))).mapInArrow(run, schema)

@@ -39,6 +39,17 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of input for each core below which rows are dealt anew before a kernel: a small file is often one task, whatever its size in splits.
+SMALL = 8 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, if it is so small that its files may not be; larger inputs have tasks enough and are not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * SMALL else df
+
+
 @atexit.register
 def release() -> None:
     """Delete what was written there; results that still read it go stale."""

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shared import spread
+
 
 #: Bytes of a text whose parts are searched rather than kept in a heap; pieces that a tokenizer remembers.
 _SHORT, _PIECES = 32, 1 << 18
@@ -443,7 +445,7 @@ def _per_text(df: DataFrame, key: str, text: str, each: Callable, columns: list[
             yield pa.RecordBatch.from_arrays(arrays, names=["key", *(c[0] for c in columns)])
 
     kind = dict(df.dtypes)[key]
-    return df.select(key, text).mapInArrow(run, f"key {kind}, " + ", ".join(f"{n} {s}" for n, s, _ in columns))
+    return spread(df.select(key, text)).mapInArrow(run, f"key {kind}, " + ", ".join(f"{n} {s}" for n, s, _ in columns))
 
 
 def encode(df: DataFrame, key: str, text: str, make: Callable[[], Tokenizer]) -> DataFrame:

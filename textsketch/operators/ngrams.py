@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.bigram_table import priority
 from ..functions.fold import index_fold_bytes, simple_fold
 from ..functions.literals import int_array
+from ..functions.shared import spread
 
 LONGEST, MASK, PAYLOAD = 8, (1 << 27) - 1, 24
 _MULTIPLIER = 0x9E3779B97F4A7C15
@@ -127,7 +128,11 @@ def collect_sparse_grams(content: bytes) -> list[int]:
 
 def extract(df: DataFrame, key: str, text: str, fold: bool = True, distinct: bool = False, wanted: list[int] | None = None) -> DataFrame:
     """(key, gram, end) of each text, index-folded to one byte for each character; distinct: (key, gram). With `wanted`, only those grams."""
-    held = None if wanted is None else df.sparkSession.sparkContext.broadcast(np.array(sorted(wanted), dtype=np.int32))
+    held = None
+    if wanted is not None:  # low bits that any of them has, then the grams themselves
+        own, low = np.array(sorted(wanted), dtype=np.int32), np.zeros(1 << 20, dtype=bool)
+        low[own & 0xFFFFF] = True
+        held = df.sparkSession.sparkContext.broadcast((own, low))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,7 +141,8 @@ def extract(df: DataFrame, key: str, text: str, fold: bool = True, distinct: boo
                 if t is not None:
                     g, e = sparse_grams(index_fold_bytes(t) if fold else t.encode())
                     if held is not None:
-                        some = np.isin(g, held.value)
+                        some = np.nonzero(held.value[1][g & 0xFFFFF])[0]
+                        some = some[np.isin(g[some], held.value[0])]
                         g, e = g[some], e[some]
                     if distinct:
                         g = np.unique(g)
@@ -150,7 +156,7 @@ def extract(df: DataFrame, key: str, text: str, fold: bool = True, distinct: boo
             yield pa.RecordBatch.from_arrays(columns, names=["key", "gram", "end"][: len(columns)])
 
     kind = dict(df.dtypes)[key]
-    return df.select(key, text).mapInArrow(run, f"key {kind}, gram int" + ("" if distinct else ", end int"))
+    return spread(df.select(key, text)).mapInArrow(run, f"key {kind}, gram int" + ("" if distinct else ", end int"))
 
 
 def native_spans(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fold, offset_index, offsets
 from ..functions import sql as sql_functions
-from ..functions.shared import materialise
+from ..functions.shared import materialise, spread
 from ..functions.bigram_table import priority
 from ..functions.hashing import unsigned
 from ..operators import bpe, geo, ngrams, placement, termmap
@@ -36,7 +36,7 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents")
+    docs = spread(_read(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
     return docs.select("doc_id", "lang", F.explode(F.split(fold.simple_fold(F.col("text")), "[ \n]+")).alias("word")).where("word <> ''")
 
 
