@@ -198,3 +198,30 @@ def test_comparators_of_samples(spark):
     keys = spark.range(3000).withColumnRenamed("id", "key")
     rows = {r.test: r for r in placement.balance(placement.ranked(keys, "key", 10, 3), 10).collect()}
     assert rows["pair"].cells == 45 and rows["pair"].chi2 < 100 and rows["bit 0"].chi2 < 20 and {"node 0", "node 2", "bit 2"} <= set(rows)
+
+
+def test_sim_lookup_is_the_definition(spark):
+    """Short sketches that share most places with each other, copies, and longer ones; queries are a part of all."""
+    import random
+
+    rng = random.Random(4)
+    own = {k: sorted(rng.sample(range(400), rng.choice([0, 1, 2, 3, 12, 40]))) for k in range(120)}
+    own |= {k + 200: own[k][:] for k in range(60)} | {k + 300: own[k][1:] for k in range(60)}
+    own = {k: v for k, v in own.items() if v}
+    sketch = spark.createDataFrame([(k, x) for k, v in own.items() for x in v], "key bigint, bucket int")
+    for expected in (5, 300):
+        want = {}
+        for a, v in own.items():
+            hashes, least = geo.sim_search(v, expected, geo.DIFF7)
+            for b, w in own.items():
+                n = len(set(hashes) & set(geo.sim_indexing(w)))
+                if a % 10 == 0 and a != b and n >= least:
+                    want[a, b] = n
+        lists = geo.listed(sketch)
+        got = geo.sim_lookup(lists.where("key % 10 = 0"), lists, geo.DIFF7, expected).collect()
+        assert len(got) == len(want) and {(r.a, r.b): r.matches for r in got} == want
+
+
+def test_sim_hash_search_asks_for_each_hundredth(spark):
+    found = catalog.sim_hash_search(spark, SF)
+    assert found.columns == ["a", "b", "matches"] and found.where("a % 100 <> 0").isEmpty()

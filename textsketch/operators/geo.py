@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import M64, fnv1a, md5_bits
 from ..functions.literals import int_array
+from ..functions.shared import materialise
 
 SIM_BITS, SIM_RING = 6, 20
 #: Sketches of a block when all are compared with all.
@@ -466,12 +467,76 @@ def sim_index(sketch: DataFrame, config: Config, expected: int | None = None) ->
     return lists.mapInArrow(_sim(kind, expected or 0, config), f"key {dict(sketch.dtypes)['key']}, hash bigint, least int")
 
 
+def _rings(held: bool, expected: int, config: Config):
+    """(key, ring): the states that sim_hashes would hash at the places of the expected difference, null at those that are not indexed or not there."""
+    start = sim_hash_range(expected, config).start
+
+    def run(batches):
+        for batch in batches:
+            lists, n = batch.column(1), len(batch)
+            sizes = np.diff(lists.offsets.to_numpy())
+            bucket, row = lists.flatten().to_numpy().astype(np.int64), np.repeat(np.arange(n), sizes)
+            order = np.lexsort((-bucket, row))
+            bucket, first = bucket[order], np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+            tops = np.where(sizes > 0, bucket[np.minimum(first, max(0, len(bucket) - 1))] // SIM_BITS, 0) if len(bucket) else np.zeros(n, np.int64)
+            stop = tops + SIM_RING
+            if held:
+                many = sizes >= SIM_RING // 2
+                stop = np.full(n, SIM_RING)
+                stop[many] += bucket[first[many] + SIM_RING // 2 - 1] // SIM_BITS
+            place = bucket // SIM_BITS - start
+            inside = place >= 0
+            place, row, bit = place[inside], row[inside], bucket[inside] % SIM_BITS
+            turned = ((bit + SIM_BITS * (place // SIM_RING)) % 64).astype(np.uint64)
+            state = np.zeros((n, SIM_RING), dtype=np.uint64)
+            np.bitwise_xor.at(state, (row, place % SIM_RING), np.uint64(1) << turned)
+            absent = np.arange(start, start + SIM_RING)[None, :] >= stop[:, None]
+            rings = pa.array(state.view(np.int64).ravel(), mask=absent.ravel())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * SIM_RING), rings)], names=["key", "ring"])
+
+    return run
+
+
+def _ringed(sketch: DataFrame, held: bool, expected: int, config: Config) -> DataFrame:
+    """(key, ring, class): the class of sketches with the same states is their least key."""
+    lists = listed(sketch)
+    rings = materialise(lists.mapInArrow(_rings(held, expected, config), f"key {dict(lists.dtypes)['key']}, ring array<bigint>"))
+    return rings.join(rings.groupBy("ring").agg(F.min("key").alias("class")), "ring")
+
+
+def listed(sketch: DataFrame) -> DataFrame:
+    """(key, buckets) of a relation (key, bucket); one that has lists already stays."""
+    return sketch if "buckets" in sketch.columns else sketch.groupBy("key").agg(F.collect_list("bucket").alias("buckets"))
+
+
 def sim_lookup(queries: DataFrame, sketches: DataFrame, config: Config, expected: int) -> DataFrame:
-    """(a, b, matches): pairs that share enough similarity keys to differ by about `expected` items."""
-    asked = sim_index(queries, config, expected).select(F.col("key").alias("a"), "hash", "least").distinct()
-    held = sim_index(sketches, config).select(F.col("key").alias("b"), "hash").distinct()
-    met = asked.join(held, "hash").where("a <> b").groupBy("a", "b").agg(F.count("*").cast("int").alias("matches"), F.first("least").alias("least"))
-    return met.where("matches >= least").drop("least")
+    """(a, b, matches): pairs that share enough similarity keys to differ by about `expected` items. Sketches are (key, bucket) or (key, buckets).
+
+    Enough is all but a few of twenty places, so that of one group of places more than may differ, one at least agrees as a whole:
+    sketches meet by groups, not by single places, which short sketches share with most others. Those with the same states
+    at all places meet once, as a class, and a pair counts in the first group in which it meets: nothing is lost or found twice.
+    """
+    asked, held = _ringed(queries, False, expected, config), _ringed(sketches, True, expected, config)
+    least = max(SIM_RING - expected, SIM_RING // 2)
+    n = SIM_RING + 1 - least
+    cuts = [SIM_RING * g // n for g in range(n + 1)]
+
+    def classes(df: DataFrame, name: str) -> DataFrame:
+        own = df.groupBy(F.col("class").alias(name)).agg(F.first("ring").alias(f"ring_{name}"))
+        ring = lambda k: F.get(f"ring_{name}", F.lit(k))
+        # null, which meets nothing, where a place of the group is
+        keys = F.array(*(F.when(F.lit(True) if low >= high else ~F.exists(F.slice(f"ring_{name}", low + 1, high - low), F.isnull), F.xxhash64(F.lit(g), *map(ring, range(low, high)))) for g, (low, high) in enumerate(zip(cuts, cuts[1:], strict=False))))
+        return own.withColumn(f"keys_{name}", keys)
+
+    def met(df: DataFrame, name: str) -> DataFrame:
+        return df.select(name, f"ring_{name}", f"keys_{name}", F.posexplode(f"keys_{name}").alias("group", "key")).where("key is not null")
+
+    both = met(classes(asked, "qa"), "qa").join(met(classes(held, "qb"), "qb"), ["group", "key"])
+    both = both.where(F.array_position(F.zip_with("keys_qa", "keys_qb", lambda x, y: F.coalesce(x == y, F.lit(False))), True) == F.col("group") + 1)
+    same = F.size(F.filter(F.zip_with("ring_qa", "ring_qb", lambda x, y: F.coalesce(x == y, F.lit(False))), lambda x: x))
+    near = both.select("qa", "qb", same.alias("matches")).where(F.col("matches") >= least)
+    found = near.join(asked.select(F.col("class").alias("qa"), F.col("key").alias("a")), "qa").join(held.select(F.col("class").alias("qb"), F.col("key").alias("b")), "qb")
+    return found.where("a <> b").select("a", "b", "matches")
 
 
 def packed(sketch: DataFrame, keys: list[str], config: Config) -> DataFrame:
