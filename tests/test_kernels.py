@@ -237,3 +237,16 @@ def test_tokenizer_equals_a_third_party(vocabulary):
     for pattern in bpe.PATTERNS.values():
         t = bpe.Tokenizer(vocabulary, pattern)
         assert "".join(t.split("Hello WORLD's 12345 -- ok\r\n\n  end ")) == "Hello WORLD's 12345 -- ok\r\n\n  end "
+
+
+def test_choices_of_many_keys_are_those_of_each():
+    import numpy as np
+
+    from textsketch.operators import placement
+
+    keys = [0, 1, -1, 2**63 - 1, -(2**63), *range(1000, 1060)]
+    own = np.array(keys, dtype=np.int64).view(np.uint64)
+    for source, many in placement._MANY.items():
+        for n, k in ((1, 1), (2, 2), (8, 2), (20, 20), (100, 3), (100_000, 4)):
+            assert placement._Chosen(many.of(own), len(own), n, k).ranking().tolist() == [list(islice(ChooseK(source.of(x), n), k)) for x in keys]
+            assert placement._Chosen(many.of(own), len(own), n, k).chosen().tolist() == [ChooseK.with_k(source.of(x), n, k).samples for x in keys]

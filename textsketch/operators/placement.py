@@ -7,12 +7,13 @@ import random
 from collections.abc import Callable, Iterable, Iterator
 from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import GOLDEN, M64, SipHash13, splitmix64
-from ..functions.shared import materialise
+from ..functions.shared import materialise, spread
 
 _NEXT = 54387634019
 _BATCH = 1 << 16
@@ -219,6 +220,212 @@ class NodeMap:
         return None if self.is_empty() else next(x for x in ChooseK(source, self.total) if x not in self.deleted)
 
 
+# the same for many keys at once
+
+_U = np.uint64
+
+
+def _splitmix(x: np.ndarray) -> np.ndarray:
+    x = x + _U(GOLDEN)
+    x = (x ^ x >> _U(30)) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> _U(27)) * _U(0x94D049BB133111EB)
+    return x ^ x >> _U(31)
+
+
+class _MixKeys:
+    """MixSource of many keys."""
+
+    def __init__(self, state: np.ndarray):
+        self.state = state
+
+    @classmethod
+    def of(cls, keys: np.ndarray) -> _MixKeys:
+        return cls(_splitmix(keys))
+
+    def __getitem__(self, at: np.ndarray) -> _MixKeys:
+        return _MixKeys(self.state[at])
+
+    def ranked(self, k: int) -> _MixKeys:
+        return _MixKeys(_splitmix(self.state + _U((k + 1) * GOLDEN & M64)))
+
+    def mask(self) -> np.ndarray:
+        return _splitmix(self.state ^ _U(GOLDEN))
+
+    def stream(self, bit: np.ndarray) -> _MixKeys:
+        return _MixKeys(_splitmix(self.state + bit.astype(_U)))
+
+    def draw(self) -> tuple[_MixKeys, np.ndarray]:
+        x = _splitmix(self.state)
+        return _MixKeys(x), x
+
+
+def _turned(x: np.ndarray, n: int) -> np.ndarray:
+    return x << _U(n) | x >> _U(64 - n)
+
+
+def _round(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, ...]:
+    a, c = a + b, c + d
+    b, d = _turned(b, 13) ^ a, _turned(d, 16) ^ c
+    a, c = _turned(a, 32), c + b
+    a = a + d
+    return a, _turned(b, 17) ^ c, _turned(c, 32), _turned(d, 21) ^ a
+
+
+class _SipKeys:
+    """Source of many keys: the four words of SipHash-1-3 after what was fed, and how many words that was."""
+
+    def __init__(self, words: tuple[np.ndarray, ...], fed: int):
+        self.words, self.fed = words, fed
+
+    @classmethod
+    def of(cls, keys: np.ndarray) -> _SipKeys:
+        start = (0x736F6D6570736575, 0x646F72616E646F6D, 0x6C7967656E657261, 0x7465646279746573)
+        return cls(tuple(np.full(len(keys), x, _U) for x in start), 0).u64(keys)
+
+    def __getitem__(self, at: np.ndarray) -> _SipKeys:
+        return _SipKeys(tuple(x[at] for x in self.words), self.fed)
+
+    def u64(self, x: np.ndarray | np.uint64) -> _SipKeys:
+        a, b, c, d = self.words
+        a, b, c, d = _round(a, b, c, d ^ x)
+        return _SipKeys((a ^ x, b, c, d), self.fed + 1)
+
+    def finish(self) -> np.ndarray:
+        a, b, c, d = self.u64(_U((8 * self.fed & 255) << 56)).words
+        c = c ^ _U(255)
+        for _ in range(3):
+            a, b, c, d = _round(a, b, c, d)
+        return a ^ b ^ c ^ d
+
+    def ranked(self, k: int) -> _SipKeys:
+        return self.u64(_U(k))
+
+    def mask(self) -> np.ndarray:
+        return self.finish()
+
+    def stream(self, bit: np.ndarray) -> _SipKeys:
+        return self.u64(bit.astype(_U))
+
+    def draw(self) -> tuple[_SipKeys, np.ndarray]:
+        now = self.u64(_U(_NEXT))
+        return now, now.finish()
+
+
+#: Sources that have a form for many keys.
+_MANY = {Source: _SipKeys, MixSource: _MixKeys}
+
+
+def _prev_hashes(source: _MixKeys | _SipKeys, n: np.ndarray) -> np.ndarray:
+    """prev_hash of each key below its own n, which is 1 at least."""
+    n = n.astype(np.int64)
+    top = np.ones(len(n), dtype=np.int64)
+    while (low := top < n).any():
+        top[low] <<= 1
+    bits = (source.mask() & (top - 1).astype(_U)).astype(np.int64)
+    out = np.zeros(len(n), dtype=np.int64)
+    left = np.nonzero(bits)[0]
+    while len(left):
+        own = bits[left]
+        bit = np.int64(1) << (np.frexp(own.astype(np.float64))[1] - 1).astype(np.int64)
+        bits[left] = own ^ bit
+        stream, x = source[left].stream(bit).draw()
+        first = (x & (bit - 1).astype(_U)).astype(np.int64) + bit
+        good = first < n[left]
+        out[left[good]] = first[good]
+        rest = np.nonzero(~good)[0]  # within the level still
+        while len(rest):
+            stream, at = (stream[~good] if len(rest) != len(good) else stream), left[rest]
+            stream, x = stream.draw()
+            low = (x & (2 * bit[rest] - 1).astype(_U)).astype(np.int64)
+            inside, good = (low & bit[rest]) > 0, low < n[at]
+            found = inside & good
+            out[at[found]] = low[found]
+            stay = inside & ~good
+            good, rest = ~stay, rest[stay]
+            if len(rest):
+                stream = stream[stay]
+                good = np.zeros(len(rest), dtype=bool)
+        left = left[(out[left] == 0) & (bits[left] > 0)]
+    return out
+
+
+class _Chosen:
+    """ChooseK of many keys, each with the same n and k."""
+
+    def __init__(self, source: _MixKeys | _SipKeys, size: int, n: int, k: int):
+        self.source, self.n = source, n
+        self.ranks = [source.ranked(i) for i in range(k)]
+        self.own = np.zeros((size, k), dtype=np.int64)
+
+    def _sample(self, i: int, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return _prev_hashes(self.ranks[i][at], n - i) + i
+
+    def chosen(self) -> np.ndarray:
+        """The nodes of each key, rising: with_k."""
+        own, size = self.own, len(self.own)
+        every = np.arange(size)
+        for i in range(own.shape[1]):
+            own[:, i] = self._sample(i, every, np.full(size, self.n))
+        for i in range(own.shape[1] - 1, -1, -1):
+            own[:, i] = top = own[:, : i + 1].max(axis=1)
+            for j in range(i):
+                at = np.nonzero(own[:, j] == top)[0]
+                if len(at):
+                    own[at, j] = self._sample(j, at, top[at])
+        return own
+
+    def ranking(self) -> np.ndarray:
+        """The nodes of each key as they are chosen one by one: grow_k."""
+        own, size = self.own, len(self.own)
+        out, every = np.zeros_like(own), np.arange(size)
+        for k in range(own.shape[1]):
+            new = self._sample(k, every, np.full(size, self.n))
+            if not k:
+                own[:, 0] = out[:, 0] = new
+                continue
+            last = own[:, k - 1].copy()
+            own[:, k] = np.where(last < new, new, last)
+            spot = np.full(size, k)
+            at = np.nonzero(last >= new)[0]
+            n = last[at]
+            for i in range(k - 1, -1, -1):
+                if not len(at):
+                    break
+                fresh = self._sample(i, at, n)
+                own[at, i] = n = np.maximum(own[at, i - 1], fresh) if i else fresh
+                spot[at] = i
+                if i:
+                    going = own[at, i - 1] >= n
+                    at, n = at[going], n[going]
+            out[:, k] = own[every, spot]
+        return out
+
+
+#: Keys that are worked on at once.
+_KEYS = 1 << 14
+
+
+def _mapped_many(df: DataFrame, key: str, source: Callable, n: int, k: int, ranking: bool, each: Callable[[int], list[int]]) -> DataFrame:
+    """(key, nodes): by arrays of keys where the source has a form for them, else key by key."""
+    many = _MANY.get(getattr(source, "__self__", None))
+    if many is None or n < 1 or k < 1 or getattr(source, "__name__", "") != "of":
+        return _mapped(df, key, each, pa.list_(pa.int32()), "nodes", "array<int>")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, len(whole), _KEYS):
+                keys = whole.column(0).slice(at, _KEYS)
+                own = keys.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(_U)
+                work = _Chosen(many.of(own), len(own), n, k)
+                nodes = work.ranking() if ranking else work.chosen()
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * k), pa.array(nodes.ravel().astype(np.int32)))
+                if keys.null_count:
+                    lists = lists.take(pa.array(np.arange(len(own)), mask=keys.is_null().to_numpy(zero_copy_only=False)))
+                yield pa.RecordBatch.from_arrays([keys, lists], names=["key", "nodes"])
+
+    return spread(df.select(F.col(key).cast("bigint"))).mapInArrow(run, "key bigint, nodes array<int>")
+
+
 # permutations
 
 
@@ -343,7 +550,9 @@ def next_hashes(df: DataFrame, key: str, n: int, source: Callable = Source.of) -
 
 def choose(df: DataFrame, key: str, n: int, k: int, source: Callable = Source.of) -> DataFrame:
     """(key, nodes): k different nodes, rising."""
-    return _mapped(df, key, lambda x: ChooseK.with_k(source(x), n, k).samples, pa.list_(pa.int32()), "nodes", "array<int>")
+    if k > n:
+        raise ValueError("n must be at least k")
+    return _mapped_many(df, key, source, n, k, False, lambda x: ChooseK.with_k(source(x), n, k).samples)
 
 
 def ranking(df: DataFrame, key: str, n: int, k: int, source: Callable = Source.of) -> DataFrame:
@@ -353,7 +562,7 @@ def ranking(df: DataFrame, key: str, n: int, k: int, source: Callable = Source.o
 
 def ranked(df: DataFrame, key: str, n: int, k: int, source: Callable = Source.of) -> DataFrame:
     """(key, nodes): the same as one array, in the order of the ranking."""
-    return _mapped(df, key, lambda x: list(islice(ChooseK(source(x), n), k)), pa.list_(pa.int32()), "nodes", "array<int>")
+    return _mapped_many(df, key, source, n, min(k, n), True, lambda x: list(islice(ChooseK(source(x), n), k)))
 
 
 def assign(df: DataFrame, key: str, nodes: NodeMap, source: Callable = Source.of) -> DataFrame:
