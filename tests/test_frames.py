@@ -225,3 +225,22 @@ def test_sim_lookup_is_the_definition(spark):
 def test_sim_hash_search_asks_for_each_hundredth(spark):
     found = catalog.sim_hash_search(spark, SF)
     assert found.columns == ["a", "b", "matches"] and found.where("a % 100 <> 0").isEmpty()
+
+
+@pytest.mark.parametrize("k, cap", [(1, 16), (2, 40), (3, 20), (2, 1000)])
+def test_bounded_load_is_key_by_key(spark, monkeypatch, k, cap):
+    """In stretches of about 50 rows, with nodes that become full early, late or never; not all rows in one task."""
+    import random
+
+    monkeypatch.setattr(placement, "LOADED", 50)
+    rng = random.Random(k)
+    rows = [(key, rank, node) for key in rng.sample(range(-500, 500), 100) for rank, node in enumerate(rng.sample(range(7), 6))]
+    load, want, taken = {}, [], {}
+    for key, rank, node in sorted(rows):
+        if taken.get(key, 0) < k and load.get(node, 0) < cap:
+            load[node], taken[key] = load.get(node, 0) + 1, taken.get(key, 0) + 1
+            want.append((key, rank, node))
+    rng.shuffle(rows)
+    found = placement.bounded_load(spark.createDataFrame(rows, "key bigint, rank int, node int"), k, cap)
+    assert sorted(map(tuple, found.collect())) == want
+    assert "RoundRobinPartitioning(1)" not in found._jdf.queryExecution().executedPlan().toString()

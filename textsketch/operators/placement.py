@@ -9,11 +9,12 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import GOLDEN, M64, SipHash13, splitmix64
-from ..functions.shared import materialise, spread
+from ..functions.shared import fresh, materialise, spread
 
 _NEXT = 54387634019
 _BATCH = 1 << 16
@@ -611,29 +612,80 @@ def permuted(df: DataFrame, n: int, key: int) -> DataFrame:
     return df.select(F.lit(n).cast("int").alias("n"), F.lit(key).cast("bigint").alias("seed")).mapInArrow(run, "seed bigint, n int, rank int, value int")
 
 
+#: Rows of a ranking that one task of bounded_load holds.
+LOADED = 1 << 20
+
+
+def _taken(rows: pa.Table, k: int, cap: int, full: set[int] | None, load: dict[int, int]) -> tuple[np.ndarray, pa.Table]:
+    """Which of a stretch of rows (key, rank, node), which come back sorted, are taken: while just `full` nodes are, or else one by one from a load on, which is brought up to date."""
+    rows = rows.take(pc.sort_indices(rows, sort_keys=[("key", "ascending"), ("rank", "ascending"), ("node", "ascending")], null_placement="at_start"))
+    keys, node = rows["key"].combine_chunks(), rows["node"].to_numpy()
+    own, null = keys.fill_null(0).to_numpy(), keys.is_null().to_numpy(zero_copy_only=False)
+    new = np.ones(len(own), dtype=bool)
+    new[1:] = (own[1:] != own[:-1]) | (null[1:] != null[:-1])
+    if full is not None:
+        free = ~np.isin(node, np.fromiter(full, dtype=np.int64, count=len(full)))
+        so_far = np.cumsum(free)
+        return free & (so_far - (so_far - free)[new][np.cumsum(new) - 1] <= k), rows
+    out, n = np.zeros(len(own), dtype=bool), 0
+    for i, (first, x) in enumerate(zip(new.tolist(), node.tolist(), strict=True)):
+        n = 0 if first else n
+        if n < k and load.get(x, 0) < cap:
+            load[x], n, out[i] = load.get(x, 0) + 1, n + 1, True
+    return out, rows
+
+
 def bounded_load(ranks: DataFrame, k: int, cap: int) -> DataFrame:
     """(key, rank, node): each key, in order, takes the first k nodes of its ranking whose load is below the cap.
 
-    What a key takes depends on all keys before it, so one task reads them all, sorted, and holds the loads of the nodes
-    alone: for plans of placement, not for tables at scale.
+    What a key takes depends on all keys before it, but only by which nodes are full. So stretches of keys are read side by side
+    as if no more nodes became full; loads summed over stretches tell the first one in which one does. Those before it are settled, it is read
+    key by key from the load that it meets, and those after it are read anew, fewer at a time if nodes fill up soon.
+    The driver holds the loads of the nodes, and their sums in the stretches at hand.
     """
+    spark = ranks.sparkSession
+    own = materialise(ranks.select(F.col("key").cast("bigint").alias("key"), "rank", "node"))
+    parts = max(1, -(-own.count() // LOADED))
+    path = fresh(spark)
+    own.repartitionByRange(parts, "key").withColumn("part", F.spark_partition_id()).write.partitionBy("part").parquet(path)
+    cut = spark.read.schema("key bigint, rank int, node int, part int").parquet(path)
+
+    def loads(low: int, high: int, full: set[int] | None, load: dict[int, int]) -> list:
+        """(part, node, n) of stretches."""
+
+        def run(key: tuple, rows: pa.Table) -> pa.Table:
+            taken, rows = _taken(rows, k, cap, full, dict(load))
+            nodes, n = np.unique(rows["node"].to_numpy()[taken], return_counts=True)
+            return pa.table([pa.array([key[0].as_py()] * len(n), pa.int32()), pa.array(nodes, pa.int32()), pa.array(n, pa.int64())], names=["part", "node", "n"])
+
+        return cut.where(F.col("part").between(low, high - 1)).groupBy("part").applyInArrow(run, "part int, node int, n bigint").collect()  # bounded: nodes times stretches
+
+    load: dict[int, int] = {}
+    how: list[tuple[set[int] | None, dict[int, int]]] = []  # of each stretch
+    wide = parts
+    while (low := len(how)) < parts:
+        full = {x for x, n in load.items() if n >= cap}
+        high = min(parts, low + wide)
+        found: dict[int, list] = {}
+        for r in loads(low, high, full, {}):
+            found.setdefault(r["part"], []).append((r["node"], r["n"]))
+        for part in range(low, high):
+            if any(load.get(x, 0) + n > cap for x, n in found.get(part, ())):
+                how.append((None, dict(load)))
+                for r in loads(part, part + 1, None, load):
+                    load[r["node"]] = load.get(r["node"], 0) + r["n"]
+                break
+            how.append((full, {}))
+            for x, n in found.get(part, ()):
+                load[x] = load.get(x, 0) + n
+        wide = max(1, 2 * (len(how) - low - 1)) if len(how) < high else 4 * wide
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        load: dict[int, int] = {}
-        last, taken = None, 0
-        for batch in batches:
-            out = []
-            for key, rank, node in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if key != last:
-                    last, taken = key, 0
-                if taken < k and load.get(node, 0) < cap:
-                    load[node], taken = load.get(node, 0) + 1, taken + 1
-                    out.append((key, rank, node))
-            kinds = [pa.int64(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(kinds)], names=["key", "rank", "node"])
-
-    own = ranks.select(F.col("key").cast("bigint").alias("key"), "rank", "node")
-    return own.repartition(1).sortWithinPartitions("key", "rank", "node").mapInArrow(run, "key bigint, rank int, node int")
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        full, met = how[key[0].as_py()]
+        taken, rows = _taken(rows, k, cap, full, dict(met))
+        return rows.select(["key", "rank", "node"]).filter(pa.array(taken))
+
+    return cut.groupBy("part").applyInArrow(run, "key bigint, rank int, node int")
 
 
 def churn(before: DataFrame, after: DataFrame) -> DataFrame:
