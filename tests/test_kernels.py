@@ -250,3 +250,28 @@ def test_choices_of_many_keys_are_those_of_each():
         for n, k in ((1, 1), (2, 2), (8, 2), (20, 20), (100, 3), (100_000, 4)):
             assert placement._Chosen(many.of(own), len(own), n, k).ranking().tolist() == [list(islice(ChooseK(source.of(x), n), k)) for x in keys]
             assert placement._Chosen(many.of(own), len(own), n, k).chosen().tolist() == [ChooseK.with_k(source.of(x), n, k).samples for x in keys]
+
+
+def test_pieces_are_those_of_split():
+    import public_tokenizers
+
+    from textsketch.operators import bpe
+
+    v = bpe.Vocabulary([bytes([b]) for b in range(256)])
+    for pattern in (public_tokenizers.PATTERN, r"\w+| ", "(a)|b", "a*"):
+        own = bpe.Tokenizer(v, pattern)
+        for text in ("", "it's  a\n\n test 12ß ", "ab!ab", "aab", "  x"):
+            assert list(own.pieces(text)) == list(own.split(text))
+
+
+def test_stretches_hold_all_rows_in_order(monkeypatch):
+    import pyarrow as pa
+
+    from textsketch.functions import shared
+
+    monkeypatch.setattr(shared, "STRETCH", 100)
+    texts = ["x" * n for n in (0, 3, 250, 40, 40, 40, 90, 100, 1)] + [None]
+    batch = pa.RecordBatch.from_pydict({"k": list(range(len(texts))), "t": pa.array(texts, pa.string())})
+    parts = list(shared.stretches(batch))
+    assert [r for p in parts for r in p.to_pylist()] == batch.to_pylist() and len(parts) > 4
+    assert list(shared.stretches(batch.slice(0, 0))) == []

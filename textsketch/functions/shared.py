@@ -5,7 +5,11 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 _made: list[tuple[SparkSession, str]] = []
@@ -50,6 +54,20 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if size < cores * SMALL else df
 
 
+#: Bytes of texts that a kernel works on at once.
+STRETCH = 1 << 20
+
+
+def stretches(batch: pa.RecordBatch, column: int = 1) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in slices of about STRETCH bytes of a text column, so that what a kernel makes of them stays small however long texts are."""
+    if not len(batch):
+        return
+    size = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = [0, *(np.nonzero(np.diff(size // STRETCH))[0] + 1).tolist(), len(batch)]
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        yield batch.slice(low, high - low)
+
+
 @atexit.register
 def release() -> None:
     """Delete what was written there; results that still read it go stale."""
