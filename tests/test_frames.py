@@ -244,3 +244,16 @@ def test_bounded_load_is_key_by_key(spark, monkeypatch, k, cap):
     found = placement.bounded_load(spark.createDataFrame(rows, "key bigint, rank int, node int"), k, cap)
     assert sorted(map(tuple, found.collect())) == want
     assert "RoundRobinPartitioning(1)" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("grams", [1 << 18, 1])
+def test_search_within_tasks_and_by_postings(spark, monkeypatch, grams):
+    """Queries that overlap, that are the same, and whose grams are all in a text that lacks them; no text leaves its task."""
+    monkeypatch.setattr(ngrams, "GRAMS", grams)
+    texts = {1: "The QUICK brown fox", 2: "quick quick fox brown", 3: None, 4: "", 5: "brown fox brown", 6: "ÄRGER über alles", 7: "x"}
+    asked = {1: "quick brown", 2: "BROWN FOX", 3: "brown fox", 4: "ärger ÜBER", 5: "x", 6: None, 7: "", 8: "zz"}
+    docs = spark.createDataFrame(list(texts.items()), "d bigint, text string")
+    queries = spark.createDataFrame(list(asked.items()), "q bigint, text string")
+    found = ngrams.search(docs, queries, "d", "q")
+    want = {(q, d) for q, w in asked.items() if w for d, t in texts.items() if t and w.lower() in t.lower()}
+    assert sorted(map(tuple, found.collect())) == sorted(want)

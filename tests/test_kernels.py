@@ -275,3 +275,16 @@ def test_stretches_hold_all_rows_in_order(monkeypatch):
     parts = list(shared.stretches(batch))
     assert [r for p in parts for r in p.to_pylist()] == batch.to_pylist() and len(parts) > 4
     assert list(shared.stretches(batch.slice(0, 0))) == []
+
+
+def test_grams_of_many_texts_are_those_of_each():
+    from textsketch.operators import ngrams
+
+    texts = [b"", b"a", b"hello world", bytes(range(200)), b"aaaaaaaaaa", b"", b"self.reset_states(the_quick_brown_fox_jumps", b"xy"]
+    of, keys, ends = ngrams._grams_of(texts)
+    got = sorted(zip(of.tolist(), ends.tolist(), keys.tolist(), strict=True))
+    want = []
+    for k, text in enumerate(texts):
+        e, n = ngrams.sparse_spans(text)
+        want += [(k, int(b), ngrams.gram_key(text[b - s : b])) for b, s in zip(e.tolist(), n.tolist(), strict=True)]
+    assert got == sorted(want)

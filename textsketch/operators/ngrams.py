@@ -15,10 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bigram_table import priority
-from ..functions.fold import index_fold_bytes, simple_fold
+from ..functions.fold import fold_text, index_fold_bytes, simple_fold
 from ..functions.literals import int_array
-from ..functions.shared import spread
+from ..functions.shared import spread, stretches
 
+_U = np.uint64
 LONGEST, MASK, PAYLOAD = 8, (1 << 27) - 1, 24
 _MULTIPLIER = 0x9E3779B97F4A7C15
 
@@ -72,25 +73,29 @@ def priorities() -> np.ndarray:
     return table
 
 
-def sparse_spans(content: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(ends, lengths) of all grams, by end and then length."""
-    data = np.frombuffer(content, dtype=np.uint8)
+def _by_size(data: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(length, starts) of all grams, for each length."""
     n = len(data)
     if n < 2:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return
     p = priorities()[data[:-1], data[1:]].astype(np.int64)
-    ends, lengths = [np.arange(2, n + 1)], [np.full(n - 1, 2)]
+    yield 2, np.arange(n - 1)
     within = np.full(max(0, n - 2), 1 << 40)  # the least pair inside, for stretches from each start
     for size in range(3, LONGEST + 1):
         m = n - size + 1
         if m <= 0:
-            break
+            return
         if size > 3:
             within = np.minimum(within[:m], p[size - 3 : size - 3 + m])
-        at = np.nonzero(np.maximum(p[:m], p[size - 2 : size - 2 + m]) < within[:m])[0]
-        ends.append(at + size)
-        lengths.append(np.full(len(at), size))
-    e, size = np.concatenate(ends), np.concatenate(lengths)
+        yield size, np.nonzero(np.maximum(p[:m], p[size - 2 : size - 2 + m]) < within[:m])[0]
+
+
+def sparse_spans(content: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(ends, lengths) of all grams, by end and then length."""
+    own = [(at + size, np.full(len(at), size)) for size, at in _by_size(np.frombuffer(content, dtype=np.uint8))]
+    if not own:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    e, size = (np.concatenate(x) for x in zip(*own, strict=True))
     order = np.lexsort((size, e))
     return e[order], size[order]
 
@@ -104,22 +109,35 @@ def _scrambled(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(15)
 
 
+def _grams_of(texts: list[bytes], held: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, key, end) of all grams of many texts, in no order; of those held alone, if any."""
+    sizes = np.array([len(x) for x in texts], dtype=np.int64)
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    content = b"".join(texts)
+    data, of = np.frombuffer(content, dtype=np.uint8), np.repeat(np.arange(len(texts)), sizes)
+    words = np.ndarray((len(content),), dtype="<u8", buffer=content + bytes(LONGEST), strides=(1,))  # eight bytes from each place on
+    out = []
+    for size, at in _by_size(data):
+        at = at[of[at] == of[at + size - 1]]  # within one text
+        x = words[at] & _U((1 << 8 * size) - 1)
+        if size > 3:  # big-endian for short grams, little-endian for the hash of long ones
+            x = (x * _U(_MULTIPLIER)) >> _U(64 - PAYLOAD)
+        else:
+            x = functools.reduce(lambda y, k: y << _U(8) | x >> _U(8 * k) & _U(255), range(size), np.zeros(len(x), np.uint64))
+        keys = _scrambled(_U(size - 2 << PAYLOAD) | x).astype(np.int32)
+        if held is not None:
+            some = np.nonzero(held[1][keys & 0xFFFFF])[0]
+            some = some[np.isin(keys[some], held[0])]
+            keys, at = keys[some], at[some]
+        out.append((of[at], keys, at + size - first[of[at]]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64))
+
+
 def sparse_grams(content: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(keys, ends) of all grams, by end and then length."""
-    ends, sizes = sparse_spans(content)
-    if not len(ends):
-        return np.zeros(0, np.int32), ends
-    data = np.frombuffer(content + bytes(LONGEST), dtype=np.uint8).astype(np.uint64)
-    starts, payload = ends - sizes, np.zeros(len(ends), dtype=np.uint64)
-    for k in range(LONGEST):  # big-endian for short grams, little-endian for the hash of long ones
-        byte, inside = data[starts + k], sizes > k
-        short = inside & (sizes <= 3)
-        payload[short] = payload[short] << np.uint64(8) | byte[short]
-        long = inside & (sizes > 3)
-        payload[long] |= byte[long] << np.uint64(8 * k)
-    long = sizes > 3
-    payload[long] = (payload[long] * np.uint64(_MULTIPLIER)) >> np.uint64(64 - PAYLOAD)
-    return _scrambled((sizes - 2).astype(np.uint64) << np.uint64(PAYLOAD) | payload).astype(np.int32), ends
+    _, keys, ends = _grams_of([content])
+    order = np.argsort(ends, kind="stable")  # they come by length
+    return keys[order], ends[order]
 
 
 def collect_sparse_grams(content: bytes) -> list[int]:
@@ -135,24 +153,15 @@ def extract(df: DataFrame, key: str, text: str, fold: bool = True, distinct: boo
         held = df.sparkSession.sparkContext.broadcast((own, low))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, grams, ends = [], [], []
-            for k, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if t is not None:
-                    g, e = sparse_grams(index_fold_bytes(t) if fold else t.encode())
-                    if held is not None:
-                        some = np.nonzero(held.value[1][g & 0xFFFFF])[0]
-                        some = some[np.isin(g[some], held.value[0])]
-                        g, e = g[some], e[some]
-                    if distinct:
-                        g = np.unique(g)
-                    keys.append(np.full(len(g), k))
-                    grams.append(g)
-                    ends.append(e)
-            out = [np.concatenate(keys) if keys else np.zeros(0), np.concatenate(grams) if grams else np.zeros(0)]
-            columns = [pa.array(out[0], batch.schema.field(0).type), pa.array(out[1].astype(np.int32))]
+        for batch in (part for whole in batches for part in stretches(whole)):
+            texts = [b"" if t is None else index_fold_bytes(t) if fold else t.encode() for t in batch.column(1).to_pylist()]
+            of, grams, ends = _grams_of(texts, held.value if held is not None else None)
+            if distinct:
+                both = np.unique(of.astype(np.int64) << 32 | grams)
+                of, grams = both >> 32, both & 0xFFFFFFFF
+            columns = [batch.column(0).take(pa.array(of)), pa.array(grams.astype(np.int32))]
             if not distinct:
-                columns.append(pa.array((np.concatenate(ends) if ends else np.zeros(0)).astype(np.int32)))
+                columns.append(pa.array(ends.astype(np.int32)))
             yield pa.RecordBatch.from_arrays(columns, names=["key", "gram", "end"][: len(columns)])
 
     kind = dict(df.dtypes)[key]
@@ -294,26 +303,74 @@ def covers(queries: DataFrame, key: str, text: str) -> DataFrame:
 
 #: Grams of all queries that are sent to every task.
 GRAMS = 1 << 18
+#: Bytes of queries that are.
+SENT = 64 << 20
+
+
+def _contained(docs: DataFrame, doc: str, text: str, queries: DataFrame, grams: list[int]) -> DataFrame:
+    """(__q, __d): where all cover grams of a query are among those of a text, the text is looked through, in the task that reads it: no posting leaves it."""
+    spark = docs.sparkSession
+    own = [(r["q"], r["f"], sorted({gram_key(g) for g, _ in cover(r["w"])})) for r in queries.where("w is not null").collect()]  # whose grams are few, as are the queries
+    own = [x for x in own if x[2]]
+    sorted_, low = np.array(sorted(grams), dtype=np.int32), np.zeros(1 << 20, dtype=bool)
+    low[sorted_ & 0xFFFFF] = True
+    at = {g: i for i, g in enumerate(sorted_.tolist())}
+    asking: list[list[int]] = [[] for _ in at]
+    for i, (_, _, keys) in enumerate(own):
+        for g in keys:
+            asking[at[g]].append(i)
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in asking])]).astype(np.int64)
+    flat = np.array([i for x in asking for i in x], dtype=np.int64)
+    sent = spark.sparkContext.broadcast((sorted_, low, offsets, flat, np.array([len(x[2]) for x in own], dtype=np.int64), [x[1] for x in own]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, low, offsets, flat, needed, folded = sent.value
+        for batch in (part for whole in batches for part in stretches(whole)):
+            texts = batch.column(1).to_pylist()
+            of, keys, _ = _grams_of([b"" if t is None else index_fold_bytes(t) for t in texts], (held, low))
+            both = np.unique(of.astype(np.int64) << 32 | np.searchsorted(held, keys))
+            where = np.searchsorted(both >> 32, np.arange(len(texts) + 1))
+            docs_, found = [], []
+            for k, t in enumerate(texts):
+                mine = both[where[k] : where[k + 1]] & 0xFFFFFFFF
+                if not len(mine):
+                    continue
+                sizes = offsets[mine + 1] - offsets[mine]
+                asked = flat[np.repeat(offsets[mine] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
+                n = np.bincount(asked, minlength=len(needed))
+                for i in np.nonzero(n == needed)[0].tolist():
+                    docs_.append(k)
+                    found.append(i)
+            if docs_:
+                whole = {k: fold_text(texts[k]) for k in set(docs_)}
+                good = [(k, i) for k, i in zip(docs_, found, strict=True) if folded[i] in whole[k]]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([k for k, _ in good], pa.int64())), pa.array([i for _, i in good], pa.int64())], names=["__d", "__i"])
+
+    met = spread(docs.select(doc, text)).mapInArrow(run, f"__d {dict(docs.dtypes)[doc]}, __i bigint")
+    names = spark.createDataFrame([(i, x[0]) for i, x in enumerate(own)], f"__i bigint, __q {dict(queries.dtypes)['q']}")
+    return met.join(F.broadcast(names), "__i").select("__q", "__d")
 
 
 def search(docs: DataFrame, queries: DataFrame, doc: str, query: str, text: str = "text", wanted: str = "text") -> DataFrame:
     """(query, doc): documents that contain a query, case-folded: cover grams meet postings, then texts are verified.
 
-    While the covers have at most GRAMS different grams, these go to the tasks that extract, so that no other posting leaves them; beyond,
+    While the covers have at most GRAMS different grams, these and the queries go to the tasks that extract, which verify too; beyond,
     postings are joined. Queries of one character have no grams: they are looked for among the characters of each text, all at once. Empty ones find nothing.
     """
     asked = covers(queries, query, wanted).select(F.col("key").alias("__q"), "gram").distinct()
     needed = asked.groupBy("__q").agg(F.count("*").alias("__n"))
     grams = asked.select("gram").distinct()
     few = [r["gram"] for r in grams.limit(GRAMS + 1).collect()]  # bounded: GRAMS
-    held = extract(docs, doc, text, distinct=True, wanted=few if len(few) <= GRAMS else None).withColumnRenamed("key", "__d")
-    if len(few) > GRAMS:
-        held = held.join(grams, "gram", "left_semi")
-    met = held.join(asked, "gram").groupBy("__q", "__d").agg(F.count("*").alias("__m"))
-    able = met.join(needed, "__q").where("__m = __n").select("__q", "__d")
-    full = able.join(docs.select(F.col(doc).alias("__d"), F.col(text).alias("__t")), "__d")
-    full = full.join(queries.select(F.col(query).alias("__q"), F.col(wanted).alias("__w")), "__q")
-    found = full.where(F.contains(simple_fold(F.col("__t")), simple_fold(F.col("__w")))).select("__q", "__d")
+    size = queries.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(wanted)), F.lit(0)).alias("bytes")).first()
+    if len(few) <= GRAMS and size["n"] <= GRAMS and size["bytes"] <= SENT:
+        found = _contained(docs, doc, text, queries.select(F.col(query).alias("q"), F.col(wanted).alias("w"), simple_fold(F.col(wanted)).alias("f")), few)
+    else:
+        held = extract(docs, doc, text, distinct=True).withColumnRenamed("key", "__d").join(grams, "gram", "left_semi")
+        met = held.join(asked, "gram").groupBy("__q", "__d").agg(F.count("*").alias("__m"))
+        able = met.join(needed, "__q").where("__m = __n").select("__q", "__d")
+        full = able.join(docs.select(F.col(doc).alias("__d"), F.col(text).alias("__t")), "__d")
+        full = full.join(queries.select(F.col(query).alias("__q"), F.col(wanted).alias("__w")), "__q")
+        found = full.where(F.contains(simple_fold(F.col("__t")), simple_fold(F.col("__w")))).select("__q", "__d")
     folded = simple_fold(F.col(wanted))
     short = queries.where(F.col(wanted).isNotNull()).where(F.char_length(folded) == 1).select(F.col(query).alias("__q"), folded.alias("__c"))
     if not short.isEmpty():
