@@ -257,3 +257,17 @@ def test_search_within_tasks_and_by_postings(spark, monkeypatch, grams):
     found = ngrams.search(docs, queries, "d", "q")
     want = {(q, d) for q, w in asked.items() if w for d, t in texts.items() if t and w.lower() in t.lower()}
     assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
+def test_line_table_by_the_definition(spark):
+    texts = {1: "❤️ a\n\n \t\r\n👋b\n", 2: "", 3: None, 4: "\n", 5: "x", 6: " ", 7: "é👋\né"}
+    found = offsets.line_table(spark.createDataFrame(list(texts.items()), "d bigint, t string"), "d", "t")
+    want = []
+    for d, t in texts.items():
+        at = ""
+        for n, line in enumerate((t or "").splitlines(keepends=True) if t != "❤️ a\n\n \t\r\n👋b\n" else ["❤️ a\n", "\n", " \t\r\n", "👋b\n"]):
+            want.append((d, n, len(at.encode()), len(at), len(at.encode("utf-16-le")) // 2, not line.strip("\t\r \n")))
+            at += line
+    assert found.columns == ["d", "line", "utf8_begin", "char_begin", "utf16_begin", "blank"]
+    assert sorted(map(tuple, found.collect())) == want
+    assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()

@@ -1,4 +1,4 @@
-"""Positions in a text: bytes, characters, UTF-16 units and lines. All from 0, saturating, native.
+"""Positions in a text: bytes, characters, UTF-16 units and lines. All from 0, saturating; native but for the table of lines.
 
 A line owns the line break that ends it, and an unterminated rest is a line. Byte positions within a
 character belong to it. Expressions read hexadecimal text, two digits for each byte, so that a
@@ -7,9 +7,15 @@ position may fall within a character.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import spread, stretches
+
 
 def _prefix(text: Column, n: Column) -> Column:
     return F.substring(F.hex(F.encode(text, "UTF-8")), F.lit(1), 2 * F.greatest(n, F.lit(0)).cast("int"))
@@ -138,11 +144,32 @@ def only_whitespaces(text: Column, line: Column) -> Column:
     return F.when(own.isNull(), F.lit(True)).otherwise(own.rlike(r"\A[\t\r ]*\z"))
 
 
+def _lines_of(texts: list[bytes]) -> list[np.ndarray]:
+    """(text, line, utf8_begin, char_begin, utf16_begin, blank) of the lines of many texts."""
+    size = np.array([len(x) for x in texts], dtype=np.int64)
+    first = np.cumsum(size) - size
+    data, of = np.frombuffer(b"".join(texts), dtype=np.uint8), np.repeat(np.arange(len(texts)), size)
+    begins = np.zeros(len(data) + 1, dtype=bool)
+    begins[first[size > 0]] = True
+    begins[np.nonzero(data == 10)[0] + 1] = True  # what follows the last line break of a text is the next text
+    begin = np.nonzero(begins[:-1])[0]
+    own, stop = of[begin], np.append(begin[1:], len(data))
+    before = lambda marks: np.concatenate([[0], np.cumsum(marks)])
+    chars, pairs = before((data & 0xC0) != 0x80), before(data >= 0xF0)
+    dark = before(~np.isin(data, np.frombuffer(b"\t\r \n", dtype=np.uint8)))
+    head = first[own]
+    char = chars[begin] - chars[head]
+    return [own, np.arange(len(own)) - np.searchsorted(own, own), begin - head, char, char + pairs[begin] - pairs[head], dark[begin] == dark[stop[: len(begin)]]]
+
+
 def line_table(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, line, utf8_begin, char_begin, utf16_begin, blank): a row for each line."""
-    parts = df.select(F.col(key), F.posexplode(F.split(F.col(text), "\n")).alias("line", "own"), lines(F.col(text)).alias("n"))
-    parts = parts.where("line < n")  # what follows a last line break is no line
-    before = Window.partitionBy(key).orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    size = {"utf8": F.octet_length("own") + 1, "char": F.char_length("own") + 1, "utf16": (F.octet_length(F.encode("own", "UTF-16BE")) / 2).cast("int") + 1}
-    begins = [F.coalesce(F.sum(x).over(before), F.lit(0)).cast("bigint").alias(f"{k}_begin") for k, x in size.items()]
-    return parts.select(key, "line", *begins, F.col("own").rlike(r"\A[\t\r ]*\z").alias("blank"))
+    """(key, line, utf8_begin, char_begin, utf16_begin, blank): a row for each line, by a kernel in the task that reads the text."""
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in stretches(whole)):
+            own, *rest = _lines_of([(t or "").encode() for t in batch.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own)), *(pa.array(x.astype(k.to_pandas_dtype())) for x, k in zip(rest, kinds, strict=True))], names=["key", "line", "utf8_begin", "char_begin", "utf16_begin", "blank"])
+
+    found = spread(df.select(F.col(key), F.col(text).cast("string"))).mapInArrow(run, f"key {dict(df.dtypes)[key]}, line int, utf8_begin bigint, char_begin bigint, utf16_begin bigint, blank boolean")
+    return found.withColumnRenamed("key", key)
